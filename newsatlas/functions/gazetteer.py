@@ -81,31 +81,24 @@ def state_names(ufs: Column | str) -> Column:
     return F.array_compact(F.transform(as_col(ufs), lambda uf: F.try_element_at(table, uf)))
 
 
-def state_mentions(title: Column | str, subtitle: Column | str, tags: Column | str, body: Column | str) -> Column:
-    """Sorted ufs named by an exact tag, by the headline, or by a dateline in the opening."""
-    headline = fold(F.concat_ws(" ", F.coalesce(as_col(title), F.lit("")), F.coalesce(as_col(subtitle), F.lit(""))))
-    tag_keys = F.transform(F.split(F.coalesce(as_col(tags), F.lit("")), r"\|"), lambda t: fold(strip(t)))
-    datelines = F.regexp_extract_all(F.left(F.coalesce(as_col(body), F.lit("")), F.lit(LEAD_CHARS)), F.lit(DATELINE), 1)
-    # One small struct first, so that each of the three sources is evaluated once for all states.
-    found = F.struct(headline.alias("h"), tag_keys.alias("t"), datelines.alias("d"))
-
-    def pick(src: Column) -> Column:
-        return F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        F.array_contains(src["t"], STATE_OF[uf].lower())
-                        | F.array_contains(src["t"], uf.lower())
-                        | src["h"].rlike(HEADLINE_RULES[uf])
-                        | F.array_contains(src["d"], uf),
-                        F.lit(uf),
-                    )
-                    for uf in UFS
-                ]
-            )
-        )
-
-    return F.flatten(F.transform(F.array(found), pick))
+def mention_sources(title: Column | str, subtitle: Column | str, tags: Column | str, body: Column | str) -> Column:
+    """What the state rules look at: folded headline (h), folded tags (t), dateline codes of the opening (d)."""
+    blank = lambda c: F.coalesce(as_col(c), F.lit(""))
+    return F.struct(
+        fold(F.concat_ws(" ", blank(title), blank(subtitle))).alias("h"),
+        F.transform(F.split(blank(tags), r"\|"), lambda t: fold(strip(t))).alias("t"),
+        F.regexp_extract_all(F.left(blank(body), F.lit(LEAD_CHARS)), F.lit(DATELINE), 1).alias("d"),
+    )
+
+
+def state_mentions(sources: str) -> Column:
+    """Sorted ufs named by an exact tag, by the headline, or by a dateline; ``sources`` names the struct column."""
+    picks = [
+        f"CASE WHEN array_contains({sources}.t, '{STATE_OF[uf].lower()}') OR array_contains({sources}.t, '{uf.lower()}') "
+        f"OR {sources}.h RLIKE r'{HEADLINE_RULES[uf]}' OR array_contains({sources}.d, '{uf}') THEN '{uf}' END"
+        for uf in UFS
+    ]
+    return F.expr(f"array_compact(array({', '.join(picks)}))")
 
 
 def without_geography(text: Column | str) -> Column:

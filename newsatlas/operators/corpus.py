@@ -61,7 +61,8 @@ def with_labels(df: DataFrame, crimes: dict = lexicon.CRIMES, modus: dict = lexi
 
 
 def with_states(df: DataFrame) -> DataFrame:
-    mentions = df.withColumn("ufs_mencionadas", geo.state_mentions("titulo", "subtitulo", "tags", "markdown_text"))
+    sources = df.withColumn("__m", geo.mention_sources("titulo", "subtitulo", "tags", "markdown_text"))
+    mentions = sources.withColumn("ufs_mencionadas", geo.state_mentions("__m")).drop("__m")
     return mentions.withColumn("estados_mencionados", geo.state_names("ufs_mencionadas"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsatlas.functions import dates, labels, links, series as fs, text
 from newsatlas.functions import gazetteer as geo
+from newsatlas.operators import corpus as ops
 from newsatlas.plans.catalog import views as v
 from newsatlas.plans.catalog.registry import query
 from newsatlas.plans.catalog.views import sql
@@ -175,7 +176,7 @@ def keyword_labels(spark, d):
 
 @query("fn_state_mentions", sql("SELECT doc_id, array_to_string(ufs, '|') AS ufs FROM enr", "enr"))
 def state_mentions(spark, d):
-    return v.news(spark, d).select("doc_id", geo.state_mentions("titulo", "subtitulo", "tags", "markdown_text").alias("ufs"))
+    return ops.with_states(v.news(spark, d)).select("doc_id", F.col("ufs_mencionadas").alias("ufs"))
 
 
 @query("prj_state_names", sql(f"SELECT doc_id, array_to_string([{v._STATE_MAP}[u] for u in ufs], '|') AS estados FROM enr", "enr"))

@@ -1 +1,167 @@
-"""Queries."""
+"""Queries over index and manifest maintenance (ing_*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsatlas.functions.links import resolve_path
+from newsatlas.operators import ingest
+from newsatlas.plans.catalog import sources as src, views as v
+from newsatlas.plans.catalog.registry import query
+from newsatlas.plans.catalog.rows import _FIRST, _LAST
+from newsatlas.plans.catalog.views import sql
+from newsatlas.session import scratch_dir
+from newsatlas.streaming.sync import read_manifest_log, sync_stream
+
+_PATH = f"coalesce(nullif(trim(markdown_path), ''), '{v.FOLDER}/' || {v.file_name_sql('link')})"
+DONE = f"(SELECT link FROM {_LAST} WHERE status = 'ok' AND {_PATH} IN (SELECT markdown_path FROM bodies))"
+
+
+@query(
+    "ing_listing_dedup",
+    sql("SELECT \"offset\", item_index, link, titulo FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY \"offset\", item_index) AS rn FROM lst) WHERE rn = 1", lst=(src.LIST_SQL, [])),
+)
+def listing_dedup(spark, d):
+    from newsatlas.sources import html
+
+    return ingest.dedup_listing(html.extract_listing(src.listing_pages(spark, d), src.LISTING)).select("offset", "item_index", "link", "titulo")
+
+
+@query("ing_prepare_index", sql(f"SELECT lnk AS link, seq, titulo FROM {_FIRST}", "idx"))
+def prepare_index(spark, d):
+    return ingest.prepare_index(v.idx(spark, d)).select("link", "seq", "titulo")
+
+
+@query("ing_prepare_manifest", sql(f"SELECT link, markdown_path, status, erro, seq FROM {_LAST}", "manifest"))
+def prepare_manifest(spark, d):
+    return ingest.prepare_manifest(v.manifest(spark, d)).select("link", "markdown_path", "status", "erro", "seq")
+
+
+def prepared(spark, d):
+    return ingest.prepare_index(v.idx(spark, d)), ingest.prepare_manifest(v.manifest(spark, d)), v.bodies(spark, d)
+
+
+@query("ing_missing", sql(f"SELECT lnk AS link, seq FROM {_FIRST} WHERE lnk NOT IN {DONE}", "idx", "manifest", "bodies"))
+def missing(spark, d):
+    return ingest.missing(*prepared(spark, d), v.FOLDER).select("link", "seq")
+
+
+@query("ing_limit", sql(f"SELECT lnk AS link, seq FROM {_FIRST} WHERE lnk NOT IN {DONE} ORDER BY seq LIMIT 25", "idx", "manifest", "bodies"))
+def limit(spark, d):
+    return ingest.pending(ingest.missing(*prepared(spark, d), v.FOLDER), 25).select("link", "seq")
+
+
+@query("ing_resolve_path", sql(f"SELECT link, seq, {_PATH} AS path FROM manifest", "manifest"))
+def path(spark, d):
+    return v.manifest(spark, d).select("link", "seq", resolve_path("markdown_path", v.FOLDER, "link").alias("path"))
+
+
+def page_index(spark, d):
+    """Every page is an indexed article; a few links have no page."""
+    pages = src.pages(spark, d)
+    gone = pages.where("page_id % 25 = 0").select(F.concat("url", F.lit("/gone")).alias("link"), (F.col("page_id") + 1_000_000).alias("seq"))
+    return pages.select(F.col("url").alias("link"), F.col("page_id").alias("seq")).unionByName(gone)
+
+
+NEW_ROWS = (
+    f"SELECT url AS link, '{v.FOLDER}/' || {v.file_name_sql('url')} AS markdown_path, CASE WHEN error IS NULL THEN 'ok' ELSE 'erro' END AS status, "
+    "title AS titulo_extraido, CASE WHEN error IS NULL THEN '' END AS tags_extraidas, error AS erro, page_id FROM art "
+    f"UNION ALL SELECT url || '/gone', '{v.FOLDER}/' || {v.file_name_sql('''(url || '/gone')''')}, 'erro', NULL, NULL, 'no ''article'' in the page', page_id FROM art WHERE page_id % 25 = 0"
+)
+COLS = ["link", "markdown_path", "status", "titulo_extraido", "tags_extraidas", "erro"]
+OLD_ROWS = (
+    "SELECT url AS link, concat('old/', page_id, '.md') AS markdown_path, CASE WHEN page_id % 4 = 0 THEN 'ok' ELSE 'erro' END AS status, "
+    "'antigo' AS titulo_extraido, '' AS tags_extraidas, NULL AS erro, page_id FROM {pages} p WHERE page_id % 2 = 0"
+)
+CT = {**src.EXTRA, "fresh": (NEW_ROWS, ["art"]), "old": (OLD_ROWS.replace("{pages}", "pages"), [])}
+_SEL = ", ".join(COLS)
+
+
+def old_manifest(spark, d):
+    rows = spark.sql(OLD_ROWS, pages=v.table(spark, d, "pages")).drop("page_id")
+    for c in ("subtitulo_extraido", "publicado_em_extraido", "atualizado_em_extraido"):
+        rows = rows.withColumn(c, F.lit(None).cast("string"))
+    return rows
+
+
+def old_bodies(spark, d):
+    """Bodies of the old manifest, lost for page_id % 3 = 0."""
+    ids = v.table(spark, d, "pages").where("page_id % 2 = 0 AND page_id % 3 <> 0")
+    return ids.select(F.concat(F.lit("old/"), F.col("page_id"), F.lit(".md")).alias("markdown_path"))
+
+
+@query("ing_extract_with_errors", sql(f"SELECT {_SEL} FROM fresh", "fresh", **CT))
+def extract_with_errors(spark, d):
+    return ingest.manifest_rows(ingest.fetch_articles(page_index(spark, d), src.pages(spark, d), src.ARTICLE), v.FOLDER).select(*COLS)
+
+
+@query("ing_upsert", sql(f"SELECT {_SEL} FROM fresh UNION ALL SELECT {_SEL} FROM old WHERE link NOT IN (SELECT link FROM fresh)", "fresh", "old", **CT))
+def upsert(spark, d):
+    new = ingest.manifest_rows(ingest.fetch_articles(page_index(spark, d), src.pages(spark, d), src.ARTICLE), v.FOLDER)
+    return ingest.upsert(old_manifest(spark, d), new).select(*COLS)
+
+
+@query(
+    "ing_collect",
+    sql(
+        "SELECT \"offset\", \"offset\" // 60 + 1 AS page_number, item_index, link, titulo FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY \"offset\", item_index) AS rn FROM lst "
+        "WHERE \"offset\" BETWEEN 120 AND 6000) WHERE rn = 1",
+        lst=(src.LIST_SQL, []),
+    ),
+)
+def collect(spark, d):
+    target = scratch_dir(spark, "listing")
+    ingest.collect_listing(src.listing_pages(spark, d), 120, 6000, 60, src.LISTING).write.parquet(target)
+    return spark.read.parquet(target).select("offset", "page_number", "item_index", "link", "titulo")
+
+
+_KEPT = "status = 'ok' AND page_id % 3 <> 0"
+
+
+@query(
+    "ing_extract",
+    sql(f"SELECT {_SEL} FROM fresh WHERE link NOT IN (SELECT link FROM old WHERE {_KEPT}) UNION ALL SELECT {_SEL} FROM old WHERE {_KEPT}", "fresh", "old", **CT),
+)
+def extract(spark, d):
+    return ingest.extract_articles(
+        ingest.prepare_index(page_index(spark, d)), ingest.prepare_manifest(old_manifest(spark, d).withColumn("seq", F.lit(0))).drop("seq"),
+        old_bodies(spark, d), src.pages(spark, d), v.FOLDER, rules=src.ARTICLE,
+    ).select(*COLS)
+
+
+SYNC = {
+    "lst": (src.LIST_SQL, []),
+    "want": ("SELECT DISTINCT link FROM lst", ["lst"]),
+    **src.EXTRA,
+}
+_LINKED = "concat('https://example.org', link)"
+
+
+@query(
+    "ing_sync",
+    sql(
+        "SELECT w.link, CASE WHEN a.error IS NULL AND a.url IS NOT NULL THEN 'ok' ELSE 'erro' END AS status, a.title AS titulo_extraido FROM want w "
+        "LEFT JOIN (SELECT link, max_by(title, page_id) AS title, max_by(error, page_id) AS error, max_by(url, page_id) AS url FROM (SELECT l.link, a.* FROM "
+        "(SELECT link, min(\"offset\") // 60 AS page_id FROM lst GROUP BY link) l JOIN art a USING (page_id) WHERE page_id % 2 = 0) GROUP BY link) a USING (link)",
+        **SYNC,
+    ),
+)
+def sync(spark, d):
+    """Listing items lead to the page they first appear on; pages with an odd number are not there."""
+    listing = src.listing_pages(spark, d)
+    items = ingest.collect_listing(listing, rules=src.LISTING)
+    where = items.select("link", (F.col("offset") / 60).cast("long").alias("page_id")).where("page_id % 2 = 0")
+    articles = src.pages(spark, d).join(where, "page_id").select(F.col("link").alias("url"), "html")
+    none = old_manifest(spark, d).limit(0)
+    rows = ingest.sync(listing, articles, none, old_bodies(spark, d), v.FOLDER, listing_rules=src.LISTING, article_rules=src.ARTICLE)
+    return rows.select("link", "status", "titulo_extraido")
+
+
+@query("ing_sync_stream", sql("SELECT url AS link, CASE WHEN contains(html, '<h1>') THEN 'ok' ELSE 'erro' END AS status FROM pages"))
+def sync_streamed(spark, d):
+    from newsatlas.sources import schemas
+
+    home = scratch_dir(spark, "sync")
+    pages = spark.readStream.schema(schemas.PAGES).option("pathGlobFilter", "pages.parquet").parquet(d)
+    sync_stream(spark, pages, f"{home}/manifest", f"{home}/bodies", f"{home}/state", v.FOLDER, src.ARTICLE).awaitTermination()
+    return read_manifest_log(spark, f"{home}/manifest").select("link", "status")

@@ -1 +1,239 @@
-"""Queries."""
+"""Queries over the semantic space, neighbours, series and the cluster network (sem_*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsatlas.operators import graph, neighbours as near, network, semantic as sem
+from newsatlas.plans.catalog import views as v
+from newsatlas.plans.catalog.registry import query, stage
+from newsatlas.plans.catalog.views import sql
+
+TERM_CTES = {
+    "tf": ("SELECT doc_id, link, term, count(*) AS tf FROM (SELECT doc_id, link, unnest(terms) AS term FROM tok) GROUP BY ALL", ["tok"]),
+    "vocab": (
+        "SELECT term, n, df, ln((1.0 + n_docs) / (1.0 + df)) + 1 AS idf FROM (SELECT term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS df FROM tf GROUP BY term), "
+        "(SELECT count(*) AS n_docs FROM tok) WHERE df >= 3 AND df <= 0.80 * n_docs ORDER BY n DESC, term LIMIT 40000",
+        ["tf", "tok"],
+    ),
+    "weights": (
+        "SELECT doc_id, link, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM (SELECT doc_id, link, term, tf * idf AS w FROM tf JOIN vocab USING (term))",
+        ["tf", "vocab"],
+    ),
+    "cmean": (
+        "SELECT cluster_id, term, round(sum(weight) / any_value(size), 6) AS mean FROM weights JOIN cor USING (link) JOIN "
+        "(SELECT cluster_id, count(*) AS size FROM cor GROUP BY 1) USING (cluster_id) GROUP BY cluster_id, term",
+        ["weights", "cor"],
+    ),
+    "c_terms": (
+        "SELECT cluster_id, list(term ORDER BY rn) AS vals FROM (SELECT cluster_id, term, row_number() OVER (PARTITION BY cluster_id ORDER BY mean DESC, term) AS rn FROM cmean "
+        f"WHERE regexp_replace(term, '[^a-z0-9]+', '_', 'g') NOT IN {v.words_sql(v.geo.TERM_KEYS)} AND len([w for w in string_split(term, ' ') if w IN {v.words_sql(v.geo.TERM_KEYS)}]) = 0) WHERE rn <= 10 GROUP BY cluster_id",
+        ["cmean"],
+    ),
+}
+
+
+@stage("terms")
+def terms(spark, d):
+    return sem.tokens(v.enriched(spark, d).select("doc_id", "link", "texto_ponderado"))
+
+
+def fitted(spark, d, **limits):
+    return sem.fit_tfidf(terms(spark, d), **limits)
+
+
+def cluster_top_terms(spark, d):
+    clusters = v.corpus(spark, d).select("link", "cluster_id")
+    docs = terms(spark, d).select("link", "terms").join(clusters, "link")
+    sizes = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    return sem.top_terms(fitted(spark, d).rows(docs, "cluster_id"), sizes)
+
+
+@query("sem_tokens", sql("SELECT doc_id, CAST(len(terms) AS BIGINT) AS n, md5(array_to_string(terms, '|')) AS digest FROM tok", "tok"))
+def tokens(spark, d):
+    rows = sem.tokens(v.enriched(spark, d))
+    return rows.select("doc_id", F.size("terms").alias("n"), F.md5(F.array_join("terms", "|")).alias("digest"))
+
+
+@query("sem_vocabulary", sql("SELECT term, n AS tf, df, round(idf, 6) AS idf FROM vocab", "vocab", **TERM_CTES))
+def vocabulary(spark, d):
+    docs = terms(spark, d)
+    return sem.vocabulary(sem.term_stats(docs), docs.count()).withColumn("idf", F.round("idf", 6))
+
+
+@query(
+    "sem_tfidf",
+    sql("SELECT doc_id, count(*) AS terms, round(sum(weight), 6) AS total, round(max(weight), 6) AS top, min(term) AS first_term FROM weights GROUP BY doc_id", "weights", **TERM_CTES),
+)
+def tfidf(spark, d):
+    rows = fitted(spark, d).rows(terms(spark, d), "doc_id")
+    return rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top"), F.min("term").alias("first_term")
+    )
+
+
+@query("sem_top_terms", sql("SELECT cluster_id, array_to_string(vals, '|') AS top_terms FROM c_terms", "c_terms", **TERM_CTES))
+def top_terms(spark, d):
+    return cluster_top_terms(spark, d)
+
+
+# Decomposition and clustering depend on starting points: checked by invariants in the tests.
+FIXTURE_LIMITS = {"max_features": 1500}
+COMPONENTS, STARTS = 16, 2
+
+
+@stage("reduced")
+def reduced(spark, d):
+    docs = terms(spark, d)
+    vectors = fitted(spark, d, **FIXTURE_LIMITS).vectors(docs).select("link", "tfidf")
+    return sem.reduced_vectors(vectors, "link", max_components=COMPONENTS)
+
+
+@query("sem_svd")
+def svd(spark, d):
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
+    return reduced(spark, d).select("link", F.size("vec").alias("dims"), F.round(norm, 6).alias("norm"))
+
+
+@query("sem_choose_k")
+def choose_k(spark, d):
+    best, scores = sem.choose_k(reduced(spark, d), "link", candidates=(12, 16, 20), n_init=STARTS)
+    rows = [(k, float(s), k == best) for k, s in scores.items()] or [(best, 0.0, True)]
+    return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
+
+
+@query("sem_cluster")
+def cluster(spark, d):
+    return sem.assign_clusters(reduced(spark, d), "link", 12, n_init=STARTS).select("link", "cluster_id")
+
+
+@query(
+    "sem_knn",
+    sql(
+        "SELECT source_link, source_titulo, target_link, target_titulo, rank, cosine_similarity, source_cluster_id, target_cluster_id, source_operation_name, target_operation_name, same_cluster, gap_days FROM nb",
+        "nb",
+    ),
+)
+def knn(spark, d):
+    return v.neighbours(spark, d).drop("source_data", "target_data")
+
+
+@query("sem_recurring_pairs", sql("SELECT source_link, target_link, cosine_similarity, gap_days, source_cluster_id FROM pairs", "pairs"))
+def recurring_pairs(spark, d):
+    return v.pairs(spark, d).select("source_link", "target_link", "cosine_similarity", "gap_days", "source_cluster_id")
+
+
+@query(
+    "sem_threshold_knn",
+    sql(f"SELECT s AS source, t AS target, rnk AS rank, sim AS cosine_similarity FROM knn WHERE sim >= {v.STRICT}", "knn"),
+)
+def threshold_knn(spark, d):
+    """The same search with a floor, in small blocks, so that cells are really pruned."""
+    return near.nearest(v.corpus(spark, d).select("link", "vec"), "link", 5, floor=v.STRICT, block=64)
+
+
+@query("sem_components", sql("SELECT node, component FROM parts", "parts"))
+def components(spark, d):
+    return v.parts(spark, d)
+
+
+@query("sem_series", sql(f"SELECT {v.SERIES_COLUMNS} FROM first_series", "first_series"))
+def series(spark, d):
+    return v.first_series(spark, d)
+
+
+@query("sem_consolidate", sql(f"SELECT {v.SERIES_COLUMNS} FROM series", "series"))
+def consolidate(spark, d):
+    return v.series(spark, d)
+
+
+@query("sem_series_links", sql("SELECT link, semantic_series_id FROM series_links", "series_links"))
+def series_links(spark, d):
+    return v.series_links(spark, d)
+
+
+# Network ---------------------------------------------------------------------------------------
+
+NET_CTES = {
+    "ctok": (r"SELECT cluster_id, regexp_extract_all(string_agg(trim(folded), ' ' ORDER BY seq), '\b[a-z0-9-]{2,}\b') AS w FROM cor WHERE trim(folded) <> '' GROUP BY cluster_id", ["cor"]),
+    "ctf": (
+        "SELECT cluster_id, term, count(*) AS tf FROM (SELECT cluster_id, unnest(w) AS term FROM ctok UNION ALL "
+        "SELECT cluster_id, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM ctok) GROUP BY ALL",
+        ["ctok"],
+    ),
+    "cvoc": (
+        "SELECT term, ln((1.0 + k) / (1.0 + df)) + 1 AS idf FROM (SELECT term, sum(tf) AS n, count(*) AS df FROM ctf GROUP BY term), (SELECT count(*) AS k FROM ctok) "
+        "WHERE df >= 2 AND df <= 0.75 * k ORDER BY n DESC, term LIMIT 12000",
+        ["ctf", "ctok"],
+    ),
+    "cw": ("SELECT cluster_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster_id)) AS weight FROM (SELECT cluster_id, term, tf * idf AS w FROM ctf JOIN cvoc USING (term))", ["ctf", "cvoc"]),
+    "csim": (
+        "SELECT * FROM (SELECT a.cluster_id AS a, b.cluster_id AS b, round(sum(a.weight * b.weight), 6) AS sim, count(*) AS shared FROM cw a JOIN cw b USING (term) "
+        "WHERE a.cluster_id <> b.cluster_id GROUP BY ALL) WHERE sim >= 0.12",
+        ["cw"],
+    ),
+    "cedge": (
+        "SELECT least(a, b) AS lo, greatest(a, b) AS hi, min(a) AS src, any_value(sim) AS sim, any_value(shared) AS shared FROM "
+        "(SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM csim) WHERE rn <= 3 GROUP BY 1, 2",
+        ["csim"],
+    ),
+    "edges_net": (
+        "SELECT e.src AS source_cluster, e.lo + e.hi - e.src AS target_cluster, round(e.sim, 4) AS similarity, e.shared AS shared_count, t.terms AS shared_terms FROM cedge e JOIN "
+        "(SELECT lo, hi, array_to_string(list(term ORDER BY rn), ' | ') AS terms FROM (SELECT e.lo, e.hi, x.term, row_number() OVER (PARTITION BY e.lo, e.hi "
+        "ORDER BY round(least(x.weight, y.weight), 6) DESC, x.term) AS rn FROM cedge e JOIN cw x ON x.cluster_id = e.lo JOIN cw y ON y.cluster_id = e.hi AND y.term = x.term) WHERE rn <= 6 GROUP BY ALL) t USING (lo, hi)",
+        ["cedge", "cw"],
+    ),
+}
+
+
+@stage("cluster_terms")
+def cluster_terms(spark, d):
+    return network.cluster_terms(v.corpus(spark, d), "seq", width=100)
+
+
+def cluster_weights(spark, d):
+    rows = cluster_terms(spark, d)
+    return network.cluster_weights(rows, rows.select("cluster_id").distinct().count())
+
+
+@query("sem_cluster_corpus", sql("SELECT cluster_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens, max(tf) AS top FROM ctf GROUP BY cluster_id", "ctf", **NET_CTES))
+def cluster_corpus(spark, d):
+    rows = cluster_terms(spark, d)
+    return rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("top"))
+
+
+@query("sem_cluster_network", sql("SELECT source_cluster, target_cluster, similarity, shared_count, shared_terms FROM edges_net", "edges_net", **NET_CTES))
+def cluster_network(spark, d):
+    return network.network_edges(cluster_weights(spark, d))
+
+
+@query(
+    "sem_dominant_terms",
+    sql(
+        "SELECT cluster_id, array_to_string(list(term ORDER BY rn), '|') AS dominant_terms FROM (SELECT cluster_id, term, row_number() OVER (PARTITION BY cluster_id ORDER BY round(weight, 6) DESC, term) AS rn FROM cw) WHERE rn <= 6 GROUP BY cluster_id",
+        "cw", **NET_CTES,
+    ),
+)
+def dominant_terms(spark, d):
+    return network.dominant_terms(cluster_weights(spark, d))
+
+
+@query("sem_network_layout")
+def network_layout(spark, d):
+    weights = cluster_weights(spark, d)
+    return network.layout(weights, weights.select("cluster_id").distinct().count())
+
+
+@query(
+    "jn_isolated",
+    sql(
+        "SELECT DISTINCT cluster_id FROM ctok WHERE cluster_id NOT IN (SELECT source_cluster FROM e UNION SELECT target_cluster FROM e)",
+        **{**NET_CTES, "e": ("SELECT * FROM edges_net WHERE similarity >= (SELECT max(similarity) FROM edges_net)", ["edges_net"])},
+    ),
+)
+def isolated(spark, d):
+    """With only the strongest edge kept, most nodes are isolated."""
+    nodes = cluster_terms(spark, d).select("cluster_id").distinct()
+    edges = network.network_edges(cluster_weights(spark, d))
+    strongest = edges.agg(F.max("similarity")).scalar()
+    return network.isolated(nodes, edges.where(F.col("similarity") >= strongest))

@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="newsatlas-code-"), "newsatlas"), "zip", os.path.dirname(home), os.path.basename(home)
+    )
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings every operator relies on; sizing stays with the caller."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
