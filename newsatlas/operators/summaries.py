@@ -222,10 +222,9 @@ def gap_counts(df: DataFrame, group: str = "cluster_id") -> DataFrame:
     )
     before = F.lag("hi").over(Window.partitionBy(group).orderBy("day"))
     gap = F.floor((F.unix_timestamp("lo") - F.unix_timestamp(before)) / F.lit(86400))
-    rows = days.select(
-        group,
-        F.inline(F.array(F.struct(F.lit(0).cast("bigint").alias("gap_days"), (F.col("n") - 1).alias("n")), F.struct(gap.alias("gap_days"), F.lit(1).cast("bigint").alias("n")))),
-    )
+    within = F.struct(F.lit(0).cast("bigint").alias("gap_days"), (F.col("n") - 1).alias("n"))
+    between = F.struct(F.col("gap").alias("gap_days"), F.lit(1).cast("bigint").alias("n"))
+    rows = days.withColumn("gap", gap).select(group, F.inline(F.array(within, between)))
     return rows.where("gap_days IS NOT NULL AND n > 0").groupBy(group, "gap_days").agg(F.sum("n").alias("n"))
 
 

@@ -258,7 +258,7 @@ def trend_peak(spark, d):
     "agg_modes",
     sql(
         "SELECT component, array_to_string(list_sort(list(cluster_id))[1:3], '|') AS modes FROM (SELECT component, cluster_id, rank() OVER (PARTITION BY component ORDER BY count(*) DESC) AS rk "
-        "FROM part_rows GROUP BY ALL) WHERE rk = 1 GROUP BY component",
+        "FROM part_rows GROUP BY component, cluster_id) WHERE rk = 1 GROUP BY component",
         "part_rows",
     ),
 )
