@@ -139,8 +139,8 @@ def _search(entries: DataFrame, kind: str, k: int, floor: float | None, block: i
                 away = target != home_block
                 yield pd.DataFrame({"rep": part["rep"].to_numpy()[rows][away], "home": home_block[away], "target": target[away]})
 
-    visits = queries.mapInPandas(route, f"rep {kind}, home int, target int")
-    visits = visits.join(placed.select("rep", "vec"), "rep")
+    visits = cut(queries.mapInPandas(route, f"rep {kind}, home int, target int"))
+    vectors = placed.select("rep", "vec")
     # Targets follow the block pairs that are visited. Pairs of a much visited block are spread over splits.
     pairs = visits.select("home", "target").distinct()
     load = pairs.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("splits"))
@@ -152,9 +152,11 @@ def _search(entries: DataFrame, kind: str, k: int, floor: float | None, block: i
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"source": [], "target": [], "sim": []})
-        return _compare(left["rep"].to_numpy(), _units(left["vec"]), right["rep"].to_numpy(), _units(right["vec"]), k, floor)
+        return _compare(left["rep"].to_numpy(), _units(left["vec"]), right["rep_b"].to_numpy(), _units(right["vec_b"]), k, floor)
 
-    away = visits.groupBy("home", "target").cogroup(targets.groupBy("home", "target")).applyInPandas(meet, schema)
+    asked = visits.join(vectors, "rep").select("home", "target", "rep", "vec")
+    given = targets.select(F.col("home").alias("home_b"), F.col("target").alias("target_b"), F.col("rep").alias("rep_b"), F.col("vec").alias("vec_b"))
+    away = asked.groupBy("home", "target").cogroup(given.groupBy("home_b", "target_b")).applyInPandas(meet, schema)
     return top_per_key(home.unionByName(away), ["source"], [F.desc("sim"), F.asc("target")], k).drop("rank")
 
 

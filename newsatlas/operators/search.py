@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from newsatlas.functions import as_col
 from newsatlas.functions.text import WS, fold, strip
 from newsatlas.operators.keys import top_per_key
-from newsatlas.operators.semantic import counted
 from newsatlas.operators.summaries import catalog_values, dual_map
+from newsatlas.session import by_key, cut
 
 TEXT_GRAMS, CATALOG_GRAMS = (3, 5), (2, 5)
 DIGITS = 6
@@ -18,31 +17,22 @@ TEXT, TAG, CRIME, MODUS = "Texto livre", "Tag", "Crime", "Modus"
 YEAR, MONTH = "Ano", "Mes"
 
 
-def char_grams(text: Column | str, low: int, high: int) -> Column:
-    """Character n-grams inside words, each word padded with one blank on both sides."""
-    parts = F.filter(F.split(as_col(text), rf"(?U){WS}+"), lambda w: w != "")
-
-    def grams(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        size = F.length(padded)
-        cut = lambda n: lambda i: F.substring(padded, i, F.lit(n))
-        starts = lambda n: F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-        none = F.array().cast("array<string>")
-        return F.concat(*[F.when(size >= n, F.transform(starts(n), cut(n))).otherwise(none) for n in range(low, high + 1)])
-
-    return F.flatten(F.transform(parts, grams))
-
-
 def word_grams(docs: DataFrame, key: str, text: str, low: int, high: int) -> DataFrame:
-    """(key, gram, tf). Each distinct word of a text is spelled out once, weighted by its count.
+    """(key, gram, tf): character n-grams inside words, each word padded with one blank on both sides.
 
-    The texts are partitioned by key first, so the counting of their many n-grams moves no rows.
+    The texts are partitioned by key once; both counts below then stay inside their partition. Each
+    distinct word of a text is spelled out once, weighted by its count.
     """
-    docs = docs.select(key, text).repartition(key)
-    parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"(?U){WS}+"), lambda w: w != "")
-    words = docs.select(key, F.inline(counted(parts)))
-    grams = words.select(key, F.explode(char_grams("term", low, high)).alias("gram"), "tf")
-    return grams.groupBy(key, "gram").agg(F.sum("tf").alias("tf"))
+    rows = by_key(docs.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("text")), key)
+    words = rows.select(key, F.explode(F.split("text", rf"(?U){WS}+")).alias("word")).where("word <> ''")
+    counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    padded = counts.select(key, F.concat(F.lit(" "), "word", F.lit(" ")).alias("w"), "n")
+    sizes = padded.select(key, "w", "n", F.explode(F.array(*[F.lit(i) for i in range(low, high + 1)])).alias("size"))
+    starts = sizes.where(F.length("w") >= F.col("size")).select(
+        key, "w", "n", "size", F.explode(F.sequence(F.lit(1), F.length("w") - F.col("size") + 1)).alias("at")
+    )
+    grams = starts.select(key, F.substring("w", F.col("at"), F.col("size")).alias("gram"), "n")
+    return grams.groupBy(key, "gram").agg(F.sum("n").alias("tf"))
 
 
 def gram_index(docs: DataFrame, key: str, text: str, grams: tuple[int, int] = TEXT_GRAMS) -> DataFrame:
@@ -58,8 +48,8 @@ def gram_index(docs: DataFrame, key: str, text: str, grams: tuple[int, int] = TE
 
 def query_grams(docs: DataFrame, value: str, grams: tuple[int, int]) -> DataFrame:
     """(gram, tf) of the query text: as many rows as the query has n-grams."""
-    one = docs.sparkSession.range(1).select(fold(F.lit(value)).alias("q"))
-    return one.select(F.explode(char_grams(strip("q"), *grams)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("tf"))
+    one = docs.sparkSession.range(1).select("id", strip(fold(F.lit(value))).alias("q"))
+    return word_grams(one, "id", "q", *grams).select("gram", "tf")
 
 
 def gram_scores(docs: DataFrame, key: str, text: str, value: str, grams: tuple[int, int] = TEXT_GRAMS) -> DataFrame:
@@ -128,9 +118,9 @@ def fuzzy_text(
     exact = df.where(F.contains(F.col("texto_busca_normalizado"), F.lit(query)))
     if not exact.isEmpty():
         return Signal(exact, value, value, 1.0)
-    base = gram_index(df, key, "texto_busca_normalizado") if index is None else index
+    base = cut(gram_index(df, key, "texto_busca_normalizado")) if index is None else index
     scores = score_index(base, key, query_grams(df, value, TEXT_GRAMS)).join(df.select(key), key, "left_semi")
-    scores = scores.where(F.col("score") > 0).cache()
+    scores = cut(scores.where(F.col("score") > 0))
     facts = scores.agg(F.max("score").alias("top"), F.count_if(F.col("score") >= floor).alias("n")).first()
     if facts["n"] < few:
         kept = scores.orderBy(F.desc("score"), key).limit(fallback).where(F.col("score") >= fallback_floor)

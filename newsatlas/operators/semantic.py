@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsatlas.functions import as_col
@@ -82,24 +83,25 @@ def vocabulary(
 class Tfidf:
     """A fitted vocabulary: sparse unit vectors in the JVM, and the same weights as rows."""
 
-    def __init__(self, vocab: DataFrame):
-        cells = vocab.orderBy("term").select("term", "idf").collect()  # at most max_features terms
-        self.terms = [r["term"] for r in cells]
-        self.idf = [r["idf"] for r in cells]
+    def __init__(self, vocab: DataFrame, terms: str = "terms"):
+        idf = {r["term"]: r["idf"] for r in vocab.select("term", "idf").collect()}  # at most max_features terms
+        if not idf:
+            raise ValueError("the vocabulary is empty")
+        listed = vocab.sparkSession.createDataFrame([([t],) for t in idf], f"{terms} array<string>")
+        self.count = CountVectorizer(inputCol=terms, outputCol="__tf", minDF=1, vocabSize=len(idf)).fit(listed)
+        self.terms = self.count.vocabulary
+        scale = Vectors.dense([idf[t] for t in self.terms])
+        self.weigh = ElementwiseProduct(scalingVec=scale, inputCol="__tf", outputCol="__w")
 
-    def vectors(self, docs: DataFrame, terms: str = "terms", out: str = "tfidf") -> DataFrame:
+    def vectors(self, docs: DataFrame, out: str = "tfidf") -> DataFrame:
         """One unit-length sparse vector per row; no shuffle."""
-        if not self.terms:
-            raise ValueError("the vocabulary is empty")
-        count = CountVectorizerModel.from_vocabulary(self.terms, inputCol=terms, outputCol="__tf")
-        weigh = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="__tf", outputCol="__w")
         unit = Normalizer(p=2.0, inputCol="__w", outputCol=out)
-        return unit.transform(weigh.transform(count.transform(docs))).drop("__tf", "__w")
+        return unit.transform(self.weigh.transform(self.count.transform(docs))).drop("__tf", "__w")
 
-    def rows(self, docs: DataFrame, *keys: str, terms: str = "terms") -> DataFrame:
+    def rows(self, docs: DataFrame, *keys: str) -> DataFrame:
         """(keys, term, weight), one row per document and term of the vocabulary."""
         vec = F.unwrap_udt("tfidf")
-        cells = self.vectors(docs.select(*keys, terms), terms).select(
+        cells = self.vectors(docs.select(*keys, self.count.getInputCol())).select(
             *keys, F.inline(F.arrays_zip(vec["indices"].alias("idx"), vec["values"].alias("weight")))
         )
         names = docs.sparkSession.createDataFrame(list(enumerate(self.terms)), "idx int, term string")
@@ -119,7 +121,8 @@ def reduced_vectors(vectors: DataFrame, key: str, column: str = "tfidf", max_com
     """
     size = vectors.select(F.unwrap_udt(column)["size"].alias("n")).first()["n"]
     k = max(1, min(max_components, max(2, size - 1), size))
-    svd = RowMatrix(vectors.select(column)).computeSVD(k, computeU=False)
+    rows = MLUtils.convertVectorColumnsFromML(vectors.select(column), column)
+    svd = RowMatrix(rows).computeSVD(k, computeU=False)
     basis = vectors.sparkSession.sparkContext.broadcast(svd.V.toArray())
     kind = vectors.schema[key].dataType.simpleString()
     sparse = F.unwrap_udt(column)

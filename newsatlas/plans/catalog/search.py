@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsatlas.operators import search as se
 from newsatlas.plans.catalog import views as v
-from newsatlas.plans.catalog.registry import query
+from newsatlas.plans.catalog.registry import query, stage
 from newsatlas.plans.catalog.summaries import tagged, trend_sql
 from newsatlas.plans.catalog.views import sql
 
@@ -54,9 +54,14 @@ CATALOG = {**CRIME_VALUES, **index_ctes("c", "value", "k", "cvals", *se.CATALOG_
 TAG_CATALOG = {**TAG_VALUES, **index_ctes("g", "value", "k", "gvals", *se.CATALOG_GRAMS)}
 
 
+@stage("char_index")
+def text_index(spark, d):
+    return se.gram_index(v.enriched(spark, d), "link", "texto_busca_normalizado").sortWithinPartitions("gram")
+
+
 @query("sem_char_index", sql("SELECT link, count(*) AS grams, round(sum(weight), 6) AS total, round(max(weight), 6) AS top FROM tidx GROUP BY link", "tidx", **TEXT_CTES))
 def char_index(spark, d):
-    rows = se.gram_index(v.enriched(spark, d), "link", "texto_busca_normalizado")
+    rows = text_index(spark, d)
     return rows.groupBy("link").agg(F.count(F.lit(1)).alias("grams"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 
@@ -95,7 +100,7 @@ FUZZY = "operacao estrella giua"
 )
 def fuzzy_text(spark, d):
     rows = v.enriched(spark, d)
-    index = se.gram_index(rows, "link", "texto_busca_normalizado")
+    index = text_index(spark, d)
     hit = se.fuzzy_text(rows, FUZZY, index=index)
     scores = se.score_index(index, "link", se.query_grams(rows, FUZZY, se.TEXT_GRAMS))
     return hit.rows.select("link").join(scores, "link")

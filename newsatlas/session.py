@@ -78,3 +78,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by key with the configured number of partitions.
+
+    The number is given outright, so that adaptive execution does not merge partitions whose rows are few
+    now and many after the explode that follows.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
