@@ -37,7 +37,7 @@ def word_grams(docs: DataFrame, key: str, text: str, low: int, high: int) -> Dat
 
 def gram_index(docs: DataFrame, key: str, text: str, grams: tuple[int, int] = TEXT_GRAMS) -> DataFrame:
     """(key, gram, weight, idf): unit-length TF-IDF rows. Store it sorted by gram to search it often."""
-    cells = word_grams(docs, key, text, *grams)
+    cells = cut(word_grams(docs, key, text, *grams))  # read twice: for the counts and for the weights
     total = docs.agg(F.count(F.lit(1))).scalar()
     stats = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     idf = stats.select("gram", (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
