@@ -25,18 +25,21 @@ def series_catalog(series: DataFrame) -> DataFrame:
     )
 
 
-def sort_order(mode: str) -> list:
-    first = F.col("first_date").asc_nulls_last()
+def sort_keys(mode: str) -> list:
+    """Ascending sort keys of a ranking; unknown dates come last, ties go to the smaller id."""
+    down = lambda c: -F.col(c)
+    first, last = (F.unix_timestamp(c) for c in ("first_date", "last_date"))
+    late = F.lit(2**62)
     orders = {
-        STRENGTH: [F.desc("strength_score"), F.desc("size"), F.desc("active_years")],
-        SIZE: [F.desc("size"), F.desc("active_years"), first],
-        SPAN: [F.desc("active_years"), F.desc("size"), first],
+        STRENGTH: [down("strength_score"), down("size"), down("active_years")],
+        SIZE: [down("size"), down("active_years"), F.coalesce(first, late)],
+        SPAN: [down("active_years"), down("size"), F.coalesce(first, late)],
     }
-    return orders.get(mode, [F.col("last_date").desc_nulls_last(), F.desc("size")]) + [F.asc("semantic_series_id")]
+    return orders.get(mode, [F.coalesce(-last, late), down("size")]) + [F.col("semantic_series_id")]
 
 
 def sort_catalog(catalog: DataFrame, mode: str = STRENGTH) -> DataFrame:
-    return catalog.orderBy(*sort_order(mode))
+    return catalog.orderBy(*sort_keys(mode))
 
 
 def series_metrics(catalog: DataFrame) -> DataFrame:

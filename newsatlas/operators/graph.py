@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsatlas.functions import series as fn
 from newsatlas.functions.dates import span_days
-from newsatlas.operators.keys import lookup, ranked_list
+from newsatlas.operators.keys import consecutive_ids, lookup, ranked_list
 from newsatlas.operators.summaries import first_titles, modes, profile, span_columns
-from newsatlas.session import cut, pin
+from newsatlas.session import cut
 
 
 def components(edges: DataFrame, source: str = "source_link", target: str = "target_link") -> DataFrame:
@@ -64,19 +64,6 @@ def _layout(described: DataFrame, series_id: Column | str) -> DataFrame:
     )
 
 
-def _ids(described: DataFrame, key: str, *order: Column) -> DataFrame:
-    """Consecutive ids in a global order, from range-sorted partitions and their row counts.
-
-    Only the offset of each partition comes to the driver, so no task sees all rows.
-    """
-    ranged = pin(described.select(key, *[o.alias(f"o{i}") for i, o in enumerate(order)]).orderBy(*[f"o{i}" for i in range(len(order))]))
-    spot = ranged.select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    heads = spot.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m0"))
-    upto = F.sum("n").over(Window.orderBy("p")) - F.col("n")  # one row per partition
-    heads = heads.select("p", "m0", upto.alias("before"))
-    return spot.join(F.broadcast(heads), "p").select(key, (F.col("before") + F.col("m") - F.col("m0") + 1).alias("semantic_series_id"))
-
-
 def component_series(corpus: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Assignments (link, semantic_series_id) and one described series per component.
 
@@ -86,17 +73,20 @@ def component_series(corpus: DataFrame, parts: DataFrame) -> tuple[DataFrame, Da
     members = cut(parts.select(F.col("node").alias("link"), "component").join(own, "link"))
     described = _described(members, "component", F.count(F.lit(1)))
     described = cut(described.withColumn("series_group_key", fn.series_key("ops", "crimes", "series_label")))
-    ids = cut(_ids(described, "component", -F.col("size"), F.col("component")))
+    ids = cut(consecutive_ids(described, "component", -F.col("size"), F.col("component")))
     summary = _layout(described.join(ids, "component"), "semantic_series_id")
-    assigned = lookup(members.select("link", "component"), ids, "component").select("link", "semantic_series_id")
+    assigned = cut(lookup(members.select("link", "component"), ids, "component").select("link", "semantic_series_id"))
     return assigned, summary
 
 
 def series_members(assigned: DataFrame, summary: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Assignments with the series key and label and the article's own columns."""
+    """Assignments with the series key and label and the article's own columns.
+
+    A series may hold a large share of all articles, so its facts are looked up, not joined on one hot key.
+    """
     meta = summary.select("semantic_series_id", "series_label", "series_group_key")
     own = corpus.select("link", "titulo", "data_publicacao_dt", "ano", "cluster_id", "nome_operacao", "crime_labels")
-    return assigned.select("link", "semantic_series_id").join(meta, "semantic_series_id", "left").join(own, "link", "left")
+    return lookup(assigned.select("link", "semantic_series_id"), meta, "semantic_series_id").join(own, "link", "left")
 
 
 def consolidate(corpus: DataFrame, assigned: DataFrame, summary: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,10 +96,10 @@ def consolidate(corpus: DataFrame, assigned: DataFrame, summary: DataFrame) -> t
     members = cut(members.withColumn("series_group_key", key))
     described = cut(_described(members, "series_group_key", F.count_distinct("link")))
     order = [-F.col("size"), F.coalesce(F.unix_timestamp("first_date"), F.lit(2**62)), F.col("series_label"), F.col("series_group_key")]
-    ids = cut(_ids(described, "series_group_key", *order))
+    ids = cut(consecutive_ids(described, "series_group_key", *order))
     merged = _layout(described.join(ids, "series_group_key"), "semantic_series_id")
-    links = members.select("link", "series_group_key").join(ids, "series_group_key").select("link", "semantic_series_id").distinct()
-    return links, merged.orderBy("semantic_series_id")
+    links = lookup(members.select("link", "series_group_key"), ids, "series_group_key")
+    return links.select("link", "semantic_series_id").distinct(), merged.orderBy("semantic_series_id")
 
 
 def assign_series(corpus: DataFrame, links: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from newsatlas.session import pin
+
 HOT_SHARE = 0.001  # a key is hot above this share of the rows, so at most 1/share keys are hot
 
 
@@ -79,3 +81,17 @@ def bucketed_lag(df: DataFrame, group: str, order: str, value: str, width: int,
     return joined.withColumn(out, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__prev"))).drop(
         "__b", "__prev", "__first", "__carry"
     )
+
+
+def consecutive_ids(df: DataFrame, key: str, *order: Column, out: str = "semantic_series_id") -> DataFrame:
+    """(key, out): positions 1..n in a global order, from range-sorted partitions and their row counts.
+
+    The running count covers one row per partition, so no task sees all rows.
+    """
+    marks = [o.alias(f"o{i}") for i, o in enumerate(order)]
+    ranged = pin(df.select(key, *marks).orderBy(*[f"o{i}" for i in range(len(order))]))
+    spot = ranged.select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    heads = spot.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m0"))
+    before = F.sum("n").over(Window.orderBy("p")) - F.col("n")
+    heads = heads.select("p", "m0", before.alias("before"))
+    return spot.join(F.broadcast(heads), "p").select(key, (F.col("before") + F.col("m") - F.col("m0") + 1).alias(out))

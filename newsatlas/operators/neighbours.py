@@ -192,14 +192,17 @@ def nearest(vectors: DataFrame, key: str, k: int = 5, floor: float | None = None
 
 
 def neighbour_table(corpus: DataFrame, near: DataFrame) -> DataFrame:
-    """Neighbours with titles, dates, clusters, operation names and the day gap of both ends."""
+    """Neighbours with titles, dates, clusters, operation names and the day gap of both ends.
+
+    An article is the source of at most k rows but may be the target of very many, hence the lookup.
+    """
     side = lambda end: corpus.select(
         F.col("link").alias(f"{end}_link"), F.col("titulo").alias(f"{end}_titulo"),
         F.col("data_publicacao_dt").alias(f"{end}_data"), F.col("cluster_id").alias(f"{end}_cluster_id"),
         F.col("nome_operacao").alias(f"{end}_operation_name"),
     )
     ends = near.select(F.col("source").alias("source_link"), F.col("target").alias("target_link"), "rank", "cosine_similarity")
-    joined = ends.join(side("source"), "source_link").join(side("target"), "target_link")
+    joined = lookup(cut(ends.join(side("source"), "source_link")), side("target"), "target_link")
     return joined.select(
         "source_link", "source_titulo", "source_data", "target_link", "target_titulo", "target_data", "rank",
         "cosine_similarity", "source_cluster_id", "target_cluster_id", "source_operation_name", "target_operation_name",

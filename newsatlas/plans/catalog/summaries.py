@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from newsatlas.functions import gazetteer as geo
 from newsatlas.operators import browse, corpus as ops, keys, neighbours as near, search, semantic, summaries as sm
@@ -315,7 +315,7 @@ _ORDERS = {
 def sorted_series(spark, d):
     catalog = browse.series_catalog(v.series(spark, d))
     parts = [
-        catalog.select(F.lit(mode).alias("modo"), F.row_number().over(Window.orderBy(*browse.sort_order(mode))).alias("pos"), "semantic_series_id")
+        keys.consecutive_ids(catalog, "semantic_series_id", *browse.sort_keys(mode), out="pos").withColumn("modo", F.lit(mode))
         for mode in _ORDERS
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

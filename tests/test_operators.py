@@ -103,7 +103,7 @@ def test_repeated_link_fails(spark):
 def test_consecutive_ids_over_many_partitions(spark):
     rows = [(f"k{i}", (i * 37) % 101) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, n int").repartition(7)
-    got = {r["k"]: r["semantic_series_id"] for r in graph._ids(df, "k", F.col("n"), F.col("k")).collect()}
+    got = {r["k"]: r["semantic_series_id"] for r in keys.consecutive_ids(df, "k", F.col("n"), F.col("k")).collect()}
     assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == [k for k, n in sorted(rows, key=lambda r: (r[1], r[0]))]
     assert sorted(got.values()) == list(range(1, 301))
 
