@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newsatlas.operators.keys import bucketed_lag, ranked_list, top_per_key
@@ -78,36 +76,36 @@ def network_edges(weights: DataFrame, neighbours: int = 3, min_similarity: float
     ).orderBy(F.desc("similarity"), F.desc("shared_count"), "source_cluster", "target_cluster")
 
 
-def layout(weights: DataFrame, n_clusters: int) -> DataFrame:
+def layout(weights: DataFrame) -> DataFrame:
     """(cluster_id, x, y, z): leading three components, each axis scaled to a largest absolute value of 1.
 
-    One row per cluster; the matrix has at most clusters x vocabulary cells.
+    The components follow from the products between clusters: one number per pair of clusters, which is all
+    that reaches the driver.
     """
     spark = weights.sparkSession
-    terms = weights.select("term").distinct().orderBy("term").select("term").toPandas()["term"]  # max_features at most
-    index = spark.createDataFrame(list(enumerate(terms)), "idx int, term string")
-    cells = weights.join(F.broadcast(index), "term").groupBy("cluster_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("c")
-    )
-    rows = cells.orderBy("cluster_id").collect()  # one row per cluster
-    ids = [r["cluster_id"] for r in rows]
-    k = min(3, min(len(ids), len(terms)) - 1)
+    a = weights.select(F.col("cluster_id").alias("a"), "term", F.col("weight").alias("wa"))
+    b = weights.select(F.col("cluster_id").alias("b"), "term", F.col("weight").alias("wb"))
+    dots = a.join(b, "term").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot")).collect()
+    ids = sorted({r["a"] for r in dots})
+    place = {c: i for i, c in enumerate(ids)}
+    products = np.zeros((len(ids), len(ids)))
+    for r in dots:
+        products[place[r["a"]], place[r["b"]]] = r["dot"]
+    k = max(0, min(3, min(len(ids), weights.select("term").distinct().count()) - 1))
     coords = np.zeros((len(ids), 3))
-    if k >= 1:
-        vectors = [Vectors.sparse(len(terms), [c["idx"] for c in r["c"]], [c["weight"] for c in r["c"]]) for r in rows]
-        svd = RowMatrix(spark.sparkContext.parallelize(vectors, 1)).computeSVD(k)
-        basis = svd.V.toArray()
-        coords[:, : basis.shape[1]] = np.stack([v.toArray() @ basis for v in vectors])
+    if k:
+        values, vectors = np.linalg.eigh((products + products.T) / 2)
+        coords[:, :k] = (vectors * np.sqrt(np.maximum(values, 0.0)))[:, ::-1][:, :k]
     spread = np.abs(coords).max(axis=0, initial=0.0)
     coords = coords / np.where(spread > 0, spread, 1.0)
     return spark.createDataFrame([(i, *map(float, c)) for i, c in zip(ids, coords)], "cluster_id int, x double, y double, z double")
 
 
-def network_nodes(weights: DataFrame, clusters: DataFrame, n_clusters: int) -> DataFrame:
+def network_nodes(weights: DataFrame, clusters: DataFrame) -> DataFrame:
     """Nodes with place, cluster facts and dominant terms."""
     facts = clusters.select("cluster_id", "size", "active_years", "top_terms", "top_tags", "top_crimes")
     named = dominant_terms(weights).select("cluster_id", F.array_join("dominant_terms", " | ").alias("dominant_terms"))
-    return layout(weights, n_clusters).join(facts, "cluster_id").join(named, "cluster_id", "left").orderBy("cluster_id")
+    return layout(weights).join(facts, "cluster_id").join(named, "cluster_id", "left").orderBy("cluster_id")
 
 
 def place_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

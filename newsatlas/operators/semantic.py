@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
@@ -20,6 +21,7 @@ from newsatlas.functions import as_col
 from newsatlas.functions.gazetteer import is_geographic_term, without_geography
 from newsatlas.functions.lexicon import STOP_WORDS
 from newsatlas.operators.keys import ranked_list, top_per_key
+from newsatlas.session import cut
 
 TOKEN = r"\b[a-z0-9-]{2,}\b"
 CANDIDATES = (12, 16, 20, 24, 28, 32)
@@ -119,11 +121,14 @@ def reduced_vectors(vectors: DataFrame, key: str, column: str = "tfidf", max_com
     The decomposition is distributed; only the terms x components matrix reaches the driver, and its
     size is fixed by the vocabulary and component limits.
     """
+    vectors = cut(vectors.select(key, column))
     size = vectors.select(F.unwrap_udt(column)["size"].alias("n")).first()["n"]
     k = max(1, min(max_components, max(2, size - 1), size))
-    rows = MLUtils.convertVectorColumnsFromML(vectors.select(column), column)
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    basis = vectors.sparkSession.sparkContext.broadcast(svd.V.toArray())
+    rows = MLUtils.convertVectorColumnsFromML(vectors.select(column), column).persist(StorageLevel.MEMORY_AND_DISK)
+    try:  # the solver passes over the rows many times
+        basis = vectors.sparkSession.sparkContext.broadcast(RowMatrix(rows).computeSVD(k, computeU=False).V.toArray())
+    finally:
+        rows.unpersist()
     kind = vectors.schema[key].dataType.simpleString()
     sparse = F.unwrap_udt(column)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsatlas.operators import graph, neighbours as near, network, semantic as sem
+from newsatlas.operators import graph, neighbours as near, network, semantic as sem, summaries as sm
 from newsatlas.plans.catalog import views as v
 from newsatlas.plans.catalog.registry import query, stage
 from newsatlas.plans.catalog.views import sql
@@ -220,8 +220,20 @@ def dominant_terms(spark, d):
 
 @query("sem_network_layout")
 def network_layout(spark, d):
-    weights = cluster_weights(spark, d)
-    return network.layout(weights, weights.select("cluster_id").distinct().count())
+    return network.layout(cluster_weights(spark, d))
+
+
+@query(
+    "sem_network_nodes",
+    sql(
+        "SELECT k.cluster_id, k.size, array_to_string(t.vals, ' | ') AS dominant_terms FROM (SELECT cluster_id, count(*) AS size FROM cor GROUP BY 1) k JOIN "
+        "(SELECT cluster_id, list(term ORDER BY rn) AS vals FROM (SELECT cluster_id, term, row_number() OVER (PARTITION BY cluster_id ORDER BY round(weight, 6) DESC, term) AS rn FROM cw) WHERE rn <= 6 GROUP BY 1) t USING (cluster_id)",
+        "cor", "cw", **NET_CTES,
+    ),
+)
+def network_nodes(spark, d):
+    nodes = network.network_nodes(cluster_weights(spark, d), sm.cluster_summary(v.corpus(spark, d)))
+    return nodes.select("cluster_id", "size", "dominant_terms")
 
 
 @query(

@@ -251,3 +251,17 @@ def test_sort_modes_put_unknown_dates_last(spark):
 
 def test_lexicon_table_lists_every_keyword(spark):
     assert lexicon.lexicon_table(spark).count() == sum(len(k) for rules in (lexicon.CRIMES, lexicon.MODUS) for k in rules.values())
+
+
+def test_network_and_layout(spark):
+    texts = {0: "aa bb cc dd", 1: "aa bb cc ee", 2: "ff gg hh", 3: "ff gg ii"}
+    df = spark.createDataFrame([(c, c, t) for c, t in texts.items()], "cluster_id int, seq long, texto_busca_normalizado string")
+    weights = network.cluster_weights(network.cluster_terms(df), 4).cache()
+    edges = network.network_edges(weights)
+    assert {(r["source_cluster"], r["target_cluster"]) for r in edges.collect()} == {(0, 1), (2, 3)}
+    places = {r["cluster_id"]: np.array([r["x"], r["y"], r["z"]]) for r in network.layout(weights).collect()}
+    assert np.abs(np.stack(list(places.values()))).max(axis=0)[:2] == pytest.approx([1, 1])
+    assert np.linalg.norm(places[0] - places[1]) < np.linalg.norm(places[0] - places[2])
+    nodes = spark.createDataFrame([(i, 0.0, 0.0, 0.0) for i in range(5)], "cluster_id int, x double, y double, z double")
+    assert [r["cluster_id"] for r in network.isolated(nodes, edges).collect()] == [4]
+    assert network.place_edges(edges, nodes).count() == 2
