@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsatlas.llm import quality  # noqa: F401
+from newsatlas.llm import mixing, quality, sharding  # noqa: F401
 from newsatlas.llm.frames import QUERIES, SQL
 
 
