@@ -39,13 +39,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str) -> DataFrame:
+def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, column: str, **bounds: int) -> DataFrame:
     """mapInArrow over pieces of bounded text size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from newsatlas.llm.words import pieces
 
-        for piece in pieces(batches, column):
+        for piece in pieces(batches, column, **bounds):
             out = work(piece)
             if out is not None and out.num_rows:
                 yield out

@@ -38,13 +38,13 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of text, one row at least: long texts keep memory bounded."""
+def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BYTES, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text and ``most`` rows, one at least: memory stays bounded."""
     for batch in batches:
         _, offsets = utf8(batch.column(column))
         at, rows = 0, batch.num_rows
         while at < rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            end = min(at + most, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
             yield batch.slice(at, end - at)
             at = end
 
