@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsatlas.llm import language, mixing, quality, sharding, warc  # noqa: F401
+from newsatlas.llm import decontaminate, html_text, language, mixing, quality, sharding, warc  # noqa: F401
 from newsatlas.llm.frames import QUERIES, SQL
 
 
