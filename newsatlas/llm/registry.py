@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsatlas.llm import decontaminate, html_text, language, line_templates, mixing, quality, scoring, sharding, warc  # noqa: F401
+from newsatlas.llm import decontaminate, html_text, jaccard_join, language, line_templates, mixing, quality, scoring, sharding, warc  # noqa: F401
 from newsatlas.llm.frames import QUERIES, SQL
 
 
