@@ -110,6 +110,14 @@ def passes(policy: str = CURRENT, bits: str = "failed") -> Column:
     return F.col(bits).bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
 
 
+def kept(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
+    """The documents that the policy keeps, with their own columns and nothing else."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    judged = ledger(own, names[docs.columns.index(text)], "failed").where(passes(policy))
+    return judged.select(*names).toDF(*docs.columns)
+
+
 def ablations(entries: DataFrame, policy: str = CURRENT, bits: str = "failed") -> DataFrame:
     """(rule, failed, only_this): documents that fail the rule, and those that the policy would keep without it.
 

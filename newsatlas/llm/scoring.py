@@ -44,7 +44,7 @@ BURN, SAMPLES = 2, 3
 EXACT = 40
 STRENGTH = 1.0
 SEED = 4
-PIECE = 8 << 20
+PIECE = 5 << 20
 PIECE_ROWS = 1 << 15
 PART_TOKENS = 4 << 20  # tokens that one part of the words should hold
 END = xxhash.xxh64_intdigest(b"")  # no word is empty
@@ -119,9 +119,12 @@ def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def dealt(docs: DataFrame, key: str, text: str, learn: Column, hot: np.ndarray, own: np.ndarray, parts: int) -> DataFrame:
-    """(piece, part, data, ids): the tokens of each piece by part of the words; part -1 has its texts and hot words."""
+    """(piece, part, data, owner, ids): the tokens of each piece by part of the words, and the texts they stand in.
+
+    Part -1 has the texts of the piece and their hot words. What is counted (data) stands apart from the texts (owner).
+    """
     ids = T.ArrayType(docs.schema[key].dataType)
-    schema = T.StructType([T.StructField("piece", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("ids", ids)])
+    schema = T.StructType([T.StructField("piece", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("owner", T.BinaryType()), T.StructField("ids", ids)])
     shared = docs.sparkSession.sparkContext.broadcast((hot, own))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +138,7 @@ def dealt(docs: DataFrame, key: str, text: str, learn: Column, hot: np.ndarray,
             context[1:] = np.where(before >= 0, 1 + ENDINGS + before, 1 + ending[:-1])
             context[1:][owner[1:] != owner[:-1]] = 0
             at = index(hot, hashes)
-            rows = [(piece_no, -1, packed(lengths, learns, (owner[at >= 0]).astype(np.int32), at[at >= 0].astype(np.int16), context[at >= 0].astype(np.int16)), piece.column(key).to_pylist())]
+            rows = [(piece_no, -1, packed(lengths, learns, (owner[at >= 0]).astype(np.int32), at[at >= 0].astype(np.int16), context[at >= 0].astype(np.int16)), None, piece.column(key).to_pylist())]
             # hot words are only counted here, the others go as tokens
             counted = np.flatnonzero((at >= 0) & learns[owner])
             codes, n = np.unique(at[counted] << 16 | context[counted], return_counts=True)
@@ -153,11 +156,12 @@ def dealt(docs: DataFrame, key: str, text: str, learn: Column, hot: np.ndarray,
                 k, m = np.searchsorted(code, [i << 32, j << 32])
                 x, y = np.searchsorted(hot_part, [p, p + 1])
                 own_code, hot_code = code[k:m], codes[x:y]
+                texts = own_code & 0xFFFF
                 rows.append((piece_no, p, packed(
-                    seen[i:j], ((own_code >> 32) - i).astype(np.int32), (own_code >> 16 & 0xFFFF).astype(np.int16), (own_code & 0xFFFF).astype(np.uint16), learns,
+                    seen[i:j], ((own_code >> 32) - i).astype(np.int32), (own_code >> 16 & 0xFFFF).astype(np.int16), np.packbits(learns[texts]),
                     hot[hot_code >> 16], (hot_code & 0xFFFF).astype(np.int16), n[x:y].astype(np.int64),
-                ), None))
-            yield pa.RecordBatch.from_pylist([dict(zip(("piece", "part", "data", "ids"), r)) for r in rows], arrow_schema)
+                ), packed(texts.astype(np.uint16)), None))
+            yield pa.RecordBatch.from_pylist([dict(zip(("piece", "part", "data", "owner", "ids"), r)) for r in rows], arrow_schema)
             piece_no += 1
 
     arrow_schema = to_arrow_schema(schema)
@@ -174,8 +178,8 @@ def counts(dealt: DataFrame, contexts: int) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         found, customers = [], []
         for data in group["data"]:
-            seen, word, context, owner, learns, hot, hot_context, n = unpacked(data)
-            learned = learns[owner]
+            seen, word, context, learns, hot, hot_context, n = unpacked(data)
+            learned = np.unpackbits(learns, count=len(word)).astype(bool)
             found += [seen[word[learned]], hot]
             customers += [np.stack([context[learned].astype(np.int64), np.ones(learned.sum(), np.int64)]), np.stack([hot_context.astype(np.int64), n])]
         every, (context, n) = np.concatenate(found), np.concatenate(customers, axis=1)
@@ -265,10 +269,14 @@ def sweep(model: DataFrame, totals: Totals, number: int) -> tuple[DataFrame, Tot
                 yield pd.DataFrame({"part": [part], "tables": [packed(t.astype(np.int32), t0.astype(np.int32))], "sums": [sums.ravel().tolist()]})
 
     done = cut(model.mapInPandas(run, "part int, tables binary, sums array<double>"))
-    at = F.posexplode("sums").alias("i", "x")
     new = Totals(totals.contexts, totals.tokens, totals.known, totals.discount)
-    for r in done.select(at).groupBy("i").agg(F.sum("x").alias("x")).collect():
-        (new.customers if r["i"] <= totals.contexts else new.tables)[r["i"] % (totals.contexts + 1)] = r["x"]
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sums": [np.sum(group["sums"].tolist(), axis=0).tolist()]})
+
+    some = done.select((F.col("part") % 16).alias("g"), "sums").groupBy("g").applyInPandas(summed, "sums array<double>").collect()
+    if some:
+        new.customers, new.tables = np.sum([r["sums"] for r in some], axis=0).reshape(2, -1)
     return done.select("part", "tables"), new
 
 
@@ -359,8 +367,9 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
             samples = [[np.zeros(0, np.int64)] * 2] * len(totals)
         seen_n = np.r_[np.bincount(code // contexts, weights=c, minlength=len(names)), 0]
         out = []
-        for piece, data in zip(group["piece"], group["data"]):
-            seen, word, context, owner, *_ = unpacked(data)
+        for piece, data, owner in zip(group["piece"], group["data"], group["owner"]):
+            seen, word, context, *_ = unpacked(data)
+            (owner,) = unpacked(owner)
             if not len(word):
                 continue
             place = index(names, seen)[word]
@@ -372,7 +381,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
             out.append((piece, packed(docs.astype(np.int32), *sums)))
         return pd.DataFrame(out, columns=["piece", "data"])
 
-    partial = pieces_.where("part >= 0").select("piece", "part", "data").groupBy("part").cogroup(model.groupBy("part")).applyInPandas(of_part, "piece long, data binary")
+    partial = pieces_.where("part >= 0").select("piece", "part", "data", "owner").groupBy("part").cogroup(model.groupBy("part")).applyInPandas(of_part, "piece long, data binary")
     heads = pieces_.where("part = -1").select("piece", "data", "ids")
     both = partial.select("piece", "data", F.lit(None).cast(pieces_.schema["ids"].dataType).alias("ids")).unionByName(heads)
     kind = pieces_.schema["ids"].dataType.elementType
