@@ -394,7 +394,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
         lengths, _, owner, at, context = unpacked(head["data"])
         n = len(lengths)
         seen = n_hot[at] if len(at) else np.zeros(0)
-        known, first, second = (np.bincount(owner, weights=x, minlength=n) for x in (seen > 0, base(seen), log_p[at, context]))
+        known, first, second = (np.bincount(owner, weights=x, minlength=n).astype(float) for x in (seen > 0, base(seen), log_p[at, context]))
         for data in group["data"][~is_head]:
             docs, *sums = unpacked(data)
             for total, part in zip((known, first, second), sums):
