@@ -48,6 +48,7 @@ def _by_initial(words: list[str]) -> str:
     return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
 
 
+# Dateline and headline rules.
 DATELINE = r"(?U)\b[\w' -]{2,60}/([A-Z]{2})\b"
 LEAD_CHARS = 1200  # the dateline rule looks at the opening of the article only
 ALL = "Todos"
@@ -81,13 +82,16 @@ def state_names(ufs: Column | str) -> Column:
     return F.array_compact(F.transform(as_col(ufs), lambda uf: F.try_element_at(table, uf)))
 
 
-def mention_sources(title: Column | str, subtitle: Column | str, tags: Column | str, body: Column | str) -> Column:
-    """What the state rules look at: folded headline (h), folded tags (t), dateline codes of the opening (d)."""
+def mention_sources(title: Column | str, subtitle: Column | str, tags: Column | str, body: Column | str, lead_chars: int | None = LEAD_CHARS) -> Column:
+    """What the state rules look at: folded headline (h), folded tags (t), dateline codes of the opening (d).
+
+    Datelines beyond the first ``lead_chars`` characters are left out; None looks at the whole body.
+    """
     blank = lambda c: F.coalesce(as_col(c), F.lit(""))
     return F.struct(
         fold(F.concat_ws(" ", blank(title), blank(subtitle))).alias("h"),
         F.transform(F.split(blank(tags), r"\|"), lambda t: fold(strip(t))).alias("t"),
-        F.regexp_extract_all(F.left(blank(body), F.lit(LEAD_CHARS)), F.lit(DATELINE), 1).alias("d"),
+        F.regexp_extract_all(blank(body) if lead_chars is None else F.left(blank(body), F.lit(lead_chars)), F.lit(DATELINE), 1).alias("d"),
     )
 
 

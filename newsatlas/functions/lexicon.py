@@ -43,16 +43,19 @@ CORRECTED: dict[str, list[str]] = {
     "desarticulacao_rede": ["desarticulacao"],
 }
 
-STOP_WORDS: list[str] = (
-    "a ao aos aquela aquelas aquele aqueles aquilo as ate com como contra da das de dela dele deles demais "
-    "depois do dos e ela elas ele eles em entre era eram essa essas esse esses esta estao estar estas estava "
-    "este estes foi foram ha isso isto ja la lhe lhes mais mas mesmo na nas nao nem no nos nossa nosso nossos "
-    "num numa o os ou para pela pelas pelo pelos por qual quando que quem se sem ser seu seus sido sob sobre "
-    "sua suas tal tambem te tem tendo ter teve tipo toda todas todo todos um uma umas uns vos policia federal "
-    "pf operacao operacoes noticia noticias"
-).split()
+STOP_WORDS: list[str] = [
+    "a", "ao", "aos", "aquela", "aquelas", "aquele", "aqueles", "aquilo", "as", "ate", "com", "como", "contra", "da",
+    "das", "de", "dela", "dele", "deles", "demais", "depois", "do", "dos", "e", "ela", "elas", "ele", "eles", "em",
+    "entre", "era", "eram", "essa", "essas", "esse", "esses", "esta", "estao", "estar", "estas", "estava", "este",
+    "estes", "foi", "foram", "ha", "isso", "isto", "ja", "la", "lhe", "lhes", "mais", "mas", "mesmo", "na", "nas",
+    "nao", "nem", "no", "nos", "nossa", "nosso", "nossos", "num", "numa", "o", "os", "ou", "para", "pela", "pelas",
+    "pelo", "pelos", "por", "qual", "quando", "que", "quem", "se", "sem", "ser", "seu", "seus", "sido", "sob",
+    "sobre", "sua", "suas", "tal", "tambem", "te", "tem", "tendo", "ter", "teve", "tipo", "toda", "todas", "todo",
+    "todos", "um", "uma", "umas", "uns", "vos", "policia", "federal", "pf", "operacao", "operacoes", "noticia",
+    "noticias",
+]
 
-OPERATION_STOP_WORDS: list[str] = "em no na nos nas contra para com do da de e".split()
+OPERATION_STOP_WORDS: list[str] = ["em", "no", "na", "nos", "nas", "contra", "para", "com", "do", "da", "de", "e"]
 OPERATION_PHASE_WORDS: list[str] = ["fase", "fases"]
 # --------------------------------------------------------------------------------------------
 

@@ -96,12 +96,20 @@ def excerpt(value: Column | str, limit: int = 6000) -> Column:
     )
 
 
+QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+
+
 def unpack_list(value: Column | str) -> Column:
-    """Cell holding a quoted list or a '|'-separated list, as an array."""
+    """Cell holding a quoted list or a '|'-separated list, as an array.
+
+    Items of a quoted list stand in single or double quotes, and each sign may occur inside the other.
+    """
     text = strip(value)
     piped = F.filter(F.transform(F.split(text, r"\|"), strip), lambda part: part != "")
-    quoted = F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<string>", {"mode": "PERMISSIVE"})
-    listed = F.when(text.rlike(r"(?s)\A\[.*\]\z"), F.coalesce(quoted, piped)).otherwise(piped)
+    items = F.regexp_extract_all(text, F.lit(QUOTED), 0)
+    inside = F.transform(items, lambda item: F.regexp_replace(F.substring(item, F.lit(2), F.length(item) - 2), r"\\(.)", "$1"))
+    empty = text.rlike(r"(?s)\A\[\s*\]\z")
+    listed = F.when(text.rlike(r"(?s)\A\[.*\]\z") & (empty | (F.size(items) > 0)), inside).otherwise(piped)
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(listed)
 
 
@@ -110,13 +118,14 @@ def pack_list(value: Column | str, separator: str = " | ") -> Column:
 
 
 def contains_pattern(value: Column | str, pattern: str) -> Column:
-    """Case-insensitive regular expression; a pattern that is not valid is taken literally."""
-    import re
+    """Case-insensitive regular expression; a pattern that the JVM does not accept is taken literally."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
 
     text = as_col(value)
     try:
-        re.compile(pattern)
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile("(?iu)" + pattern)
         hit = text.rlike("(?iu)" + pattern)
-    except re.error:
+    except Py4JJavaError:
         hit = F.contains(F.lower(text), F.lower(F.lit(pattern)))
     return F.coalesce(hit, F.lit(False))

@@ -171,8 +171,19 @@ def trend_peak(trend: DataFrame, name: str = "year") -> DataFrame:
     )
 
 
-def dual_compare(df: DataFrame, a: str, b: str, mode: str = TEXT, period: str = YEAR, key: str = "link") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Trend, peak table and two-sided map of two terms."""
-    left, right = match_signal(df, mode, a, key), match_signal(df, mode, b, key)
-    trend = signal_trend(df, [left, right], period)
-    return trend, trend_peak(trend, "year" if period == YEAR else "month"), dual_map(left.rows, right.rows)
+def dual_compare(
+    df: DataFrame, a: str, b: str, mode: str = TEXT, period: str = YEAR, key: str = "link",
+    index: DataFrame | None = None, corpus: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trend, peak table and two-sided map of two terms; a blank term is left out.
+
+    ``df`` may be filtered; ``index`` and ``corpus`` are the n-gram index and the rows of the whole collection, from
+    which misspelt terms are resolved.
+    """
+    found = [match_signal(df, mode, t, key, index, corpus) if t and t.strip() else None for t in (a, b)]
+    trend = signal_trend(df, [s for s in found if s is not None], period) if any(found) else None
+    sides = [s.rows if s is not None else df.where(F.lit(False)) for s in found]
+    if trend is None:
+        blank = Signal(df.where(F.lit(False)), "", "", 0.0)
+        trend = signal_trend(df, [blank], period).where(F.lit(False))
+    return trend, trend_peak(trend, "year" if period == YEAR else "month"), dual_map(*sides)

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsatlas.functions import as_col
@@ -25,7 +23,10 @@ from newsatlas.session import cut
 
 TOKEN = r"\b[a-z0-9-]{2,}\b"
 CANDIDATES = (12, 16, 20, 24, 28, 32)
-SAMPLE = 2000
+OVERSAMPLE, POWER_ROUNDS = 12, 6  # of the block power iteration
+TERM_BLOCK = 512  # terms in a block of its sums
+CELLS = 1 << 15  # nonzero cells multiplied at once
+FITS_AT_ONCE = 8
 
 
 def words(text: Column | str) -> Column:
@@ -71,15 +72,17 @@ def term_stats(docs: DataFrame, terms: str = "terms") -> DataFrame:
 
 
 def vocabulary(
-    stats: DataFrame, n_docs: int, min_df: int = 3, max_df: float = 0.80, max_features: int = 40_000
+    stats: DataFrame, n_docs: int, min_df: int = 3, max_df: float = 0.80, max_features: int | None = 40_000
 ) -> DataFrame:
     """The most frequent terms within the document-frequency limits, with their idf.
 
-    At most ``max_features`` rows, which is what allows it to be broadcast or brought to the driver.
+    At most ``max_features`` rows, which is what allows it to be broadcast or brought to the driver; rarer terms are
+    left out. None keeps every term within the document-frequency limits.
     """
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    return kept.orderBy(F.desc("tf"), "term").limit(max_features).withColumn("idf", idf)
+    ranked = kept.orderBy(F.desc("tf"), "term")
+    return (ranked if max_features is None else ranked.limit(max_features)).withColumn("idf", idf)
 
 
 class Tfidf:
@@ -115,6 +118,66 @@ def fit_tfidf(docs: DataFrame, n_docs: int | None = None, **limits) -> Tfidf:
     return Tfidf(vocabulary(term_stats(docs), n, **limits))
 
 
+def _sparse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of bounded size with the concatenated indices and values of their rows, and each value's row."""
+    for batch in batches:
+        sizes = batch["idx"].map(len).to_numpy()
+        part = np.cumsum(sizes) // CELLS
+        for _, rows in batch.groupby(part):
+            lengths = rows["idx"].map(len).to_numpy()
+            if lengths.sum():
+                idx, val = np.concatenate(rows["idx"].to_numpy()).astype(int), np.concatenate(rows["val"].to_numpy())
+            else:
+                idx, val = np.zeros(0, int), np.zeros(0)
+            yield rows, idx, val, np.repeat(np.arange(len(rows)), lengths)
+
+
+def _times(idx: np.ndarray, val: np.ndarray, row: np.ndarray, count: int, dense: np.ndarray) -> np.ndarray:
+    """Sparse rows times a dense matrix, as one grouped sum."""
+    out = np.zeros((count, dense.shape[1]))
+    if len(idx):
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        out[row[starts]] = np.add.reduceat(dense[idx] * val[:, None], starts, axis=0)
+    return out
+
+
+def _gram_product(cells: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """(transposed rows) x rows x basis: a dense sum per task, added up by blocks of terms."""
+    shared = cells.sparkSession.sparkContext.broadcast(basis)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = shared.value
+        total = np.zeros_like(q)
+        for rows, idx, val, row in _sparse_batches(batches):
+            y = _times(idx, val, row, len(rows), q)
+            order = np.argsort(idx, kind="stable")
+            total += _times(row[order], val[order], idx[order], len(q), y)
+        blocks = [(i, total[i : i + TERM_BLOCK].tobytes()) for i in range(0, len(q), TERM_BLOCK)]
+        yield pd.DataFrame(blocks, columns=["i", "x"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x) for x in group["x"]], axis=0)
+        return pd.DataFrame({"i": [group["i"].iloc[0]], "x": [total.tobytes()]})
+
+    out = np.zeros_like(basis)
+    for r in cells.mapInPandas(partial, "i int, x binary").groupBy("i").applyInPandas(add, "i int, x binary").collect():
+        block = np.frombuffer(bytes(r["x"])).reshape(-1, basis.shape[1])
+        out[r["i"] : r["i"] + len(block)] = block
+    return out
+
+
+def leading_directions(cells: DataFrame, size: int, k: int, rounds: int = POWER_ROUNDS, seed: int = 42) -> np.ndarray:
+    """The k leading right singular vectors of sparse rows (idx, val), by block power iteration.
+
+    Each round is one pass over the rows; the driver orthogonalises a matrix of size x (k + OVERSAMPLE).
+    """
+    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, min(size, k + OVERSAMPLE))))
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(_gram_product(cells, q))
+    values, turn = np.linalg.eigh(q.T @ _gram_product(cells, q))
+    return q @ turn[:, np.argsort(-values)[:k]]
+
+
 def reduced_vectors(vectors: DataFrame, key: str, column: str = "tfidf", max_components: int = 160) -> DataFrame:
     """(key, vec): projection on the leading right singular vectors, rows of unit length.
 
@@ -124,57 +187,62 @@ def reduced_vectors(vectors: DataFrame, key: str, column: str = "tfidf", max_com
     vectors = cut(vectors.select(key, column))
     size = vectors.select(F.unwrap_udt(column)["size"].alias("n")).first()["n"]
     k = max(1, min(max_components, max(2, size - 1), size))
-    rows = MLUtils.convertVectorColumnsFromML(vectors.select(column), column).persist(StorageLevel.MEMORY_AND_DISK)
-    try:  # the solver passes over the rows many times
-        basis = vectors.sparkSession.sparkContext.broadcast(RowMatrix(rows).computeSVD(k, computeU=False).V.toArray())
-    finally:
-        rows.unpersist()
-    kind = vectors.schema[key].dataType.simpleString()
     sparse = F.unwrap_udt(column)
+    cells = vectors.select(key, sparse["indices"].alias("idx"), sparse["values"].alias("val"))
+    basis = vectors.sparkSession.sparkContext.broadcast(leading_directions(cells.select("idx", "val"), size, k))
+    kind = vectors.schema[key].dataType.simpleString()
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = basis.value
-        for batch in batches:
-            dense = np.zeros((len(batch), v.shape[1]))
-            for row, (idx, val) in enumerate(zip(batch["idx"], batch["val"])):
-                dense[row] = np.asarray(val) @ v[np.asarray(idx, dtype=int)] if len(idx) else 0.0
+        for rows, idx, val, row in _sparse_batches(batches):
+            dense = _times(idx, val, row, len(rows), basis.value)
             norm = np.linalg.norm(dense, axis=1, keepdims=True)
-            yield pd.DataFrame({key: batch[key], "vec": list(dense / np.where(norm == 0, 1.0, norm))})
+            yield pd.DataFrame({key: rows[key].to_numpy(), "vec": list(dense / np.where(norm == 0, 1.0, norm))})
 
-    cells = vectors.select(key, sparse["indices"].alias("idx"), sparse["values"].alias("val"))
     return cells.mapInPandas(project, f"`{key}` {kind}, vec array<double>")
 
 
-def sample_rows(df: DataFrame, key: str, seed: int, n: int = SAMPLE) -> DataFrame:
+def sample_rows(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """A repeatable sample of at most n rows."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
 def _kmeans(data: DataFrame, k: int, seed: int, n_init: int):
-    fits = (KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster_id").fit(data) for i in range(n_init))
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    """The cheapest of ``n_init`` seeded fits; the fits run side by side."""
+    one = lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster_id").fit(data)
+    with ThreadPoolExecutor(min(n_init, FITS_AT_ONCE)) as pool:
+        return min(pool.map(one, range(n_init)), key=lambda m: m.summary.trainingCost)
 
 
 def choose_k(
-    vecs: DataFrame, key: str, seed: int = 42, candidates: tuple[int, ...] = CANDIDATES, n_init: int = 10
+    vecs: DataFrame, key: str, seed: int = 42, candidates: tuple[int, ...] = CANDIDATES, n_init: int = 10, sample: int | None = None
 ) -> tuple[int, dict[int, float]]:
-    """Best cluster count by cosine silhouette on the sample, and the score of every candidate."""
-    sample = sample_rows(vecs, key, seed).select(array_to_vector("vec").alias("features")).cache()
+    """Best cluster count by cosine silhouette, and the score of every candidate that leaves a cluster to compare.
+
+    All rows are clustered and judged; with ``sample``, only that many.
+    """
+    rows = vecs if sample is None else sample_rows(vecs, key, seed, sample)
+    data = rows.select(array_to_vector("vec").alias("features")).cache()
     try:
-        if sample.count() < 200:
-            return candidates[0], {}
+        many = data.count()
         judge = ClusteringEvaluator(distanceMeasure="cosine", predictionCol="cluster_id", featuresCol="features")
-        scores = {k: judge.evaluate(_kmeans(sample, k, seed, n_init).transform(sample)) for k in candidates}
+        scores = {k: judge.evaluate(_kmeans(data, k, seed, n_init).transform(data)) for k in candidates if k < many}
     finally:
-        sample.unpersist()
-    best = max(candidates, key=lambda k: (scores[k], -k))
-    return (best if scores[best] > -1.0 and not math.isnan(scores[best]) else candidates[0]), scores
+        data.unpersist()
+    sound = [k for k in scores if not math.isnan(scores[k])]
+    return max(sound, key=lambda k: (scores[k], -k), default=candidates[0]), scores
+
+
+def nearest_centre(vecs: DataFrame, key: str, k: int, seed: int = 42, n_init: int = 20) -> tuple[DataFrame, list[np.ndarray]]:
+    """(key, vec, cluster_id) from the best of ``n_init`` seeded runs over all rows, and the centres."""
+    data = vecs.select(key, "vec", array_to_vector("vec").alias("features"))
+    model = _kmeans(data.cache(), k, seed, n_init)
+    data.unpersist()
+    return model.transform(data).select(key, "vec", "cluster_id"), model.clusterCenters()
 
 
 def assign_clusters(vecs: DataFrame, key: str, k: int, seed: int = 42, n_init: int = 20) -> DataFrame:
     """(key, vec, cluster_id) from the best of ``n_init`` seeded runs over all rows."""
-    data = vecs.select(key, "vec", array_to_vector("vec").alias("features"))
-    return _kmeans(data, k, seed, n_init).transform(data).select(key, "vec", "cluster_id")
+    return nearest_centre(vecs, key, k, seed, n_init)[0]
 
 
 def top_terms(weights: DataFrame, sizes: DataFrame, k: int = 10) -> DataFrame:

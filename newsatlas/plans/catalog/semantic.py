@@ -77,34 +77,47 @@ def top_terms(spark, d):
     return cluster_top_terms(spark, d)
 
 
-# Decomposition and clustering depend on starting points: checked by invariants in the tests.
-FIXTURE_LIMITS = {"max_features": 1500}
-COMPONENTS, STARTS = 16, 2
-
-
+# Decomposition and clustering depend on starting points; the queries return what is determined.
 @stage("reduced")
 def reduced(spark, d):
     docs = terms(spark, d)
-    vectors = fitted(spark, d, **FIXTURE_LIMITS).vectors(docs).select("link", "tfidf")
-    return sem.reduced_vectors(vectors, "link", max_components=COMPONENTS)
+    return sem.reduced_vectors(fitted(spark, d).vectors(docs).select("link", "tfidf"), "link")
 
 
-@query("sem_svd")
+@query(
+    "sem_svd",
+    sql(
+        "SELECT t.link, least(160, greatest(2, (SELECT count(*) FROM vocab) - 1)) AS dims, CAST(w.link IS NOT NULL AS DOUBLE) AS norm "
+        "FROM tok t LEFT JOIN (SELECT DISTINCT link FROM weights) w USING (link)",
+        "tok", "vocab", "weights", **TERM_CTES,
+    ),
+)
 def svd(spark, d):
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
     return reduced(spark, d).select("link", F.size("vec").alias("dims"), F.round(norm, 6).alias("norm"))
 
 
-@query("sem_choose_k")
+@stage("silhouettes")
+def silhouettes(spark, d):
+    best, scores = sem.choose_k(reduced(spark, d), "link")
+    return spark.createDataFrame([(k, float(scores.get(k, float("nan"))), k == best) for k in sem.CANDIDATES], "k int, silhouette double, chosen boolean")
+
+
+@query("sem_choose_k", "SELECT unnest([12, 16, 20, 24, 28, 32]) AS k, TRUE AS judged, TRUE AS best_is_chosen")
 def choose_k(spark, d):
-    best, scores = sem.choose_k(reduced(spark, d), "link", candidates=(12, 16, 20), n_init=STARTS)
-    rows = [(k, float(s), k == best) for k, s in scores.items()] or [(best, 0.0, True)]
-    return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
+    rows = silhouettes(spark, d)
+    top = rows.agg(F.max("silhouette")).scalar()
+    return rows.select("k", F.col("silhouette").between(-1, 1).alias("judged"), (F.col("chosen") == (F.col("silhouette") == top)).alias("best_is_chosen"))
 
 
-@query("sem_cluster")
+@query("sem_cluster", sql("SELECT link, TRUE AS nearest FROM tok", "tok"))
 def cluster(spark, d):
-    return sem.assign_clusters(reduced(spark, d), "link", 12, n_init=STARTS).select("link", "cluster_id")
+    k = silhouettes(spark, d).where("chosen").first()["k"]
+    rows, centres = sem.nearest_centre(reduced(spark, d), "link", k)
+    lists = F.array(*[F.array(*map(F.lit, map(float, c))) for c in centres])
+    away = lambda c: F.aggregate(F.zip_with("vec", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    distances = F.transform(lists, away)
+    return rows.select("link", (F.get(distances, F.col("cluster_id")) <= F.array_min(distances) + 1e-9).alias("nearest"))
 
 
 @query(

@@ -194,26 +194,32 @@ def article_text(articles: DataFrame) -> DataFrame:
 
 
 def extract_listing(pages: DataFrame, rules: ListingRules = ListingRules(), step: int = 60) -> DataFrame:
-    """One index row per listing item; needs columns ``offset`` and ``html``."""
+    """One index row per listing item; needs columns ``offset`` and ``html``.
+
+    A page that cannot be read gives one row with its offset and ``error``, and no other page is lost.
+    """
     raw = (
         "offset INT, item_index INT, categoria STRING, titulo STRING, subtitulo STRING, byline STRING, "
-        "tag_list ARRAY<STRING>, link STRING"
+        "tag_list ARRAY<STRING>, link STRING, error STRING"
     )
     names = [c.split()[0] for c in raw.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for offset, html in zip(batch["offset"], batch["html"]):
-                page = PageTree(html or "").root
                 rows = []
-                for pos, item in enumerate(find_all(page, rules.item), start=1):
-                    one = lambda selector: next(iter(find_all(item, selector)), None)
-                    head = one(rules.title)
-                    tags = [t for t in (words(n) for n in find_all(item, rules.tags)) if t]
-                    rows.append(
-                        (offset, pos, words(one(rules.category)), words(head), words(one(rules.summary)),
-                         words(one(rules.byline)), tags, head.attrs.get("href") if head else None)
-                    )
+                try:
+                    page = PageTree(html or "").root
+                    for pos, item in enumerate(find_all(page, rules.item), start=1):
+                        one = lambda selector: next(iter(find_all(item, selector)), None)
+                        head = one(rules.title)
+                        tags = [t for t in (words(n) for n in find_all(item, rules.tags)) if t]
+                        rows.append(
+                            (offset, pos, words(one(rules.category)), words(head), words(one(rules.summary)),
+                             words(one(rules.byline)), tags, head.attrs.get("href") if head else None, None)
+                        )
+                except Exception as exc:  # noqa: BLE001 - the failure is data
+                    rows = [(offset, None, None, None, None, None, None, None, str(exc))]
                 yield pd.DataFrame(rows, columns=names)
 
     items = pages.select(F.col("offset").cast("int"), "html").mapInPandas(run, raw)
@@ -223,5 +229,5 @@ def extract_listing(pages: DataFrame, rules: ListingRules = ListingRules(), step
         "subtitulo", stamp["data_publicacao"].alias("data_publicacao"),
         stamp["hora_publicacao"].alias("hora_publicacao"), stamp["publicado_em"].alias("publicado_em"),
         dates.content_type("byline").alias("tipo_conteudo"), text.pack_list("tag_list").alias("tags"),
-        F.size("tag_list").alias("total_tags"), "link",
+        F.coalesce(F.size("tag_list"), F.lit(0)).alias("total_tags"), "link", "error",
     )

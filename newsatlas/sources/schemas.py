@@ -1,4 +1,4 @@
-"""Fixed schemas of the tables that enter and leave the engine."""
+"""Schemas of the tables that enter and leave the engine. The names are the data contract."""
 
 from __future__ import annotations
 
@@ -12,10 +12,6 @@ MANIFEST = (
     "publicado_em_extraido STRING, atualizado_em_extraido STRING, tags_extraidas STRING, erro STRING"
 )
 PAGES = "page_id BIGINT, url STRING, html STRING"
-ARTICLE = (
-    "section STRING, category STRING, title STRING, subtitle STRING, published_at STRING, updated_at STRING, "
-    "tags ARRAY<STRING>, body STRING, error STRING"
-)
 CORPUS_COLUMNS = [
     "link", "titulo", "subtitulo", "data_publicacao_dt", "ano", "mes", "ano_mes", "tags", "nome_operacao",
     "cluster_id", "cluster_label", "semantic_series_id", "crime_labels", "modus_labels", "ufs_mencionadas",
