@@ -35,11 +35,12 @@ from newsatlas.llm.frames import arrow_map, query, table
 from newsatlas.llm.scoring import index, mod, packed, unpacked
 from newsatlas.llm.words import mixed, pieces
 from newsatlas.operators.graph import components
+from newsatlas.operators.keys import lookup
 from newsatlas.session import cut
 
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 BLOCK = 128  # sets in a block of the last comparison
-PIECE = 8 << 20
+PIECE = 4 << 20
 PIECE_ROWS = 1 << 15
 FILTER_BITS = 25  # of the filter that tells which sets are worth sending; its size is fixed
 EDGE = "a binary, b binary"
@@ -192,11 +193,19 @@ def compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, EDGE)
 
 
-def buckets(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+def buckets(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """(sig, fp, n, label) of every signature."""
-    own = nodes if labels is None else nodes.join(labels, nodes["fp"] == labels["node"], "left")
-    label = F.col("fp") if labels is None else F.coalesce("component", "fp")
-    return own.select("fp", "n", label.alias("label"), F.explode("signatures").alias("sig"))
+    return nodes.join(labels, "fp").select("fp", "n", "label", F.explode("signatures").alias("sig"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the links: components of the graph of labels, which shrinks from round to round."""
+    ends = [labels.select(F.col("fp").alias(e), F.col("label").alias(f"{e}_label")) for e in ("a", "b")]
+    between = cut(links.join(ends[0], "a").join(ends[1], "b").where("a_label <> b_label").select("a_label", "b_label").distinct())
+    if between.isEmpty():
+        return labels
+    found = components(between, "a_label", "b_label").select(F.col("node").alias("label"), F.col("component").alias("lower"))
+    return cut(lookup(labels, found, "label").select("fp", F.coalesce("lower", "label").alias("label")))
 
 
 def open_buckets(rows: DataFrame, number: int) -> DataFrame:
@@ -250,10 +259,10 @@ def compared_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def remaining(rows: DataFrame, open_: DataFrame, whole: DataFrame) -> DataFrame:
     """Links between components that still meet in a bucket: all sets of these buckets, block against block."""
-    inside = cut(rows.join(open_.select("sig", "pivot"), "sig").select("fp", "n", "label", "pivot").distinct())
-    groups = components(inside.where("fp <> pivot").select("fp", "pivot"), "fp", "pivot").withColumnRenamed("component", "coarse")
+    inside = cut(rows.join(open_.select("sig", "pivot_label"), "sig").select("fp", "n", "label", "pivot_label").distinct())
+    groups = components(inside.where("label <> pivot_label").select("label", "pivot_label").distinct(), "label", "pivot_label").select(F.col("node").alias("label"), F.col("component").alias("coarse"))
     size_class = F.floor(F.log("n") / F.log(F.lit(100 / near.PERCENT))).cast("int")
-    members = inside.select("fp", "n", "label").distinct().join(groups, F.col("fp") == F.col("node")).drop("node").withColumn("class", size_class)
+    members = cut(lookup(inside.select("fp", "n", "label").distinct(), cut(groups), "label").withColumn("class", size_class))
     counts = members.groupBy("coarse", "class").agg(F.count(F.lit(1)).alias("c"))
     placed = members.join(counts, ["coarse", "class"]).withColumn("sub", F.pmod(F.xxhash64("fp"), F.ceil(F.col("c") / BLOCK)).cast("int"))
     blocks = cut(placed.join(whole, "fp").select("coarse", "class", "sub", "fp", "label", "data").groupBy("coarse", "class", "sub").applyInPandas(packed_blocks, "coarse binary, class int, sub int, block binary"))
@@ -267,7 +276,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     known = cut(described(docs, key, text))
     nodes = candidates(docs, text)
     whole = sets(docs, nodes, text)
-    edges, labels = None, None
+    labels = cut(nodes.select("fp", F.col("fp").alias("label")))
     for number in range(PIVOT_ROUNDS + 1):
         rows = buckets(nodes, labels)
         open_ = cut(open_buckets(rows, number))
@@ -275,16 +284,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             break
         if number < PIVOT_ROUNDS:
             pairs = rows.join(open_, "sig").where("label <> pivot_label").where(near_size("n", "pivot_n")).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct()
-            links = cut(compared(pairs, whole))
+            links = compared(pairs, whole)
         else:
-            links = cut(remaining(rows, open_, whole))
-        edges = links if edges is None else edges.unionByName(links)
-        if not links.isEmpty():
-            labels = components(edges, "a", "b")
-    if labels is None:
-        named = known.withColumn("label", F.col("fp"))
-    else:
-        named = known.join(labels, known["fp"] == labels["node"], "left").withColumn("label", F.coalesce("component", "fp")).drop("node", "component")
+            links = remaining(rows, open_, whole)
+        labels = merged(labels, cut(links))
+    named = known.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = named.where("n > 0").groupBy("label").agg(F.min(key).alias("least"))
     out = named.where("n > 0").join(smallest, "label").select(key, F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return out.unionByName(named.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id")))
