@@ -105,6 +105,16 @@ def state_mentions(sources: str) -> Column:
     return F.expr(f"array_compact(array({', '.join(picks)}))")
 
 
+def state_evidence(sources: str) -> Column:
+    """The ufs that tags, headline and dateline name, each as an array: struct(tags, headline, dateline)."""
+    named = lambda rule: F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {rule(uf)} THEN '{uf}' END" for uf in UFS) + "))")
+    return F.struct(
+        named(lambda uf: f"array_contains({sources}.t, '{STATE_OF[uf].lower()}') OR array_contains({sources}.t, '{uf.lower()}')").alias("tags"),
+        named(lambda uf: f"{sources}.h RLIKE r'{HEADLINE_RULES[uf]}'").alias("headline"),
+        named(lambda uf: f"array_contains({sources}.d, '{uf}')").alias("dateline"),
+    )
+
+
 def without_geography(text: Column | str) -> Column:
     """Text for the semantic space: datelines, place names, state codes and digits removed."""
     raw = as_col(text)

@@ -62,10 +62,10 @@ def analyse(corpus: DataFrame, assigned: DataFrame, terms: DataFrame, settings:
     pairs = cut(near.recurring_pairs(neighbours, settings.threshold, settings.strict, settings.min_gap))
     links, series = graph.consolidate(rows, *graph.component_series(rows, graph.components(pairs)))
     series = cut(series)
-    rows = graph.assign_series(rows, links)
     crimes = summaries.labels_by_year(rows, "crime_labels", "crime_label")
     modus = summaries.labels_by_year(rows, "modus_labels", "modus_label")
     temporal = summaries.temporal_recurrence(rows)
+    rows = graph.assign_series(rows, cut(links))
     report = report_lines(rows, neighbours, clusters, temporal, crimes, modus, series, settings.pair_floor)
     return {
         "corpus_enriquecido": rows.select(*CORPUS_COLUMNS),
@@ -84,12 +84,14 @@ def analyse(corpus: DataFrame, assigned: DataFrame, terms: DataFrame, settings:
 
 
 def run(spark: SparkSession, index_path: str, manifest_path: str, bodies_path: str, out: str, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """Read the inputs, analyse them, and write one parquet table per artifact plus the report text."""
+    """Read the inputs, analyse them, and write each artifact as parquet and as CSV, plus the report text."""
     prepare(spark)
     index = tables.load_index(spark, index_path)
     manifest = tables.load_manifest(spark, manifest_path)
     corpus = load_corpus(index.drop("publicado_em"), manifest, tables.read_bodies(spark, bodies_path), settings)
     artifacts = analyse(corpus, *cluster(corpus, settings), settings)
     sinks.write_tables(artifacts, out)
-    sinks.write_report(spark.read.parquet(f"{out}/analise_qualitativa"), f"{out}/analise_qualitativa_md")
+    written = sinks.read_tables(spark, out, list(artifacts))
+    sinks.write_report(written.pop("analise_qualitativa"), f"{out}/analise_qualitativa_md")
+    sinks.write_csvs(written, f"{out}/csv")
     return artifacts

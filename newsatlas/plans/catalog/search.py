@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsatlas.operators import search as se
+from newsatlas.operators import corpus as ops, search as se
 from newsatlas.plans.catalog import views as v
 from newsatlas.plans.catalog.registry import query, stage
 from newsatlas.plans.catalog.summaries import tagged, trend_sql
@@ -151,6 +151,32 @@ def signal_trend(spark, d):
 )
 def dual_compare(spark, d):
     _, peak, both = se.dual_compare(v.enriched(spark, d), "schung", "eaux")
+    return compared(peak, both)
+
+
+def compared(peak, both):
     peaks = peak.select(F.lit("pico").alias("parte"), F.col("termo").alias("chave"), F.col("pico_periodo").cast("long").alias("periodo"), F.col("pico_citacoes").alias("a"), F.lit(0).cast("long").alias("b"))
     places = both.select(F.lit("mapa").alias("parte"), F.col("uf").alias("chave"), F.lit(0).cast("long").alias("periodo"), F.col("noticias_a").alias("a"), F.col("noticias_b").alias("b"))
     return peaks.unionByName(places)
+
+
+UF = "SP"
+ONE_UF = {"f": (f"SELECT * FROM enr WHERE list_contains(ufs, '{UF}')", ["enr"])}
+
+
+@query(
+    "qry_dual_compare_uf",
+    sql(
+        "SELECT 'pico' AS parte, termo AS chave, year AS periodo, c AS a, CAST(0 AS BIGINT) AS b FROM (SELECT *, row_number() OVER (PARTITION BY termo ORDER BY c DESC, year) AS rn FROM "
+        f"(SELECT ano AS year, termo, count(*) FILTER (list_contains(crimes, label)) AS c FROM f, (VALUES ('{MISSPELT}', 't_schung'), ('t_eaux', 't_eaux')) x(termo, label) WHERE ano IS NOT NULL GROUP BY ALL)) WHERE rn = 1 "
+        "UNION ALL SELECT 'mapa', uf, 0, coalesce(a.n, 0), coalesce(b.n, 0) FROM (SELECT uf, count(*) AS n FROM (SELECT unnest(ufs) AS uf FROM f WHERE list_contains(crimes, 't_schung')) GROUP BY uf) a FULL JOIN "
+        "(SELECT uf, count(*) AS n FROM (SELECT unnest(ufs) AS uf FROM f WHERE list_contains(crimes, 't_eaux')) GROUP BY uf) b USING (uf)",
+        "f",
+        **ONE_UF,
+    ),
+)
+def dual_compare_uf(spark, d):
+    """Two crimes within one state; the misspelt one is resolved from the catalog of all rows."""
+    rows = v.enriched(spark, d)
+    _, peak, both = se.dual_compare(ops.by_uf(rows, UF), MISSPELT, "t_eaux", se.CRIME, corpus=rows)
+    return compared(peak, both)

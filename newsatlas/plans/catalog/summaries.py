@@ -200,6 +200,16 @@ def catalog_values(spark, d):
     return sm.catalog_values(tagged(spark, d), "tags_list")
 
 
+@query("agg_catalog_crimes", sql("SELECT DISTINCT unnest(crimes) AS value FROM enr", "enr"))
+def catalog_crimes(spark, d):
+    return sm.catalog_values(v.enriched(spark, d), "crime_labels")
+
+
+@query("agg_catalog_modus", sql("SELECT DISTINCT unnest(modus) AS value FROM enr", "enr"))
+def catalog_modus(spark, d):
+    return sm.catalog_values(v.enriched(spark, d), "modus_labels")
+
+
 def tagged(spark, d):
     return v.enriched(spark, d).withColumn("tags_list", F.split("tags", r" \| "))
 
@@ -421,6 +431,9 @@ def geo_exclusion(spark, d):
     return v.corpus(spark, d).select(F.explode(sm.own_tags()).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("set_row_labels", sql("SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(crimes, modus))), '|') AS labels FROM enr", "enr"))
+@query("set_row_labels", sql("SELECT doc_id, array_to_string(ufs, '|') AS labels FROM enr", "enr"))
 def row_labels(spark, d):
-    return v.enriched(spark, d).select("doc_id", F.array_sort(F.array_union("crime_labels", "modus_labels")).alias("labels"))
+    """The states of a row: the union of what tags, headline and dateline name."""
+    sources = geo.mention_sources("titulo", "subtitulo", "tags", "markdown_text").alias("m")
+    found = v.news(spark, d).select("doc_id", sources).select("doc_id", geo.state_evidence("m").alias("e"))
+    return found.select("doc_id", F.array_sort(F.array_union(F.array_union("e.tags", "e.headline"), F.col("e.dateline"))).alias("labels"))

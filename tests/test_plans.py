@@ -15,6 +15,7 @@ SOME = [
     "agg_labels_by_year", "agg_crime_state_year", "agg_temporal", "agg_cluster_summary", "flt_regex", "fn_slug", "ing_extract",
     "jn_corpus", "prj_weighted_text", "qry_fuzzy_text", "qry_signal_trend", "sem_cluster_network", "sem_consolidate", "sem_knn",
     "sem_threshold_knn", "sem_tfidf", "set_dedup_pair", "src_article_extract", "topk_examples", "win_gap",
+    "set_row_labels", "agg_catalog_crimes", "agg_catalog_modus", "qry_dual_compare_uf", "fn_list_cell", "src_listing_extract", "rep_report",
 ]
 KEYS = sorted(entry.queries()) if os.environ.get("NEWSATLAS_ALL") else SOME
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
@@ -78,5 +79,8 @@ def test_whole_run(spark, tmp_path):
     assert {r["operation_names"] for r in series} <= set(names)
     pairs = read("pares_recorrentes").collect()
     assert pairs and all(r["gap_days"] >= 30 and r["same_cluster"] and r["cosine_similarity"] >= 0.7 for r in pairs)
+    files = [f for f in os.listdir(f"{out}/csv/crimes_por_ano") if f.startswith("part-")]
+    assert len(os.listdir(f"{out}/csv")) == 11 and files
+    assert all(open(f"{out}/csv/crimes_por_ano/{f}", "rb").read(3) == b"\xef\xbb\xbf" for f in files)
     lines = [r["value"] for r in spark.read.text(f"{out}/analise_qualitativa_md").collect()]
     assert lines[0].startswith("# ") and "- Base analisada: 56 noticias" in lines
