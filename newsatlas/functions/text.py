@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, functions as F
 
 from newsatlas.functions import as_col
@@ -119,13 +121,10 @@ def pack_list(value: Column | str, separator: str = " | ") -> Column:
 
 def contains_pattern(value: Column | str, pattern: str) -> Column:
     """Case-insensitive regular expression; a pattern that the JVM does not accept is taken literally."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark import SparkContext
-
     text = as_col(value)
     try:
         SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile("(?iu)" + pattern)
         hit = text.rlike("(?iu)" + pattern)
-    except Py4JJavaError:
+    except IllegalArgumentException:
         hit = F.contains(F.lower(text), F.lower(F.lit(pattern)))
     return F.coalesce(hit, F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsatlas.functions.links import normalize_link, resolve_path
 from newsatlas.functions.text import pack_list
-from newsatlas.operators.keys import one_per_key
+from newsatlas.operators.keys import keep_keys, one_per_key
 from newsatlas.sources import html, schemas
 
 
@@ -46,9 +46,15 @@ def pending(rows: DataFrame, limit: int | None, seq: str = "seq") -> DataFrame:
 
 
 def fetch_articles(wanted: DataFrame, pages: DataFrame, rules: html.ArticleRules = html.ArticleRules()) -> DataFrame:
-    """Extracted fields of the wanted links; a page that is absent or cannot be read gives an error row."""
-    page_of = pages.select(F.col("url").alias("link"), "html")
-    return html.extract_articles(wanted.select("link").join(page_of, "link", "left"), rules, key="link")
+    """Extracted fields of the wanted links; a page that is absent or cannot be read gives an error row.
+
+    Pages are filtered by key and read where they are; only the extracted fields are joined to the links.
+    """
+    links = wanted.select("link")
+    found = html.extract_articles(keep_keys(pages.select(F.col("url").alias("link"), "html"), links, "link"), rules, key="link")
+    joined = links.join(found.withColumn("__read", F.lit(True)), "link", "left")
+    absent = F.when(F.col("__read").isNull(), F.lit(f"no '{rules.container}' in the page")).otherwise(F.col("error"))
+    return joined.withColumn("error", absent).drop("__read")
 
 
 def body_rows(articles: DataFrame, folder: str) -> DataFrame:
@@ -86,7 +92,7 @@ def collect_listing(
     wanted = pages.where((F.col("offset") >= start) & (F.col("offset") % step == start % step))
     if end is not None:
         wanted = wanted.where(F.col("offset") <= end)
-    return dedup_listing(html.extract_listing(wanted, rules, step))
+    return dedup_listing(html.extract_listing(wanted, rules, step).where("error IS NULL").drop("error"))
 
 
 def extract_articles(

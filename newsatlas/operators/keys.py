@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsatlas.session import pin
+from newsatlas.session import cut, pin
 
+BROADCAST_KEYS = 200_000  # keys that a broadcast may hold
 HOT_SHARE = 0.001  # a key is hot above this share of the rows, so at most 1/share keys are hot
 
 
@@ -44,6 +45,16 @@ def lookup(df: DataFrame, table: DataFrame, key: str, share: float = HOT_SHARE)
     return heavy.join(F.broadcast(few), key, "left").unionByName(light.join(table, key, "left"))
 
 
+def keep_keys(df: DataFrame, keys: DataFrame, key: str, most: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows of a wide table whose key is wanted.
+
+    The keys are written out and counted: up to ``most`` of them travel to the rows, which then need not move; more
+    take the shuffled semi join.
+    """
+    wanted = cut(keys.select(key).distinct())
+    return df.join(F.broadcast(wanted) if wanted.count() <= most else wanted, key, "left_semi")
+
+
 def require_unique(df: DataFrame, key: str) -> DataFrame:
     """One row per key; a second row for a key fails the job.
 

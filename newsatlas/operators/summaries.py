@@ -98,7 +98,8 @@ def paint_polygons(polygons: DataFrame, counts: DataFrame) -> DataFrame:
     ``counts`` has one row per uf, so it is small enough to broadcast.
     """
     joined = polygons.join(F.broadcast(counts.select("uf", "noticias")), "uf", "left").fillna(0, ["noticias"])
-    peak = F.max("noticias").over(Window.partitionBy())
+    drawn = counts.join(polygons.select("uf").distinct(), "uf", "left_semi")
+    peak = drawn.agg(F.max("noticias")).scalar()
     return joined.withColumn("ratio", F.when(peak > 0, F.col("noticias") / peak).otherwise(F.lit(0.0)))
 
 

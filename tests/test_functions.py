@@ -169,3 +169,16 @@ def test_series_strength(spark):
     rows = [(20, 1), (12, 5), (10, 4), (10, 3), (5, 1), (1, 3), (4, 2), (None, None)]
     got = spark.createDataFrame(rows, "size int, active_years int").select(series.series_strength().alias("s")).collect()
     assert [r["s"] for r in got] == ["Forte", "Forte", "Forte", "Média", "Média", "Média", "Fraca", "Fraca"]
+
+
+def test_patterns_that_only_one_engine_accepts_are_literal(spark):
+    df = spark.createDataFrame([("xa{y",), ("(?P<x>a)",), ("a++b{",), ("aab",)], "t string")
+    hits = lambda p: [r["t"] for r in df.where(text.contains_pattern("t", p)).collect()]
+    assert hits("a{") == ["xa{y"] and hits("(?P<x>a)") == ["(?P<x>a)"] and hits("a++b{") == ["a++b{"]
+    assert hits("a+b") == ["aab"] and hits("A++B") == ["aab"]
+
+
+def test_list_cells_with_both_quote_signs(one):
+    assert one(text.unpack_list(F.col("c")), c="""["d'agua", 'x', 'a "b"']""") == ["d'agua", "x", 'a "b"']
+    assert one(text.unpack_list(F.col("c")), c="[]") == [] and one(text.unpack_list(F.col("c")), c="['a', 'b|c']") == ["a", "b|c"]
+    assert one(text.unpack_list(F.col("c")), c="[a|b") == ["[a", "b"] and one(text.unpack_list(F.col("c")), c=None) == []

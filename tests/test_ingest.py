@@ -122,3 +122,18 @@ def test_csv_export_packs_lists(spark, tmp_path):
     df = spark.createDataFrame([(" a ", ["x", "y"])], "t string, l array<string>")
     sinks.export_csv(df, str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True, escape='"').select(F.col("t"), "l").first() == (" a ", '["x","y"]')
+
+
+def test_a_broken_listing_page_is_one_error_row(spark):
+    pages = spark.createDataFrame([(0, "<p><![foo[bar]]></p>"), (60, LISTING)], "offset int, html string")
+    rows = html.extract_listing(pages).collect()
+    assert [r["offset"] for r in rows if r["error"]] == [0]
+    assert [r["link"] for r in rows if r["offset"] == 60 and not r["error"]]
+    assert {r["offset"] for r in ingest.collect_listing(pages).collect()} == {60}
+
+
+def test_absent_pages_are_error_rows(spark):
+    wanted = spark.createDataFrame([("a",), ("b",)], "link string")
+    pages = spark.createDataFrame([("a", ARTICLE), ("c", ARTICLE)], "url string, html string")
+    rows = {r["link"]: r for r in ingest.fetch_articles(wanted, pages).collect()}
+    assert set(rows) == {"a", "b"} and rows["a"]["error"] is None and rows["b"]["error"] == f"no '{html.ArticleRules().container}' in the page"
