@@ -27,7 +27,7 @@ from newsatlas.llm.words import windows, words
 
 ERROR_SHARE = 0.12  # errors allowed per word of an item
 MIN_WORDS = 5
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 17
 FILTER_BITS = 22
 
 
