@@ -118,7 +118,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sized = cut(with_size(docs).select("doc_id", "source", "size"))
     info = sources(docs.sparkSession, sized)
     parts = pieces(placed(sized, info))
-    return slots(info, seed).join(parts, ["no", "block"]).select(
+    return slots(info, seed).hint("merge").join(parts, ["no", "block"]).select(
         "shard", "no", "k", "block", "doc_id", (F.col("lo") - F.col("start")).alias("first_word"), (F.col("hi") - F.col("lo")).alias("n_words")
     )
 
@@ -128,9 +128,10 @@ def shares(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sized = cut(with_size(docs).select("doc_id", "source", "size"))
     info = sources(docs.sparkSession, sized)
     put = placed(sized, info)
+    # a merge join: the size of what slots makes is not known beforehand, and no bound allows a broadcast
     times = slots(info, seed).groupBy("no", "block").agg(F.count(F.lit(1)).alias("times"))
     keys = ["no", "start", "doc_id", "source", "size", "source_size", "target"]
-    used = pieces(put).join(times, ["no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    used = pieces(put).join(times.hint("merge"), ["no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     summed = used.groupBy(*keys).agg(
         F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"), F.max(F.when(F.col("lo") == F.col("start"), F.col("times"))).alias("copies")
     )
