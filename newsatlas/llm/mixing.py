@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from newsatlas.llm.frames import query, table, without
-from newsatlas.session import cut
+from newsatlas.session import by_key, cut
 
 WEIGHTS = [5.0, 2.0, 1.0]
 SHARE = 1.5
@@ -85,7 +85,7 @@ def slots(info: DataFrame, seed: int = SEED, shard_slots: int = SHARD_SLOTS) ->
     """(no, k, shard, block): every slot of the mix. A source's slots are made in chunks, on many tasks."""
     shards = F.greatest(F.lit(1), F.ceil(info.agg(F.sum("slots")).scalar() / shard_slots))
     chunks = info.where("slots > 0").select("no", "blocks", "slots", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {CHUNK}"))).alias("c"))
-    spread = chunks.repartition("no", "c")
+    spread = by_key(chunks, "no", "c")
     k = F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col("c") * CHUNK + CHUNK, F.col("slots")) - 1))
     each = spread.select("no", "blocks", k.alias("k"))
     turn = F.expr("k div blocks")
