@@ -1,9 +1,8 @@
 """Scoring of texts by a hierarchical Pitman-Yor language model.
 
 Restaurants: one per context, whose parent is the unigram restaurant, whose base is uniform over the known tokens and
-one unknown. The context of a token is the token before it: a frequent one (at least ``CONTEXT_SHARE`` of all tokens)
-has a restaurant of its own, the others share one by their ending. So there are at most 1 / CONTEXT_SHARE + ENDINGS
-contexts, and all counts of a word fit beside each other: the work is dealt out by word.
+one unknown. The context of a token is the token before it, the beginning of a text has a context too: there are as many
+restaurants as the corpus has token types.
 
 Seating: a dish (word) in a restaurant is kept as its customers c and tables t. A Gibbs sweep takes all customers of a
 dish away and seats them anew given all other dishes: up to ``EXACT`` customers the number of tables is drawn from its
@@ -11,9 +10,10 @@ exact conditional (by generalised Stirling numbers), further customers sit down
 words are resampled in parallel, each sweep with the table totals of the sweep before. After ``BURN`` sweeps the
 predictive probabilities of ``SAMPLES`` sweeps are averaged.
 
-Moves: each piece of the input is cut by word once into packed columns, which are written to the shared folder. A
-sweep exchanges one number per context and task. Words of at least ``HOT_SHARE`` of a piece are scored from a table of
-at most 1 / HOT_SHARE rows, so that no task gets the tokens of a very frequent word.
+Moves: each piece of the input is cut by word once into packed columns, which are written to the shared folder. So all
+counts of a word meet in one part; words of at least ``HOT_SHARE`` of a piece (at most 1 / HOT_SHARE) are dealt out by
+word and context, and meet in one number per part and sweep. The totals of a context are summed up in ``rooms``: every
+part sends the tables of its contexts there and is told the sums in the same order.
 
 Defined results: a null text is empty (its only token is the end); words are told apart by 64-bit hashes; with no
 training row every token is unknown; repeated rows are scored alike and each counts in training; an empty table gives
@@ -33,13 +33,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsatlas.llm.frames import query, remainder, table
-from newsatlas.llm.words import pieces, words
+from newsatlas.llm.words import ODD, mixed, pieces, words
 from newsatlas.session import cut
 
 HOT_SHARE = 0.001
-CONTEXT_SHARE = 0.004
-ENDINGS = 128
-ENDING_BYTES = 3
 BURN, SAMPLES = 2, 3
 EXACT = 40
 STRENGTH = 1.0
@@ -47,7 +44,8 @@ SEED = 4
 PIECE = 5 << 20
 PIECE_ROWS = 1 << 15
 PART_TOKENS = 4 << 20  # tokens that one part of the words should hold
-END = xxhash.xxh64_intdigest(b"")  # no word is empty
+ROOM_PARTS = 8  # parts for each room
+END = xxhash.xxh64_intdigest(b"")  # no word is empty; as a context the beginning of a text
 LN10 = np.log(10)
 
 
@@ -69,21 +67,23 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and ending of every token, each text closed by its end, and the number of tokens of each text."""
+def small(values: np.ndarray) -> np.ndarray:
+    """The same whole numbers (0 and up) in the narrowest type."""
+    return values.astype(np.min_scalar_type(int(values.max()))) if len(values) else values.astype(np.uint8)
+
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every token and the number of its text, each text closed by its end, and the number of tokens of each text."""
     found = words(column, lower=True)
-    names = found.names.to_pylist()
-    ending = np.fromiter((xxhash.xxh32_intdigest(n[-ENDING_BYTES:]) % ENDINGS for n in names), np.int64, len(names))
     lengths = np.diff(found.bounds) + 1
     last = np.cumsum(lengths) - 1
     total = int(lengths.sum())
     word = np.ones(total, bool)
     word[last] = False
-    hashes, endings = np.full(total, END, np.uint64), np.zeros(total, np.int64)
-    if len(names):
+    hashes = np.full(total, END, np.uint64)
+    if len(found.names):
         hashes[word] = found.name_hashes()[found.ids]
-        endings[word] = ending[found.ids]
-    return hashes, np.repeat(np.arange(len(lengths)), lengths), endings, lengths
+    return hashes, np.repeat(np.arange(len(lengths)), lengths), lengths
 
 
 def index(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -94,8 +94,8 @@ def index(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == values, at, -1)
 
 
-def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hot words, words with a context of their own (both ascending hashes), and the number of tokens.
+def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """Hot words (ascending hashes) and the number of tokens.
 
     A word that holds a share of all tokens holds that share of some piece, so only such words are counted.
     """
@@ -114,53 +114,46 @@ def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
     total = seen.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
     rows = seen.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 0) & (F.col("n") >= HOT_SHARE * total / 2)).orderBy(F.desc("n"), "word").limit(int(1 / HOT_SHARE)).collect()
     hot = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
-    own = np.array([r["word"] for r in rows if r["n"] >= CONTEXT_SHARE * total and r["word"] != np.uint64(END).view(np.int64)], np.int64).view(np.uint64)
-    return np.sort(hot), np.sort(own), total
+    return np.sort(hot), total
 
 
-def dealt(docs: DataFrame, key: str, text: str, learn: Column, hot: np.ndarray, own: np.ndarray, parts: int) -> DataFrame:
+def dealt(docs: DataFrame, key: str, text: str, learn: Column, hot: np.ndarray, parts: int) -> DataFrame:
     """(piece, part, data, owner, ids): the tokens of each piece by part of the words, and the texts they stand in.
 
-    Part -1 has the texts of the piece and their hot words. What is counted (data) stands apart from the texts (owner).
+    Part -1 has the texts of the piece. What is counted (data) stands apart from the texts (owner): the words and the
+    contexts, the number of contexts of each word, and the context, tokens and learned tokens of each such pair.
     """
     ids = T.ArrayType(docs.schema[key].dataType)
     schema = T.StructType([T.StructField("piece", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("owner", T.BinaryType()), T.StructField("ids", ids)])
-    shared = docs.sparkSession.sparkContext.broadcast((hot, own))
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, own = shared.value
+        hot = shared.value
         piece_no = TaskContext.get().partitionId() << 24
         for piece in pieces(batches, text, PIECE, PIECE_ROWS):
-            hashes, owner, ending, lengths = tokens(piece.column(text))
-            learns = piece.column("__learn").to_numpy(zero_copy_only=False).astype(bool)
-            context = np.zeros(len(hashes), np.int64)  # 0: the beginning of a text
-            before = index(own, hashes[:-1])
-            context[1:] = np.where(before >= 0, 1 + ENDINGS + before, 1 + ending[:-1])
-            context[1:][owner[1:] != owner[:-1]] = 0
-            at = index(hot, hashes)
-            rows = [(piece_no, -1, packed(lengths, learns, (owner[at >= 0]).astype(np.int32), at[at >= 0].astype(np.int16), context[at >= 0].astype(np.int16)), None, piece.column(key).to_pylist())]
-            # hot words are only counted here, the others go as tokens
-            counted = np.flatnonzero((at >= 0) & learns[owner])
-            codes, n = np.unique(at[counted] << 16 | context[counted], return_counts=True)
-            codes, n = codes[order := np.argsort(mod(hot[codes >> 16], parts), kind="stable")], n[order]
-            seen, word = np.unique(hashes[at < 0], return_inverse=True)
-            order = np.argsort(mod(seen, parts), kind="stable")
-            rank = np.empty(len(seen), np.int64)
-            rank[order] = np.arange(len(seen))
-            seen = seen[order]
-            code = rank[word] << 32 | context[at < 0] << 16 | owner[at < 0]
-            code.sort()
-            part, hot_part = mod(seen, parts), mod(hot[codes >> 16], parts)
-            for p in np.union1d(part, hot_part).tolist():
-                i, j = np.searchsorted(part, [p, p + 1])
-                k, m = np.searchsorted(code, [i << 32, j << 32])
-                x, y = np.searchsorted(hot_part, [p, p + 1])
-                own_code, hot_code = code[k:m], codes[x:y]
-                texts = own_code & 0xFFFF
-                rows.append((piece_no, p, packed(
-                    seen[i:j], ((own_code >> 32) - i).astype(np.int32), (own_code >> 16 & 0xFFFF).astype(np.int16), np.packbits(learns[texts]),
-                    hot[hot_code >> 16], (hot_code & 0xFFFF).astype(np.int16), n[x:y].astype(np.int64),
-                ), packed(texts.astype(np.uint16)), None))
+            hashes, owner, lengths = tokens(piece.column(text))
+            learned = piece.column("__learn").to_numpy(zero_copy_only=False).astype(bool)[owner]
+            seen, word = np.unique(hashes, return_inverse=True)
+            context = np.empty_like(word)
+            context[1:] = word[:-1]
+            context[np.cumsum(lengths) - lengths] = index(seen, np.array([END], np.uint64))[0]
+            part = mod(seen, parts)[word]
+            split = np.flatnonzero((index(hot, seen) >= 0)[word])
+            part[split] = mod(mixed(seen[word[split]] + seen[context[split]] * ODD), parts)
+            pair = word * len(seen) + context
+            order = np.argsort(pair, kind="stable")
+            order = order[np.argsort(small(part[order]), kind="stable")]
+            part, pair, word, context, owner, learned = (x[order] for x in (part, pair, word, context, owner, learned))
+            bounds = np.searchsorted(part, np.arange(parts + 1))
+            rows = [(piece_no, -1, packed(lengths), None, piece.column(key).to_pylist())]
+            for p in np.flatnonzero(np.diff(bounds)).tolist():
+                i, j = bounds[p : p + 2]
+                first = np.flatnonzero(np.r_[True, pair[i + 1 : j] != pair[i : j - 1]])
+                names, per_word = np.unique(word[i:j][first], return_counts=True)
+                rooms, place = np.unique(context[i:j][first], return_inverse=True)
+                sizes = np.diff(np.r_[first, j - i])
+                data = packed(seen[names], seen[rooms], small(per_word), small(place), small(sizes), small(np.add.reduceat(learned[i:j].astype(np.int64), first)))
+                rows.append((piece_no, p, data, packed(owner[i:j].astype(np.uint16)), None))
             yield pa.RecordBatch.from_pylist([dict(zip(("piece", "part", "data", "owner", "ids"), r)) for r in rows], arrow_schema)
             piece_no += 1
 
@@ -172,23 +165,79 @@ def mod(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
-def counts(dealt: DataFrame, contexts: int) -> DataFrame:
-    """(part, data): the words of each part, ascending, and the customers of each (word, context)."""
+MESSAGE = "part int, room int, data binary, hashes binary, sums array<double>"  # room -1: what the part keeps
+
+
+def messages(part: int, rooms: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """A row for each room; ``rooms``: number of contexts of the part by room, the columns are in this order."""
+    ends = np.cumsum(rooms)
+    return [(part, r, packed(*[small(c[ends[r] - rooms[r] : ends[r]]) for c in columns]), None, None) for r in np.flatnonzero(rooms).tolist()]
+
+
+def counts(dealt: DataFrame, hot: np.ndarray, rooms: int) -> DataFrame:
+    """What each part keeps (its words; its contexts by room; its pairs of them and their customers), and messages.
+
+    A pair is word * number of contexts + context. Messages have the hashes, customers and words of the contexts.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        part = int(group["part"].iloc[0])
+        blocks = [unpacked(data) for data in group["data"]]
+        every = np.unique(np.concatenate([b[1] for b in blocks]))
+        room = mod(every, rooms)
+        order = np.argsort(room, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        found, place, n = [], [], []
+        for names, contexts, per_word, context, _, learned in blocks:
+            some = learned > 0
+            found.append(np.repeat(names, per_word)[some])
+            place.append(rank[np.searchsorted(every, contexts)][context][some])
+            n.append(learned[some].astype(np.int64))
+        names, word = np.unique(np.concatenate(found), return_inverse=True)
+        code, at = np.unique(word * len(every) + np.concatenate(place), return_inverse=True)
+        c = np.bincount(at, weights=np.concatenate(n), minlength=len(code)).astype(np.int64)
+        context, word = code % len(every), code // len(every)
+        customers, types = np.bincount(context, weights=c, minlength=len(every)).astype(np.int64), np.bincount(context, minlength=len(every))
+        per_room = np.bincount(room, minlength=rooms)
+        of_word, n_word = np.bincount(word, minlength=len(names)), np.bincount(word, weights=c, minlength=len(names))
+        h = index(hot, names)
+        cold = of_word[h < 0]
+        sums = [c.sum(), len(cold), (c == 1).sum(), (c == 2).sum(), (cold == 1).sum(), (cold == 2).sum()]
+        sums = np.r_[sums, np.bincount(h[h >= 0], weights=n_word[h >= 0], minlength=len(hot)), np.bincount(h[h >= 0], weights=of_word[h >= 0], minlength=len(hot))]
+        hashes = every[order]
+        kept = (part, -1, packed(small(of_word), small(context), small(c), h.astype(np.int16), small(per_room)), packed(names, hashes), sums.astype(float).tolist())
+        return pd.DataFrame([kept, *messages(part, per_room, hashes, customers, types)], columns=COLUMNS)
+
+    return cut(dealt.where("part >= 0").select("part", "data").groupBy("part").applyInPandas(run, MESSAGE))
+
+
+COLUMNS = ["part", "room", "data", "hashes", "sums"]
+
+
+def met(sent: DataFrame) -> DataFrame:
+    """(part, room, data): the place of each context in its room, its customers and words (or its tables), over all parts."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found, customers = [], []
-        for data in group["data"]:
-            seen, word, context, learns, hot, hot_context, n = unpacked(data)
-            learned = np.unpackbits(learns, count=len(word)).astype(bool)
-            found += [seen[word[learned]], hot]
-            customers += [np.stack([context[learned].astype(np.int64), np.ones(learned.sum(), np.int64)]), np.stack([hot_context.astype(np.int64), n])]
-        every, (context, n) = np.concatenate(found), np.concatenate(customers, axis=1)
-        names, word = np.unique(every, return_inverse=True)
-        code, place = np.unique(word * contexts + context, return_inverse=True)
-        total = np.bincount(place, weights=n, minlength=len(code)).astype(np.int64)
-        return pd.DataFrame({"part": [group["part"].iloc[0]], "data": [packed(names, code, total)]})
+        got = [unpacked(data) for data in group["data"]]
+        ends = np.cumsum([len(g[0]) for g in got])[:-1]
+        if len(got[0]) == 3:
+            _, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+            sums = [np.bincount(at, weights=np.concatenate([g[k] for g in got]))[at].astype(np.int64) for k in (1, 2)]
+            told = zip(*[np.split(x, ends) for x in (at, *sums)])
+            data = [packed(small(np.diff(at, prepend=0)), small(c), small(n)) for at, c, n in told]
+        else:
+            at = np.concatenate([np.cumsum(g[0], dtype=np.int64) for g in got])
+            data = [packed(small(t)) for t in np.split(np.bincount(at, weights=np.concatenate([g[1] for g in got]))[at].astype(np.int64), ends)]
+        return pd.DataFrame({"part": group["part"], "room": group["room"], "data": data})
+
+    return cut(sent.where("room >= 0").select("part", "room", "data").groupBy("room").applyInPandas(run, "part int, room int, data binary"))
 
-    return cut(dealt.where("part >= 0").select("part", "data").groupBy("part").applyInPandas(run, "part int, data binary"))
+
+def answers(group: pd.DataFrame) -> list[np.ndarray]:
+    """What the rooms told a part, in the order of its contexts; the first column of three are places as differences."""
+    rows = group[group["room"] >= 0].sort_values("room")["data"]
+    return [np.concatenate(x).astype(np.int64) for x in zip(*map(unpacked, rows))]
 
 
 def log_stirling(discount: float, most: int) -> np.ndarray:
@@ -246,139 +295,162 @@ class Totals:
         return (customers - d * tables + (STRENGTH + d * self.tables[context]) * parent) / (STRENGTH + self.customers[context])
 
 
-def sweep(model: DataFrame, totals: Totals, number: int) -> tuple[DataFrame, Totals]:
-    """One Gibbs sweep over all parts; the new tables and totals. ``model`` has part, data and the tables before."""
-    shared = model.sparkSession.sparkContext.broadcast(totals)
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = shared.value
-        n = totals.contexts
-        stirling = [log_stirling(d, EXACT) for d in totals.discount]
-        for batch in batches:
-            for part, data, before in zip(batch["part"], batch["data"], batch["tables"]):
-                rng = np.random.default_rng([SEED, number, part])
-                names, code, c = unpacked(data)
-                word, context = code // n, code % n
-                t, t0 = unpacked(before) if before is not None else (np.minimum(c, 1), np.ones(len(names), np.int64))
-                parent = totals.parent(np.bincount(word, weights=t, minlength=len(names)), t0)
-                others = np.maximum(totals.tables[context] - t, 0)
-                t = seated(c, others, parent[word], totals.discount[0], stirling[0], rng)
-                customers = np.bincount(word, weights=t, minlength=len(names)).astype(np.int64)
-                t0 = seated(customers, np.maximum(totals.tables[-1] - t0, 0), np.full(len(names), 1 / (totals.known + 1)), totals.discount[1], stirling[1], rng)
-                sums = np.stack([np.r_[np.bincount(context, weights=c, minlength=n), customers.sum()], np.r_[np.bincount(context, weights=t, minlength=n), t0.sum()]])
-                yield pd.DataFrame({"part": [part], "tables": [packed(t.astype(np.int32), t0.astype(np.int32))], "sums": [sums.ravel().tolist()]})
-
-    done = cut(model.mapInPandas(run, "part int, tables binary, sums array<double>"))
-    new = Totals(totals.contexts, totals.tokens, totals.known, totals.discount)
-
-    def summed(group: pd.DataFrame) -> pd.DataFrame:
+class Hot:
+    """Hot words: their tokens, customers and tables in the unigram restaurant."""
+
+    def __init__(self, tokens: np.ndarray, customers: np.ndarray):
+        self.tokens, self.customers, self.tables = tokens, customers, np.minimum(tokens, 1)
+
+
+def added(rows: DataFrame) -> np.ndarray:
+    """The sum of all arrays ``sums``."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"sums": [np.sum(group["sums"].tolist(), axis=0).tolist()]})
 
-    some = done.select((F.col("part") % 16).alias("g"), "sums").groupBy("g").applyInPandas(summed, "sums array<double>").collect()
-    if some:
-        new.customers, new.tables = np.sum([r["sums"] for r in some], axis=0).reshape(2, -1)
-    return done.select("part", "tables"), new
+    some = rows.where("sums is not null").select((F.col("part") % 16).alias("g"), "sums").groupBy("g").applyInPandas(run, "sums array<double>").collect()
+    return np.sum([r["sums"] for r in some], axis=0) if some else np.zeros(0)
+
+
+def rowed(rows: DataFrame, kind: str) -> DataFrame:
+    hashes = F.col("hashes") if "hashes" in rows.columns and kind == "kept" else F.lit(None).cast("binary")
+    return rows.select("part", F.lit(kind).alias("kind"), "room", "data", hashes.alias("hashes"))
+
+
+def seats(kept: bytes) -> tuple[np.ndarray, ...]:
+    """Word, context and customers of each pair, place of each word among the hot ones or -1, contexts by room."""
+    of_word, context, c, h, per_room = unpacked(kept)
+    return np.repeat(np.arange(len(of_word)), of_word), context.astype(np.int64), c.astype(np.int64), h.astype(np.int64), per_room.astype(np.int64)
+
+
+def local(totals: Totals, customers: np.ndarray, tables: np.ndarray) -> Totals:
+    """The totals with the contexts of one part."""
+    out = Totals(len(customers), totals.tokens, totals.known, totals.discount)
+    out.customers, out.tables = np.r_[customers, totals.customers[-1]], np.r_[tables, totals.tables[-1]]
+    return out
+
 
+def parents(totals: Totals, hot: Hot, h: np.ndarray, word: np.ndarray, t: np.ndarray, t0: np.ndarray) -> np.ndarray:
+    """Probability of each word of a part in the unigram restaurant."""
+    customers, tables = np.bincount(word, weights=t, minlength=len(h)), t0.astype(float)
+    customers[h >= 0], tables[h >= 0] = hot.customers[h[h >= 0]], hot.tables[h[h >= 0]]
+    return totals.parent(customers, tables)
 
-def fitted(dealt: DataFrame, contexts: int) -> tuple[DataFrame, list[Totals]]:
-    """(part, data, t0, t1, ...): the counts and the sampled tables of each part, and the totals of each sample."""
-    state = counts(dealt, contexts)
 
-    def told(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for data in batch["data"]:
-                names, code, c = unpacked(data)
-                types = np.bincount(code // contexts, minlength=len(names))
-                yield pd.DataFrame({"tokens": [int(c.sum())], "known": [len(names)], "one": [int((c == 1).sum())], "two": [int((c == 2).sum())], "one0": [int((types == 1).sum())], "two0": [int((types == 2).sum())]})
+def sweep(kept: DataFrame, directory: DataFrame, before: tuple[DataFrame, DataFrame] | None, totals: Totals, hot: Hot, number: int) -> tuple[DataFrame, DataFrame, Totals, Hot]:
+    """One Gibbs sweep over all parts: the new tables of the parts and of the contexts, and the new totals."""
+    shared = kept.sparkSession.sparkContext.broadcast((totals, hot))
+    rows = rowed(kept, "kept").drop("hashes").unionByName(rowed(directory, "place").drop("hashes"))
+    for frame, kind in zip(before or (), ("tables", "context")):
+        rows = rows.unionByName(rowed(frame, kind).drop("hashes"))
 
-    sums = ["tokens", "known", "one", "two", "one0", "two0"]
-    told_rows = state.mapInPandas(told, ", ".join(f"{s} long" for s in sums))
-    tokens, known, *n = told_rows.agg(*[F.coalesce(F.sum(s), F.lit(0)) for s in sums]).first()
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        totals, hot = shared.value
+        part, of = int(group["part"].iloc[0]), {k: g for k, g in group.groupby("kind")}
+        rng = np.random.default_rng([SEED, number, part])
+        word, context, c, h, per_room = seats(of["kept"]["data"].iloc[0])
+        place, customers, tables = answers(of["place"])
+        if "tables" in of:
+            (tables,) = answers(of["context"])
+            t, t0 = (x.astype(np.int64) for x in unpacked(of["tables"]["data"].iloc[0]))
+        else:
+            t, t0 = np.ones(len(c), np.int64), np.ones(len(h), np.int64)
+        total = local(totals, customers, tables)
+        stirling = [log_stirling(d, EXACT) for d in total.discount]
+        parent = parents(total, hot, h, word, t, t0)
+        t = seated(c, np.maximum(total.tables[context] - t, 0), parent[word], total.discount[0], stirling[0], rng)
+        served = np.bincount(word, weights=t, minlength=len(h)).astype(np.int64)
+        cold = h < 0
+        others = np.maximum(total.tables[-1] - t0[cold], 0)
+        t0 = np.zeros(len(h), np.int64)
+        t0[cold] = seated(served[cold], others, np.full(cold.sum(), 1 / (total.known + 1)), total.discount[1], stirling[1], rng)
+        sums = np.r_[served.sum(), t0.sum(), np.bincount(h[~cold], weights=served[~cold], minlength=len(hot.tokens))]
+        mine = np.bincount(context, weights=t, minlength=len(customers)).astype(np.int64)
+        return pd.DataFrame([(part, -1, packed(small(t), small(t0)), None, sums.tolist()), *messages(part, per_room, place, mine)], columns=COLUMNS)
+
+    done = cut(rows.groupBy("part").applyInPandas(run, MESSAGE))
+    new, new_hot = Totals(0, totals.tokens, totals.known, totals.discount), Hot(hot.tokens, hot.customers)
+    sums = added(done)
+    if len(sums):
+        new_hot.customers = sums[2:]
+        rng, d = np.random.default_rng([SEED, number, 1 << 31]), totals.discount[1]
+        others = np.maximum(totals.tables[-1] - hot.tables, 0)
+        new_hot.tables = seated(sums[2:].astype(np.int64), others, np.full(len(others), 1 / (totals.known + 1)), d, log_stirling(d, EXACT), rng)
+        new.customers, new.tables = sums[:1], sums[1:2] + new_hot.tables.sum()
+    return done.where("room = -1"), met(done), new, new_hot
+
+
+def fitted(dealt: DataFrame, hot: np.ndarray, parts: int) -> tuple[DataFrame, list[tuple[Totals, Hot]]]:
+    """Rows (part, kind, room, data, hashes): the counts and the sampled tables of each part; the totals of each sample."""
+    state = counts(dealt, hot, -(-parts // ROOM_PARTS))
+    kept, directory = state.where("room = -1"), met(state)
+    sums = added(kept)
+    if not len(sums):
+        sums = np.zeros(6 + 2 * len(hot))
+    n_hot, types = sums[6:].reshape(2, -1)
+    tokens, known, *n = sums[:6] + [0, (n_hot > 0).sum(), 0, 0, (types == 1).sum(), (types == 2).sum()]
     d = [float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.5 for a, b in (n[:2], n[2:])]
-    totals = Totals(contexts, tokens, known, tuple(d))
+    totals, of_hot = Totals(0, int(tokens), int(known), tuple(d)), Hot(n_hot, types)
     totals.customers[-1] = totals.tables[-1] = known
-    tables, kept, out = None, [], state
+    before, samples, out = None, [], rowed(kept, "kept").unionByName(rowed(directory, "place"))
     for number in range(BURN + SAMPLES):
-        before = state.withColumn("tables", F.lit(None).cast("binary")) if tables is None else state.join(tables, "part")
-        tables, totals = sweep(before, totals, number)
+        *before, totals, of_hot = sweep(kept, directory, before, totals, of_hot, number)
         if number >= BURN:
-            out = out.join(tables.withColumnRenamed("tables", f"t{len(kept)}"), "part")
-            kept.append(totals)
-    return out, kept
-
-
-def chances(context: np.ndarray, word: np.ndarray, names: np.ndarray, code: np.ndarray, c: np.ndarray, samples: list[list[np.ndarray]], totals: list[Totals]) -> np.ndarray:
-    """Predictive probability, averaged over the samples; ``word``: place in names, or -1."""
-    n = totals[0].contexts
-    owner = code // n
-    entry = np.where(word >= 0, index(code, word * n + context), -1)
-    out = np.zeros(len(word))
-    for (t, t0), total in zip(samples, totals):
-        parent = np.r_[total.parent(np.bincount(owner, weights=t, minlength=len(names)), t0), total.parent(np.zeros(1), np.zeros(1))][word]
-        out += total.predict(context, np.where(entry >= 0, np.r_[c, 0][entry], 0), np.where(entry >= 0, np.r_[t, 0][entry], 0), parent)
-    return out / len(totals)
+            for frame, kind in zip(before, ("tables", "context")):
+                out = out.unionByName(rowed(frame, f"{kind}{len(samples)}"))
+            samples.append((totals, of_hot))
+    return out, samples
 
 
 def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row; the model learns where ``learn`` holds."""
     spark = docs.sparkSession
-    hot, own, total = frequent(docs, text)
+    hot, total = frequent(docs, text)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
-    contexts = 1 + ENDINGS + len(own)
-    pieces_ = dealt(docs, key, text, learn, hot, own, parts)
-    model, totals = fitted(pieces_, contexts)
-    model = cut(model)
-    tokens, known = totals[0].tokens, totals[0].known
-    names_t = [f"t{i}" for i in range(len(totals))]
-    sent = spark.sparkContext.broadcast(totals)
+    pieces_ = dealt(docs, key, text, learn, hot, parts)
+    model, samples = fitted(pieces_, hot, parts)
+    tokens, known = samples[0][0].tokens, samples[0][0].known
+    sent = spark.sparkContext.broadcast(samples)
 
     def base(n: np.ndarray) -> np.ndarray:
         return np.log10((n + 0.1) / (tokens + 0.1 * (known + 1)))
 
-    def of_hot(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = sent.value
-        for batch in batches:
-            for row in batch.itertuples():
-                names, code, c = unpacked(row.data)
-                mine = np.flatnonzero(index(hot, names) >= 0)
-                if not len(mine):
-                    continue
-                context = np.tile(np.arange(contexts), len(mine))
-                p = chances(context, np.repeat(mine, contexts), names, code, c, [unpacked(getattr(row, t)) for t in names_t], totals)
-                n = np.bincount(code // contexts, weights=c, minlength=len(names))[mine]
-                yield pd.DataFrame({"word": names[mine].view(np.int64), "n": n.astype(np.int64), "p": list(p.reshape(len(mine), contexts))})
-
-    log_p, n_hot = np.zeros((len(hot), contexts)), np.zeros(len(hot))
-    for r in model.mapInPandas(of_hot, "word long, n long, p array<double>").collect():
-        i = int(np.searchsorted(hot, np.int64(r["word"]).view(np.uint64)))
-        log_p[i], n_hot[i] = np.log10(np.array(r["p"])), r["n"]
-    unseen = [t.predict(np.arange(contexts), 0, 0, t.parent(np.zeros(1), np.zeros(1))) for t in totals]
-    log_p[n_hot == 0] = np.log10(np.mean(unseen, axis=0))
-    hot_table = spark.sparkContext.broadcast((log_p, n_hot))
-
     def of_part(group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        totals = sent.value
-        if len(model):
-            row = model.iloc[0]
-            names, code, c = unpacked(row["data"])
-            samples = [unpacked(row[t]) for t in names_t]
-        else:
-            names, code, c = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            samples = [[np.zeros(0, np.int64)] * 2] * len(totals)
-        seen_n = np.r_[np.bincount(code // contexts, weights=c, minlength=len(names)), 0]
+        of = {k: g for k, g in model.groupby("kind")}
+        word, context, c, h, _ = seats(of["kept"]["data"].iloc[0])
+        names, hashes = unpacked(of["kept"]["hashes"].iloc[0])
+        _, customers, _ = answers(of["place"])
+        n_word = np.r_[np.bincount(word, weights=c, minlength=len(names)), 0]
+        n_word[:-1][h >= 0] = sent.value[0][1].tokens[h[h >= 0]]
+        code, by = word * len(hashes) + context, np.argsort(hashes)
+        fitted = []
+        for i, (totals, hot_) in enumerate(sent.value):
+            t, t0 = (x.astype(np.int64) for x in unpacked(of[f"tables{i}"]["data"].iloc[0]))
+            total = local(totals, customers, *answers(of[f"context{i}"]))
+            parent = np.r_[parents(total, hot_, h, word, t, t0), total.parent(np.zeros(1), np.zeros(1))]
+            fitted.append((total, np.r_[t, 0], parent))
+        c = np.r_[c, 0]
         out = []
         for piece, data, owner in zip(group["piece"], group["data"], group["owner"]):
-            seen, word, context, *_ = unpacked(data)
+            seen, rooms, per_word, place, sizes, _ = unpacked(data)
             (owner,) = unpacked(owner)
-            if not len(word):
-                continue
-            place = index(names, seen)[word]
-            p = np.log10(chances(context.astype(np.int64), place, names, code, c, samples, totals))
-            n = seen_n[place]
+            w, u = np.repeat(index(names, seen), per_word), by[np.searchsorted(hashes[by], rooms)][place]
+            missing = np.flatnonzero((w < 0) & (index(hot, np.repeat(seen, per_word)) >= 0))
+            entry = np.where(w >= 0, index(code, w * len(hashes) + u), -1)
+            p, n = np.zeros(len(w)), n_word[w]
+            if len(missing):  # a hot word that other parts have learned
+                at = index(hot, np.repeat(seen, per_word)[missing])
+                n[missing] = sent.value[0][1].tokens[at]
+            for (total, t, parent), (_, hot_) in zip(fitted, sent.value):
+                above = parent[w]
+                if len(missing):
+                    above[missing] = total.parent(hot_.customers[at], hot_.tables[at])
+                p += total.predict(u, c[entry], t[entry], above)
+            p = np.log10(p / len(fitted))
             docs = np.unique(owner)
             at = np.searchsorted(docs, owner)
-            sums = [np.bincount(at, weights=x, minlength=len(docs)) for x in (n > 0, base(n), p)]
-            out.append((piece, packed(docs.astype(np.int32), *sums)))
+            sums = [np.bincount(at, weights=np.repeat(x, sizes), minlength=len(docs)) for x in (n > 0, base(n), p)]
+            out.append((piece, packed(docs, *sums)))
         return pd.DataFrame(out, columns=["piece", "data"])
 
     partial = pieces_.where("part >= 0").select("piece", "part", "data", "owner").groupBy("part").cogroup(model.groupBy("part")).applyInPandas(of_part, "piece long, data binary")
@@ -388,14 +460,11 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     schema = T.StructType([T.StructField(key, kind), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
-        log_p, n_hot = hot_table.value
         is_head = group["ids"].notna()
         head = group[is_head].iloc[0]
-        lengths, _, owner, at, context = unpacked(head["data"])
-        n = len(lengths)
-        seen = n_hot[at] if len(at) else np.zeros(0)
-        known, first, second = (np.bincount(owner, weights=x, minlength=n).astype(float) for x in (seen > 0, base(seen), log_p[at, context]))
-        for data in group["data"][~is_head]:
+        (lengths,) = unpacked(head["data"])
+        known, first, second = np.zeros((3, len(lengths)))
+        for data in sorted(group["data"][~is_head]):  # the sums don't depend on the order of arrival
             docs, *sums = unpacked(data)
             for total, part in zip((known, first, second), sums):
                 total[docs] += part

@@ -216,3 +216,16 @@ def test_pipeline(spark, none):
         assert empty.count() == 0, name
         if name != "sharding":
             assert empty.columns == docs.columns
+
+
+def test_every_word_has_a_context_of_its_own(spark):
+    # 600 rare words, each of which is followed by its own word: the word before tells the word, its ending doesn't
+    pairs = [(f"left{k}end", f"right{k}") for k in range(600)]
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(w for k in rng.permutation(600) for w in pairs[k])) for i in range(6)]
+    seen = " ".join(w for p in pairs for w in p)
+    swapped = " ".join(w for k in range(600) for w in (pairs[k][0], pairs[(k + 7) % 600][1]))
+    docs = spark.createDataFrame([*rows, (10, seen), (11, swapped)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in scoring.score(docs, F.col("doc_id") < 10).collect()}
+    assert got[10]["base_score"] == pytest.approx(got[11]["base_score"])
+    assert (got[10]["score"] - got[11]["score"]) / 600 > 1  # ten times as probable a word at least
