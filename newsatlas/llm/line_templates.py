@@ -9,8 +9,9 @@ lines for being copied.
 All steps are counts by key with partial sums; line text moves only for leaves that can still form a template.
 
 Defined results: a null or empty text keeps its value and has no line dropped; lines of fewer than ``MIN_TOKENS`` tokens
-are kept; templates with fewer constant tokens than ``MIN_CONSTANT`` of all are not boilerplate; repeated rows are
-treated alike; an empty table gives no rows; input columns named like an output column give way to it.
+are kept; templates with fewer constant tokens than ``MIN_CONSTANT`` of all are not boilerplate, and a line whose mask
+has fewer recurs only where its digits recur too; repeated rows are treated alike; an empty table gives no rows; input
+columns named like an output column give way to it.
 """
 
 from __future__ import annotations
@@ -39,10 +40,12 @@ def masked(line: Column) -> Column:
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, __text, pos, line, __leaf, __line) of each line with enough tokens."""
     each = docs.select(F.col(key).alias("__id"), F.xxhash64(text).alias("__text"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-    line = each.withColumn("line", masked(F.col("raw"))).drop("raw")
+    line = each.withColumn("line", masked(F.col("raw")))
     counted = line.withColumn("n", F.regexp_count("line", F.lit(f"{WORD}+"))).where(F.col("n") >= MIN_TOKENS)
     lead = F.regexp_extract("line", f"^{WORD}+(?:{SPACE}+{WORD}+){{0,{DEPTH - 1}}}", 0)
-    return counted.withColumn("__leaf", F.xxhash64("n", lead)).withColumn("__line", F.xxhash64("line")).drop("n")
+    fields = F.when(F.contains("line", F.lit(VARIABLE)), F.regexp_count("line", F.lit(f"(?<!{WORD})<\\*>(?!{WORD})"))).otherwise(0)
+    equal = F.when(F.col("n") - fields >= MIN_CONSTANT * F.col("n"), F.col("line")).otherwise(F.btrim("raw", F.lit(" \t\n\x0b\x0c\r")))
+    return counted.withColumn("__leaf", F.xxhash64("n", lead)).withColumn("__line", F.xxhash64(equal)).drop("n", "raw")
 
 
 def templates(spelled: DataFrame, found: DataFrame, frequency: DataFrame) -> DataFrame:

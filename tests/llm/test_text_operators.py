@@ -189,3 +189,11 @@ def test_line_templates(spark, odd, none):
     same = line_templates.drop_recurring(odd)
     assert sorted(str(r["text"]) for r in same.collect()) == sorted(str(r["text"]) for r in odd.collect())
     assert line_templates.drop_recurring(none).count() == 0
+
+
+def test_rows_of_numbers_are_no_boilerplate(spark):
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot"]
+    rows = [(i, f"{i}2 3{i} 5{i}6\n2019-01-0{i + 1} {i}7 {i}9\nTel 555 1234 0000\nowned by {w}") for i, w in enumerate(words)]
+    out = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert out[i]["text"] == text.replace("Tel 555 1234 0000\n", "") and out[i]["n_dropped"] == 1  # equal digits recur
