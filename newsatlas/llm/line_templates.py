@@ -3,7 +3,8 @@
 Lines go down a tree of fixed depth: by their number of tokens, then by their first ``DEPTH`` tokens, where a token with
 a digit counts as a variable. In a leaf, a token stays part of the template where it stands at its place in lines of at
 least ``MIN_DOCS`` texts; every other token becomes a variable field. Lines whose template recurs in ``MIN_DOCS``
-different texts are dropped from every document. Equal texts count as one, so that a copied document does not lose its
+different texts are dropped from every document, and so are equal lines of ``LONG`` tokens or more that stand in two
+texts which are no near copies (Jaccard of shingles below ``NEAR``, told from the least hashes). Equal texts count as one, so that a copied document does not lose its
 lines for being copied.
 
 All steps are counts by key with partial sums; line text moves only for leaves that can still form a template.
@@ -19,13 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsatlas.llm.frames import query, table, without
-from newsatlas.operators.keys import lookup
+from newsatlas.operators.keys import keep_keys, lookup
 from newsatlas.session import cut
 
 DEPTH = 3
 MIN_TOKENS = 3
 MIN_DOCS = 5
 MIN_CONSTANT = 0.6
+LONG = 10
+NEAR = 0.5
+SHINGLE, SKETCH = 5, 64
 VARIABLE = "<*>"
 SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 OUTPUT = ["n_lines", "n_dropped"]
@@ -38,14 +42,14 @@ def masked(line: Column) -> Column:
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, __text, pos, line, __leaf, __line) of each line with enough tokens."""
+    """(key, __text, pos, line, __long, __leaf, __line) of each line with enough tokens."""
     each = docs.select(F.col(key).alias("__id"), F.xxhash64(text).alias("__text"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
     line = each.withColumn("line", masked(F.col("raw")))
     counted = line.withColumn("n", F.regexp_count("line", F.lit(f"{WORD}+"))).where(F.col("n") >= MIN_TOKENS)
     lead = F.regexp_extract("line", f"^{WORD}+(?:{SPACE}+{WORD}+){{0,{DEPTH - 1}}}", 0)
     fields = F.when(F.contains("line", F.lit(VARIABLE)), F.regexp_count("line", F.lit(f"(?<!{WORD})<\\*>(?!{WORD})"))).otherwise(0)
     equal = F.when(F.col("n") - fields >= MIN_CONSTANT * F.col("n"), F.col("line")).otherwise(F.btrim("raw", F.lit(" \t\n\x0b\x0c\r")))
-    return counted.withColumn("__leaf", F.xxhash64("n", lead)).withColumn("__line", F.xxhash64(equal)).drop("n", "raw")
+    return counted.withColumn("__leaf", F.xxhash64("n", lead)).withColumn("__line", F.xxhash64(equal)).withColumn("__long", F.col("n") >= LONG).drop("n", "raw")
 
 
 def templates(spelled: DataFrame, found: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -62,15 +66,38 @@ def templates(spelled: DataFrame, found: DataFrame, frequency: DataFrame) -> Dat
     return whole.where(F.col("share") >= MIN_CONSTANT).select("__line", F.array_join(F.transform("fields", lambda x: x["token"]), " ").alias("template"))
 
 
+def sketch(text: Column) -> Column:
+    """The least hashes of the shingles of a text; a short text is one shingle."""
+    words = F.filter(F.split(text, f"{SPACE}+"), lambda x: x != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
+    return F.slice(F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, SHINGLE))))), 1, SKETCH)
+
+
+def near(a: Column, b: Column) -> Column:
+    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(F.array_intersect(least, a), b)) >= NEAR * F.size(least)
+
+
+def passages(docs: DataFrame, found: DataFrame, frequency: DataFrame, text: str) -> DataFrame:
+    """(__line): long lines of 2 to ``MIN_DOCS`` - 1 texts, two of which at least are no near copies."""
+    rare = cut(frequency.where(F.col("__long") & F.col("n").between(2, MIN_DOCS - 1)).select("__line"))
+    places = cut(keep_keys(found.where("__long").select("__line", "__text"), rare, "__line").distinct())
+    own = keep_keys(docs.select(F.xxhash64(text).alias("__text"), F.col(text).alias("t")), places, "__text").groupBy("__text").agg(F.any_value("t").alias("t"))
+    sketches = cut(own.select("__text", sketch(F.col("t")).alias("s")))
+    lines_ = places.join(sketches, "__text").groupBy("__line").agg(F.collect_list("s").alias("texts"))
+    return lines_.where(F.exists("texts", lambda a: F.exists("texts", lambda b: ~near(a, b)))).select("__line")
+
+
 def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lines without their text, the hashes ``__line`` of the lines to drop)."""
     spelled = lines(docs, key, text)
     found = cut(spelled.drop("line"))
-    frequency = cut(found.select("__leaf", "__line", "__text").distinct().groupBy("__leaf", "__line").agg(F.count(F.lit(1)).alias("n")))
+    frequency = cut(found.select("__leaf", "__line", "__long", "__text").distinct().groupBy("__leaf", "__line", "__long").agg(F.count(F.lit(1)).alias("n")))
     shaped = cut(templates(spelled, found, frequency))
     recurring = found.join(shaped, "__line").select("template", "__text").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS)
     alike = shaped.join(recurring, "template", "left_semi").select("__line")
-    return found, frequency.where(F.col("n") >= MIN_DOCS).select("__line").unionByName(alike).distinct()
+    often = frequency.where(F.col("n") >= MIN_DOCS).select("__line")
+    return found, often.unionByName(alike).unionByName(passages(docs, found, frequency, text)).distinct()
 
 
 def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -197,3 +197,14 @@ def test_rows_of_numbers_are_no_boilerplate(spark):
     out = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
         assert out[i]["text"] == text.replace("Tel 555 1234 0000\n", "") and out[i]["n_dropped"] == 1  # equal digits recur
+
+
+def test_long_lines_of_two_texts(spark):
+    passage = "this passage of more than ten words stands in two texts that share nothing else at all"
+    other = "another long line that two near copies of one and the same text have in common here"
+    more = " ".join(f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    rows = [(1, f"first text of all\n{passage}\n" + " ".join(f"one{c}" for c in "abcdefghijklmnopqrstuvwxyz")), (2, f"{passage}\n" + " ".join(f"two{c}" for c in "abcdefghijklmnopqrstuvwxyz"))]
+    rows += [(3, f"{other}\n{more} left"), (4, f"{other}\n{more} right"), (5, "a short line of six words\nfive"), (6, "a short line of six words\nsix")]
+    out = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i]["text"] == t.replace(passage + "\n", "") for i, t in rows)
+    assert [out[i]["n_dropped"] for i, _ in rows] == [1, 1, 0, 0, 0, 0]
