@@ -4,6 +4,11 @@ A page becomes a flat list of text blocks. A block is described by its word coun
 neighbours, and where it stands (inside the article, beside an article, under a navigation, advert, form or comment
 element). A decision tree, trained on the small labelled table below, tells content from the rest.
 
+A mark is a guess from a name, so the density of what it holds can overrule it: the blocks of ``LONG`` words or more and
+few links under an outermost mark are weighed against the text kept so far. A mark of readers' comments is lifted only
+from a page of which no long block is kept, any other also where its long blocks outweigh the kept text ``OUTWEIGH``
+times. A lifted mark frees what stands under it, but for the marks further inside.
+
 Defined results: null, empty and text-free pages give an empty text; markup that is cut off or never closed ends with
 the page; ``<`` before anything but a letter, ``/``, ``!`` or ``?`` is text; repeated rows are treated alike; an empty
 table gives no rows; input columns named like an output column give way to it.
@@ -44,6 +49,8 @@ HINTS = [
 ]
 REMARKS = ["comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond", "review", "reviews"]
 
+LONG, OUTWEIGH = 20, 4
+
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "beside", "marked"]
 #: Small labelled table of blocks: the features in the order above, then 1 for content. links is the share of linked
 #: words; inside: in the article; beside: outside it, on a page that has one; marked: under an element named above.
@@ -116,34 +123,44 @@ class Block:
     words: int
     linked: int
     inside: bool
-    marked: bool
+    unseen: bool
+    hints: tuple  # tags and attributes of the marks it stands under, the outermost first
+    remarks: tuple
 
     @property
     def links(self) -> float:
         return self.linked / self.words
 
+    def outermost(self, lifted: set) -> tuple | None:
+        """The outermost mark of readers' comments, else of another kind, that is not lifted."""
+        named = (("remark", self.remarks), ("hint", self.hints))
+        return next(((name, kind) for kind, names in named for name in names if name not in lifted), None)
 
-def marks(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether the element is no part of an article, and whether it holds readers' comments."""
-    hint, remark = tag in ASIDE, False
+
+def marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether the element is no part of an article, whether it holds readers' comments, and whether it is unseen."""
+    hint, remark, unseen = tag in ASIDE, False, False
     if attrs and tag not in ("body", "html"):
         for name, value in NAMED.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                remark = True  # unseen, wherever it stands
+                unseen = True  # wherever it stands
             elif name in ("class", "id", "role"):
                 parts = {p.lower() for p in PART.findall(value)}
                 hint |= bool(parts & set(HINTS)) and tag not in CONTENT
                 remark |= bool(parts & set(REMARKS))
-    return hint, remark
+    return hint, remark, unseen
 
 
-def blocks(page: str) -> tuple[list[Block], bool]:
-    """The text blocks in page order, and whether the page has an article element."""
+def blocks(page: str) -> tuple[list[Block], list[tuple]]:
+    """The text blocks in page order, and the marks of comments that each article element stands under."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, inside, hint, remark
+    stack: list[tuple] = []  # open elements: name, inside, unseen, hints, remarks
     opened: Counter[str] = Counter()
-    inside = hint = remark = article = False
+    inside = unseen = False
+    hints: tuple = ()
+    remarks: tuple = ()
+    articles: list[tuple] = []
     parts: list[tuple[str, bool]] = []
     links, at = 0, 0
 
@@ -153,7 +170,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             if text:
                 total = sum(n for n, _ in words) or 1
-                out.append(Block(text, total, sum(n for n, linked in words if linked), inside, hint or remark))
+                out.append(Block(text, total, sum(n for n, linked in words if linked), inside, unseen, hints, remarks))
             parts.clear()
 
     while at < len(page):
@@ -182,7 +199,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                 parts.append((" ", False))
             continue
         if tag in INLINE:
-            inner = (False, False) if ending else marks(tag, m["attrs"])
+            inner = (False, False, False) if ending else marks(tag, m["attrs"])
             if not any(inner) and not (ending and opened[tag]):
                 continue
         close()
@@ -191,37 +208,59 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         if tag in EMPTY:
             continue
         if not ending:
-            own, remarks = marks(tag, m["attrs"])
-            stack.append((tag, inside, hint, remark))
+            hint, remark, hide = marks(tag, m["attrs"])
+            stack.append((tag, inside, unseen, hints, remarks))
             opened[tag] += 1
-            remark = remark or remarks
+            unseen, name = unseen or hide, (tag, m["attrs"])
+            if remark and name not in remarks:
+                remarks = (*remarks, name)
             if tag in CONTENT:
-                inside, hint, article = True, False, article or not remark
-            elif not (inside and tag == "header"):
-                hint = hint or own
+                inside, hints = True, ()
+                if not unseen:
+                    articles.append(remarks)
+            elif hint and name not in hints and not (inside and tag == "header"):
+                hints = (*hints, name)
         elif opened[tag]:
             while True:
-                name, inside, hint, remark = stack.pop()
+                name, inside, unseen, hints, remarks = stack.pop()
                 opened[name] -= 1
                 if name == tag:
                     break
     close()
-    return out, article
+    return out, articles
 
 
-def main_text(page: str | None) -> str:
-    found, article = blocks(page or "")
-    tree, kept = trained(), []
+def kept(found: list[Block], articles: list[tuple], lifted: set) -> list[Block]:
+    tree, out = trained(), []
+    article = any(lifted.issuperset(names) for names in articles)
     for i, b in enumerate(found):
         before = found[i - 1] if i else None
         after = found[i + 1] if i + 1 < len(found) else None
         row = (
             b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0,
-            int(b.inside), int(article and not b.inside), int(b.marked),
+            int(b.inside), int(article and not b.inside), int(b.unseen or b.outermost(lifted) is not None),
         )
         if tree.decide(row):
-            kept.append(b.text)
-    return "\n\n".join(kept)
+            out.append(b)
+    return out
+
+
+def main_text(page: str | None) -> str:
+    found, articles = blocks(page or "")
+    lifted: set = set()
+    dense = [b for b in found if b.words >= LONG and 3 * b.linked <= b.words and not b.unseen]
+    while True:
+        out = kept(found, articles, lifted)
+        weights: Counter = Counter()
+        for b in dense:
+            if mark := b.outermost(lifted):
+                weights[mark] += b.words
+        size, long = sum(b.words - b.linked for b in out), any(b.words >= LONG and 3 * b.linked <= b.words for b in out)
+        heavy = [(n, mark) for mark, n in weights.items() if not long or mark[1] == "hint" and n > OUTWEIGH * size]
+        if not heavy:
+            return "\n\n".join(b.text for b in out)
+        # of equal weights the mark that comes first on the page; comments last
+        lifted.add(max(heavy, key=lambda x: (x[1][1] == "hint", x[0]))[1][0])
 
 
 def extract(pages: DataFrame, source: str = "html", into: str = "text") -> DataFrame:

@@ -208,3 +208,13 @@ def test_long_lines_of_two_texts(spark):
     out = {r["doc_id"]: r for r in line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[i]["text"] == t.replace(passage + "\n", "") for i, t in rows)
     assert [out[i]["n_dropped"] for i, _ in rows] == [1, 1, 0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("wrapper", ["<article class='review'>{}</article>", "<div class='comments-open'><article>{}</article></div>", "<div class='search-page'>{}</div>", "<div class='ad-free'>{}</div>", "<form id=aspnetForm>{}</form>"])
+def test_marked_wrappers_keep_their_article(wrapper):
+    first, second = ("plain words of the article " * 12).strip(), ("and more of them without links " * 9).strip()
+    inner = f"<p>{first}</p><div class='sidebar'><p>Most read today</p></div><p>{second}</p><section id='comments'><p>{'what a reader has to say ' * 10}</p></section>"
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{wrapper.format(inner)}<footer>Imprint</footer></body></html>"
+    assert html_text.main_text(page) == f"{first}\n\n{second}"
+    hidden = f"<div style='display:none'>{inner}</div><p>short</p>"
+    assert html_text.main_text(hidden) == "short"
