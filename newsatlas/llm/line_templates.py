@@ -69,8 +69,13 @@ def templates(spelled: DataFrame, found: DataFrame, frequency: DataFrame) -> Dat
 def sketch(text: Column) -> Column:
     """The least hashes of the shingles of a text; a short text is one shingle."""
     words = F.filter(F.split(text, f"{SPACE}+"), lambda x: x != "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
-    return F.slice(F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, SHINGLE))))), 1, SKETCH)
+
+    def hashes(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))
+
+    each = F.transform(F.array(words), hashes)[0]  # bound as an element, else the text is split again for every shingle
+    return F.slice(F.array_sort(F.array_distinct(each)), 1, SKETCH)
 
 
 def near(a: Column, b: Column) -> Column:
@@ -78,6 +83,18 @@ def near(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(least, a), b)) >= NEAR * F.size(least)
 
 
+def without_places(text: Column, gone: Column) -> Column:
+    """The text without the lines at these places: the stretches between them, joined again."""
+
+    def stretches(line: Column) -> Column:
+        borders = F.arrays_zip(
+            F.concat(F.array(F.lit(-1)), gone).alias("a"), F.concat(gone, F.array(F.size(line))).alias("b")
+        )
+        return F.flatten(F.transform(borders, lambda x: F.slice(line, x["a"] + 2, x["b"] - x["a"] - 1)))
+
+    return F.array_join(F.transform(F.array(F.split(text, "\n")), stretches)[0], "\n")
+
+
 def passages(docs: DataFrame, found: DataFrame, frequency: DataFrame, text: str) -> DataFrame:
     """(__line): long lines of 2 to ``MIN_DOCS`` - 1 texts, two of which at least are no near copies."""
     rare = cut(frequency.where(F.col("__long") & F.col("n").between(2, MIN_DOCS - 1)).select("__line"))
@@ -105,14 +122,13 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = without(docs, *OUTPUT)
     found, drop = boilerplate(docs, key, text)
     hit = lookup(found.select("__id", "__text", "pos", "__line"), cut(drop.withColumn("hit", F.lit(True))), "__line").where("hit")
-    places = hit.select("__id", "__text", "pos").distinct().groupBy("__id", "__text").agg(F.collect_list("pos").alias("__gone"))
+    places = hit.select("__id", "__text", "pos").distinct().groupBy("__id", "__text").agg(F.sort_array(F.collect_list("pos")).alias("__gone"))
     marked = docs.withColumn("__t", F.xxhash64(text))
     joined = marked.join(places, marked[key].eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__text")), "left")
-    split = F.split(text, "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    kept = without_places(F.col(text), F.col("__gone"))
     return joined.select(
         *[F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("n_dropped"),
     )
 

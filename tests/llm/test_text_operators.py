@@ -218,3 +218,18 @@ def test_marked_wrappers_keep_their_article(wrapper):
     assert html_text.main_text(page) == f"{first}\n\n{second}"
     hidden = f"<div style='display:none'>{inner}</div><p>short</p>"
     assert html_text.main_text(hidden) == "short"
+
+
+def test_long_texts_that_share_many_lines(spark):
+    def text(name, lines):
+        return [f"{name} line {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]} of one text alone with words enough to be long" for i in range(lines)]
+
+    shared = text("shared", 60)
+    first, second = text("first", 900), text("second", 900)
+    mixed = [x for i, x in enumerate(first) for x in ([x, shared[i // 15]] if i % 15 == 0 else [x])]
+    rows = [(1, "\n".join(mixed), "own"), (2, "\n".join(second + shared), "own"), (3, None, "own"), (4, "", "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string")
+    out = {r["doc_id"]: r for r in line_templates.drop_recurring(docs).collect()}
+    assert out[1]["text"] == "\n".join(first) and out[1]["n_lines"] == 960 and out[1]["n_dropped"] == 60
+    assert out[2]["text"] == "\n".join(second) and out[2]["n_dropped"] == 60
+    assert (out[3]["text"], out[3]["n_lines"], out[4]["text"], out[4]["n_lines"]) == (None, 0, "", 1)
