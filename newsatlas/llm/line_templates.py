@@ -42,14 +42,16 @@ def masked(line: Column) -> Column:
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, __text, pos, line, __long, __leaf, __line) of each line with enough tokens."""
-    each = docs.select(F.col(key).alias("__id"), F.xxhash64(text).alias("__text"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-    line = each.withColumn("line", masked(F.col("raw")))
-    counted = line.withColumn("n", F.regexp_count("line", F.lit(f"{WORD}+"))).where(F.col("n") >= MIN_TOKENS)
-    lead = F.regexp_extract("line", f"^{WORD}+(?:{SPACE}+{WORD}+){{0,{DEPTH - 1}}}", 0)
-    fields = F.when(F.contains("line", F.lit(VARIABLE)), F.regexp_count("line", F.lit(f"(?<!{WORD})<\\*>(?!{WORD})"))).otherwise(0)
+    """(key, __text, pos, line, __long, __leaf, __line, n) of each line; n: its tokens."""
+    cut_up = docs.select(F.col(key).alias("__id"), F.xxhash64(text).alias("__text"), F.split(text, "\n").alias("lines"))
+    each = cut_up.select("__id", "__text", F.posexplode_outer("lines").alias("pos", "raw"))
+    blanks = F.translate("line", "\t\n\x0b\x0c\r", " " * 5)
+    tokens = F.array_remove(F.split(blanks, " "), "")  # one character: no regular expression runs
+    line = each.withColumn("line", masked(F.col("raw"))).withColumn("tokens", tokens).withColumn("n", F.size("tokens"))
+    fields = F.when(F.contains("line", F.lit(VARIABLE)), F.size(F.filter("tokens", lambda t: t == VARIABLE))).otherwise(0)
     equal = F.when(F.col("n") - fields >= MIN_CONSTANT * F.col("n"), F.col("line")).otherwise(F.btrim("raw", F.lit(" \t\n\x0b\x0c\r")))
-    return counted.withColumn("__leaf", F.xxhash64("n", lead)).withColumn("__line", F.xxhash64(equal)).withColumn("__long", F.col("n") >= LONG).drop("n", "raw")
+    leaf = F.xxhash64("n", F.slice("tokens", 1, DEPTH))
+    return line.select("__id", "__text", "pos", "line", (F.col("n") >= LONG).alias("__long"), leaf.alias("__leaf"), F.xxhash64(equal).alias("__line"), "n")
 
 
 def templates(spelled: DataFrame, found: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -107,8 +109,8 @@ def passages(docs: DataFrame, found: DataFrame, frequency: DataFrame, text: str)
 
 def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lines without their text, the hashes ``__line`` of the lines to drop)."""
-    spelled = lines(docs, key, text)
-    found = cut(spelled.drop("line"))
+    spelled = cut(lines(docs, key, text)).where(F.col("n") >= MIN_TOKENS).drop("n")  # a filter before the write would split every line twice
+    found = spelled.drop("line")
     frequency = cut(found.select("__leaf", "__line", "__long", "__text").distinct().groupBy("__leaf", "__line", "__long").agg(F.count(F.lit(1)).alias("n")))
     shaped = cut(templates(spelled, found, frequency))
     recurring = found.join(shaped, "__line").select("template", "__text").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS)
