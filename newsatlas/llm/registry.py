@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from newsatlas.llm import decontaminate, html_text, jaccard_join, language, line_templates, mixing, quality, scoring, sharding, warc  # noqa: F401
+from newsatlas.llm import (  # noqa: F401
+    collocations, decontaminate, html_text, jaccard_join, language, line_templates, mixing, quality, resampling, scoring, sharding, token_files, warc,
+)
 from newsatlas.llm.frames import QUERIES, SQL
 
 

@@ -88,8 +88,9 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     return split(LOWER[data] if lower else data, offsets)
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = ~IS_SPACE[data]
+def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> Words:
+    """Runs of the marked bytes, by default of all that are not white space."""
+    inside = ~IS_SPACE[data] if inside is None else inside
     starts, ends = runs(inside, offsets)
     coded = slices(data, inside, ends - starts).dictionary_encode()
     return Words(coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, np.searchsorted(starts, offsets))
