@@ -7,9 +7,9 @@ from pyspark.sql import Column, functions as F
 from newsatlas.functions import as_col
 from newsatlas.functions.text import clean_text, strip
 
+# How the pages write their dates.
 BYLINE = r"(?iU)publicado\s+(\d{2}/\d{2}/\d{4})\s+(\d{2}h\d{2})\s+(\S+)"
-STAMP = r"(\d{2}/\d{2}/\d{4}\s+\d{2}h\d{2})"
-ARTICLE_DATES = rf"(?iU)Publicado em\s+{STAMP}(?:\s+Atualizado em\s+{STAMP})?"
+ARTICLE_DATES = r"(?iU)Publicado em\s+(\d{2}/\d{2}/\d{4}\s+\d{2}h\d{2})(?:\s+Atualizado em\s+(\d{2}/\d{2}/\d{4}\s+\d{2}h\d{2}))?"
 
 
 def parse_datetime(value: Column | str) -> Column:

@@ -42,6 +42,47 @@ ART_SQL = (
 )
 EXTRA = {"pgs": (PAGES_SQL, []), "art": (ART_SQL, ["pgs"])}
 
+# The given pages in the default markup: title, paragraphs and menu of each page stand in other nodes, lists and tables.
+DATED = "Publicado em 01/02/2024 09h15"
+UPDATED = " Atualizado em 02/03/2024  10h00"
+
+
+def dressed_pages(spark, d):
+    """Pages as the default rules expect them; one in ten has no heading, one in fifteen no body."""
+    own = v.table(spark, d, "pages").select(
+        "page_id", "url", F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("title"),
+        F.regexp_extract("html", "(?s)</h1>(.*?)</article>", 1).alias("paragraphs"), F.regexp_extract("html", "(?s)<nav><ul>(.*?)</ul></nav>", 1).alias("menu"),
+    )
+    number = F.col("page_id")
+    heading = F.when(number % 10 == 0, F.lit("")).otherwise(F.concat(F.lit('<h1 class="big documentFirstHeading">'), "title", F.lit("</h1>")))
+    dated = F.when(number % 7 == 0, F.lit("sem data")).when(number % 2 == 0, F.lit(DATED + UPDATED)).otherwise(F.lit(DATED))
+    html_text = F.concat(
+        F.lit('<html><body><div id="content"><div class="column"><a>Seção '), number, F.lit("</a> <a> </a><a>Tema<b>  dois</b></a></div><article><p class=\"section\">Notícias "), number % 3,
+        F.lit('</p><p class="nitfSubtitle"> Operação</p>'), heading, F.lit('<div class="documentDescription">Linha\nfina &amp; curta</div><div class="viewlet-above-content-body"> '), dated,
+        F.lit('</div><div id="'), F.when(number % 15 == 7, F.lit("other")).otherwise(F.lit("content-core")), F.lit('"><script>x("<p>")</script><h2>Texto</h2>'), "paragraphs",
+        F.lit('<div class="visualClear">fora</div><h3>Leia</h3><ul><li>Mais notícias<ul>'), "menu", F.lit("</ul><li>Fim</ul><ol><li>um<li>dois</ol><blockquote>Fonte <br> PF</blockquote>"),
+        F.lit("<table><tr><th>Campo<th>Valor</tr><tr><td>página<td>"), number, F.lit('<tr><td>endereço<td><a href="'), "url", F.lit('">aqui</a></table><div class="documentActions">fora</div></div></article></div></body></html>'),
+    )
+    return own.select("page_id", "url", html_text.alias("html"))
+
+
+_ITEM = "'    - [' || " + words_sql("regexp_extract(x, '>([^<]*)</a>', 1)") + " || '](' || regexp_extract(x, 'href=\"([^\"]*)\"', 1) || ')'"
+_BODY = (
+    "concat_ws(chr(10) || chr(10), '## Texto', nullif(array_to_string(list_filter(list_transform(string_split(paragraphs, '<p>'), lambda x: " + words_sql("x")
+    + "), lambda x: x <> ''), chr(10) || chr(10)), ''), '### Leia', '- Mais notícias' || array_to_string(list_transform(items, lambda x: chr(10) || " + _ITEM + "), '') || chr(10) || '- Fim', "
+    "'1. um' || chr(10) || '2. dois', '> Fonte' || chr(10) || '> PF', '| Campo | Valor |' || chr(10) || '|---|---|' || chr(10) || '| página | ' || page_id || ' |' || chr(10) || '| endereço | [aqui](' || url || ') |')"
+)
+DRESSED_SQL = (
+    "SELECT page_id, url, CASE WHEN error IS NULL THEN 'Notícias ' || page_id % 3 END AS section, CASE WHEN error IS NULL THEN 'Operação' END AS category, "
+    "CASE WHEN error IS NULL THEN " + words_sql("title") + " END AS title, CASE WHEN error IS NULL THEN 'Linha fina & curta' END AS subtitle, "
+    "CASE WHEN error IS NULL AND page_id % 7 <> 0 THEN '01/02/2024 09h15' END AS published_at, CASE WHEN error IS NULL AND page_id % 7 <> 0 AND page_id % 2 = 0 THEN '02/03/2024 10h00' END AS updated_at, "
+    "CASE WHEN error IS NULL THEN 'Seção ' || page_id || '|Tema dois' END AS tags, CASE WHEN error IS NULL THEN " + _BODY + " END AS body, error FROM ("
+    "SELECT page_id, url, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS title, regexp_extract(html, '(?s)</h1>(.*?)</article>', 1) AS paragraphs, "
+    "regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li><a href=\"[^\"]*\">[^<]*</a></li>') AS items, "
+    "CASE WHEN page_id % 15 = 7 THEN 'no ''#content-core, .content-core'' in the page' WHEN page_id % 10 = 0 THEN 'no ''h1.documentFirstHeading'' in the page' END AS error FROM pages)"
+)
+DRESSED = {"dressed": (DRESSED_SQL, [])}
+
 
 def index_table(spark, d):
     rows = v.news(spark, d)
@@ -97,9 +138,28 @@ def listing_pages(spark, d):
     return v.table(spark, d, "pages").select((F.col("page_id") * 60).alias("offset"), "html")
 
 
-@query("src_listing_extract", sql("SELECT \"offset\", \"offset\" // 60 + 1 AS page_number, item_index, titulo, link, CAST(0 AS BIGINT) AS total_tags FROM lst", lst=(LIST_SQL, [])))
+def dressed_listing(spark, d):
+    """Listing pages in the default markup, an item for each link of the menu; one in three has no date in its byline."""
+    stamp = F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.lit(" publicado 01/02/2024  09h15"))
+    item = (
+        r'<article class="item tileItem"><span class="subtitle">Operação </span><h2 class="tileHeadline"><a href="$1">$2</a></h2><p class="tileBody"><span>Sobre <b>$2</b></span></p>'
+        r'<span class="documentByLine">por X@@ Notícia</span><div class="keywords"><a>SP</a><a> </a><a>$2</a></div></article>'
+    )
+    items = F.regexp_replace(F.regexp_extract("html", "(?s)<nav><ul>(.*?)</ul></nav>", 1), r'<li><a href="([^"]*)">([^<]*)</a></li>', item)
+    return v.table(spark, d, "pages").select((F.col("page_id") * 60).alias("offset"), F.replace(items, F.lit("@@"), stamp).alias("html"))
+
+
+@query(
+    "src_listing_extract",
+    sql(
+        "SELECT \"offset\", \"offset\" // 60 + 1 AS page_number, item_index, 'Operação' AS categoria, titulo, 'Sobre ' || titulo AS subtitulo, "
+        "CASE WHEN dated THEN '01/02/2024' END AS data_publicacao, CASE WHEN dated THEN '09h15' END AS hora_publicacao, CASE WHEN dated THEN '01/02/2024 09h15' ELSE 'por X Notícia' END AS publicado_em, "
+        "'Notícia' AS tipo_conteudo, 'SP | ' || titulo AS tags, CAST(2 AS BIGINT) AS total_tags, link, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, \"offset\" // 60 % 3 <> 0 AS dated FROM lst)",
+        lst=(LIST_SQL, []),
+    ),
+)
 def listing_extract(spark, d):
-    return html.extract_listing(listing_pages(spark, d), LISTING).select("offset", "page_number", "item_index", "titulo", "link", "total_tags")
+    return html.extract_listing(dressed_listing(spark, d))
 
 
 @query(
@@ -124,14 +184,21 @@ def gazetteer(spark, d):
     return geo.gazetteer(spark).join(counts, "uf", "left").fillna(0, ["tagged"])
 
 
-@query("src_article_extract", sql("SELECT url, title, body, error FROM art", **EXTRA))
+@query("src_article_extract", sql("SELECT url, section, category, title, subtitle, published_at, updated_at, tags, body, error FROM dressed", **DRESSED))
 def article_extract(spark, d):
-    return html.extract_articles(pages(spark, d), ARTICLE).select("url", "title", "body", "error")
+    return html.extract_articles(dressed_pages(spark, d))
 
 
-@query("src_article_text", sql("SELECT url, concat('# ', title, chr(10), chr(10), body) AS markdown_text FROM art WHERE error IS NULL", **EXTRA))
+@query(
+    "src_article_text",
+    sql(
+        "SELECT url, concat_ws(chr(10) || chr(10), section, category, '# ' || title, subtitle, 'Publicado em ' || published_at, 'Atualizado em ' || updated_at, 'Tags: ' || replace(tags, '|', ', '), body) AS markdown_text "
+        "FROM dressed WHERE error IS NULL",
+        **DRESSED,
+    ),
+)
 def article_text(spark, d):
-    return html.article_text(html.extract_articles(pages(spark, d), ARTICLE)).select("url", "markdown_text")
+    return html.article_text(html.extract_articles(dressed_pages(spark, d))).select("url", "markdown_text")
 
 
 @query("snk_tables", sql("SELECT link, ano, array_to_string(crimes, '|') AS crimes, nome_operacao FROM enr", "enr"))

@@ -15,8 +15,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsatlas.functions import dates, links, text
 from newsatlas.sources import schemas
+from newsatlas.sources.blocks import PARTING, markdown
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Start tags that end an open node: its tags, and the tags beyond which nothing is ended.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+}
 
 
 @dataclass
@@ -68,9 +74,21 @@ class PageTree(HTMLParser):
         self.feed(html)
         self.close()
 
+    def end_open(self, tags: set[str], within: set[str]) -> None:
+        """Ends the innermost open node of these tags, unless one of ``within`` is nearer."""
+        node = self.top
+        while node.parent is not None and node.tag not in tags:
+            if node.tag in within:
+                return
+            node = node.parent
+        if node.parent is not None:
+            self.top = node.parent
+
     def handle_starttag(self, tag, attrs):
-        if tag == "p" and self.top.tag == "p":  # an open paragraph ends where the next one starts
-            self.top = self.top.parent
+        if tag in PARTING:  # an open paragraph ends where the next block starts
+            self.end_open({"p"}, PARTING - {"p"})
+        if tag in IMPLIED:
+            self.end_open(*IMPLIED[tag])
         node = Node(tag, dict(attrs), self.top)
         self.top.items.append(node)
         if tag not in VOID:
@@ -149,7 +167,7 @@ def _article(html: str | None, rules: ArticleRules) -> dict:
         "subtitle": words(one(box, rules.subtitle)),
         "dates": words(one(box, rules.dates)),
         "tags": [t for t in (words(n) for n in find_all(page, rules.tags)) if t],
-        "body": words(core, rules.drop),
+        "body": markdown(core, rules.drop),
         "error": None,
     }
 
@@ -180,7 +198,7 @@ def extract_articles(pages: DataFrame, rules: ArticleRules = ArticleRules(), key
 
 
 def article_text(articles: DataFrame) -> DataFrame:
-    """Canonical document of each extracted article: header lines, then the body."""
+    """Canonical document of each extracted article: header lines, then the blocks of the body."""
     tags = F.when(F.size("tags") > 0, F.concat(F.lit("Tags: "), F.array_join("tags", ", ")))
     document = F.concat_ws(
         "\n\n",

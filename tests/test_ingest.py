@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsatlas.operators import ingest
-from newsatlas.sources import html, schemas, sinks, tables
+from newsatlas.sources import blocks, html, schemas, sinks, tables
 from newsatlas.streaming.sync import read_manifest_log, sync_stream
 
 ARTICLE = """<html><body><div id="content"><div class="column"><a>Bahia</a> <a> </a><a>Tema  dois</a></div>
@@ -27,12 +27,12 @@ def test_article_fields(spark):
     ok = rows["ok"]
     assert (ok["section"], ok["category"], ok["title"], ok["subtitle"]) == ("Seção", "Categoria", "Título & mais", "Linha fina")
     assert (ok["published_at"], ok["updated_at"], ok["tags"]) == ("01/02/2024 09h15", "02/02/2024 10h00", ["Bahia", "Tema dois"])
-    assert ok["body"] == "Um Dois três quatro" and ok["error"] is None
+    assert ok["body"] == "Um\n\nDois três\n\nquatro" and ok["error"] is None
     assert all(rows[k]["error"] and rows[k]["title"] is None for k in bad)
     text = html.article_text(html.extract_articles(pages(spark, {"ok": ARTICLE}))).first()["markdown_text"]
     assert text.split("\n\n") == [
         "Seção", "Categoria", "# Título & mais", "Linha fina", "Publicado em 01/02/2024 09h15", "Atualizado em 02/02/2024 10h00",
-        "Tags: Bahia, Tema dois", "Um Dois três quatro",
+        "Tags: Bahia, Tema dois", "Um", "Dois três", "quatro",
     ]
 
 
@@ -45,6 +45,31 @@ def test_listing_fields(spark):
     assert second["link"] is None and second["publicado_em"] is None and second["tags"] == ""
 
 
+def body(page, drop=()):
+    return blocks.markdown(html.PageTree(page).root, drop)
+
+
+def test_blocks_of_nested_lists_and_links():
+    nested = "<ul><li>a <a href='/x'> link <b>here</b> </a>more<ul><li>n1<p>second<li>n2<ol start=3><li>c<li>d</ol></ul><li>b</ul><ul><li>other</ul>"
+    assert body(nested) == "- a [link here](/x) more\n    - n1\n\n        second\n    - n2\n        3. c\n        4. d\n- b\n\n- other"
+    assert body("see<a href=q> l<br>m</a>, <a>no link</a> <a href=z> </a>end") == "see [l m](q), no link end"
+    assert body("<li>no list<p>after") == "no list\n\nafter"
+
+
+def test_blocks_of_every_kind():
+    page = "<h2>T <i>x</i></h2> lead <p>one<p>two<br>\n three<script>x()</script><blockquote><p>q1<p>q2<ul><li>z</ul></blockquote><pre>  a\n   b<br>c</pre><hr>tail"
+    assert body(page, ("script",)) == "## T x\n\nlead\n\none\n\ntwo\nthree\n\n> q1\n\n> q2\n\n> - z\n\n```\n  a\n   b\nc\n```\n\ntail"
+    table = "<table><thead><tr><th>A<th>B|C</thead><tr><td>1<td><a href=u>2</a><tr><td><p>p<p>q<tr></table><table><tr><td> </table>"
+    assert body(table) == "| A | B\\|C |\n|---|---|\n| 1 | [2](u) |\n| p q |  |"
+
+
+def test_blocks_of_odd_pages():
+    assert body("") is None and body("<p> </p><ul><li></ul>") is None
+    assert body("<div>" * 20000 + "x<p>y</p></b></ul>") == "x\n\ny"
+    assert body("<ul><li>" * 300 + "deep").endswith("- deep")
+    assert body("</td></li><td>cell<li>item<pre>open") == "cell\n\nitem\n\n```\nopen\n```"
+
+
 def test_selector_backtracks_over_ancestors():
     page = html.PageTree('<div id="a"><div class="c"><p><div class="c"><a>x</a></div></div></div>').root
     assert len(html.find_all(page, "#a > div.c a")) == 1
