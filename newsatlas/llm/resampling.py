@@ -38,7 +38,7 @@ SEED = "2024"
 MIN_WORDS = 20
 PERCENT = 10
 DIGIT = 12  # bits of a pass
-BLOCK = 16  # bits of a place inside its block
+BLOCK = 14  # bits of a place inside its block
 #: Bytes of words are 0-9, a-z and all of U+0080 and above, after A-Z are lower case.
 IS_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
