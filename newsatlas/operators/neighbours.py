@@ -1,25 +1,32 @@
 """Exact nearest neighbours by cosine, and the recurring pairs drawn from them.
 
-The search is exact but does not compare everything with everything. Vectors are placed in cells around
-pivots; a query visits a cell only when the angles allow a better neighbour there than its k-th best so
-far. Cells are cut into blocks of bounded size, and a task holds one block of queries and one of targets.
+The search is exact but does not compare everything with everything. Vectors are placed in cells around pivots, and
+cells are cut into blocks: rings of similar angle to the pivot. A first bound, the k-th best similarity so far, comes
+from the block of a query and from the buckets of random hyperplanes. Then one row per pair of blocks is decided: a pair
+is visited when the angles of the two blocks to the pivot of one leave room for a similarity above the least bound of
+the other. Pairs of neighbouring blocks meet in one task, which asks the same question for each query before it compares.
 Equal vectors are searched once: copies of a vector, however many, form one entry.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsatlas.functions.dates import gap_days
 from newsatlas.operators.keys import lookup, one_per_key, top_per_key
 from newsatlas.session import cut
 
-BLOCK = 2048  # vectors per block
+BLOCK = 2048  # vectors per block, about
+TILE = 8  # blocks of queries, and of targets, that one task holds at most
 MAX_PIVOTS = 1024
+RINGS = 256  # steps by which angles to a pivot are counted
+TABLES = 2  # sets of random hyperplanes
+SEED = 5
 DIGITS = 6
 SLACK = 2e-6  # covers the rounding of similarities
 
@@ -52,29 +59,43 @@ def _distinct(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return coded.select(key, "code"), entries.select("rep", "code", "vec")
 
 
-def _cells(entries: DataFrame, kind: str, n: int, block: int) -> tuple[DataFrame, np.ndarray, pd.DataFrame]:
-    """Entries with cell and block; pivots; one control row per cell (at most MAX_PIVOTS)."""
+def _cells(entries: DataFrame, kind: str, n: int, block: int) -> tuple[DataFrame, np.ndarray, int]:
+    """Entries with cell, angle, block and the codes of their hyperplane buckets; pivots; number of blocks."""
     count = int(min(MAX_PIVOTS, max(1, round((n / block) ** 0.5) * 4 if n > block else 1)))
     chosen = entries.orderBy(F.xxhash64("rep"), "rep").limit(count).select("vec").collect()
     pivots = _units(pd.Series([r["vec"] for r in chosen]))
-    shared = entries.sparkSession.sparkContext.broadcast(pivots)
+    bits = max(1, math.ceil(math.log2(max(2.0, n / block))))
+    planes = np.random.default_rng(SEED).standard_normal((TABLES * bits, pivots.shape[1]))
+    shared = entries.sparkSession.sparkContext.broadcast((pivots, planes))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, planes = shared.value
         for batch in batches:
             if len(batch):
-                angles = _angles(_units(batch["vec"]), shared.value)
+                m = _units(batch["vec"])
+                angles = _angles(m, pivots)
                 cell = angles.argmin(axis=1)
-                yield batch.assign(cell=cell, angle=angles[np.arange(len(batch)), cell])
+                sides = ((m @ planes.T) > 0).reshape(len(batch), TABLES, bits)
+                codes = list((sides << np.arange(bits)).sum(axis=2))
+                yield batch.assign(cell=cell, angle=angles[np.arange(len(batch)), cell], codes=codes)
+
+    placed = cut(entries.mapInPandas(place, f"rep {kind}, code string, vec array<double>, cell int, angle double, codes array<long>"))
+    # A place in the cell: by steps of the angle, inside a step by hash. Its whole multiples of the block size are the rings.
+    step = F.least(F.floor(F.col("angle") / math.pi * RINGS), F.lit(RINGS - 1)).cast("int").alias("step")
+    counts = placed.groupBy("cell", step).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("cell").orderBy("step")) - F.col("n")
+    sizes = counts.groupBy("cell").agg(F.ceil(F.sum("n") / block).alias("blocks"))
+    first = sizes.select("cell", (F.sum("blocks").over(Window.orderBy("cell")) - F.col("blocks")).alias("first"))  # a row per pivot
+    table = cut(counts.withColumn("before", before).join(first, "cell"))  # at most MAX_PIVOTS x RINGS rows
+    rank = F.col("before") + F.pmod(F.xxhash64("rep"), F.col("n"))
+    numbered = placed.withColumn("step", step).join(F.broadcast(table), ["cell", "step"])
+    numbered = numbered.select("rep", "code", "vec", "cell", "angle", "codes", (F.col("first") + F.floor(rank / block)).cast("int").alias("block"))
+    return cut(numbered), pivots, int(sizes.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0])
+
 
-    placed = cut(entries.mapInPandas(place, f"rep {kind}, code string, vec array<double>, cell int, angle double"))
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
-    stats = stats.orderBy("cell").toPandas()
-    stats["blocks"] = np.ceil(stats["n"] / block).astype(int)
-    stats["first"] = stats["blocks"].cumsum() - stats["blocks"]
-    table = entries.sparkSession.createDataFrame(stats[["cell", "blocks", "first"]], "cell int, blocks int, first int")
-    where = F.col("first") + F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    numbered = placed.join(F.broadcast(table), "cell").select("rep", "code", "vec", "cell", where.alias("block"))
-    return numbered, pivots, stats
+def _rows(source, target, sim) -> pd.DataFrame:
+    """Keys as plain objects: an empty column of strings has no Arrow array."""
+    return pd.DataFrame({"source": pd.Series(source, dtype=object), "target": pd.Series(target, dtype=object), "sim": pd.Series(sim, dtype=float)})
 
 
 def _compare(q_reps, q, t_reps, t, k: int, floor: float | None) -> pd.DataFrame:
@@ -96,68 +117,85 @@ def _compare(q_reps, q, t_reps, t, k: int, floor: float | None) -> pd.DataFrame:
     rows, cols = rows[ranked], cols[ranked]
     keep = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < k
     rows, cols = rows[keep], cols[keep]
-    return pd.DataFrame({"source": q_reps[rows], "target": t_reps[cols], "sim": sims[rows, cols]})
+    return _rows(q_reps[rows], t_reps[cols], sims[rows, cols])
+
+
+def _bucket_bounds(placed: DataFrame, kind: str, k: int, floor: float | None, block: int) -> DataFrame:
+    """(source, target, sim) of the best in the same hyperplane bucket; large buckets are split by hash."""
+    each = placed.select("rep", "vec", F.posexplode("codes").alias("no", "side"))
+    sizes = each.groupBy("no", "side").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    split = each.join(sizes, ["no", "side"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, reps = _units(pdf["vec"]), pdf["rep"].to_numpy()
+        return _compare(reps, m, reps, m, k, floor)
+
+    return split.select("rep", "vec", "no", "side", "part").groupBy("no", "side", "part").applyInPandas(inside, f"source {kind}, target {kind}, sim double")
+
+
+def block_pairs(blocks: DataFrame, spans: DataFrame) -> DataFrame:
+    """(home, target): pairs of blocks that may hold a neighbour; at most one row per pair.
+
+    ``blocks`` is (block, cell, lo, hi), angles to the own pivot; ``spans`` is (block, need, near, far), the least bound
+    and the angles to every pivot. A target lies in reach if its ring, widened by the angle of the bound, meets them.
+    """
+    reach = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("need") - SLACK)))
+    asked = spans.select(F.col("block").alias("home"), reach.alias("reach"), F.posexplode(F.arrays_zip("near", "far")).alias("cell", "a"))
+    asked = asked.select("home", "cell", (F.col("a.near") - F.col("reach") - SLACK).alias("from"), (F.col("a.far") + F.col("reach") + SLACK).alias("to"))
+    there = blocks.select(F.col("block").alias("target"), "cell", "lo", "hi")
+    met = asked.join(there, "cell").where((F.col("hi") >= F.col("from")) & (F.col("lo") <= F.col("to")) & (F.col("home") != F.col("target")))
+    return met.select("home", "target")
 
 
 def _search(entries: DataFrame, kind: str, k: int, floor: float | None, block: int) -> DataFrame:
     """(source, target, sim): the k nearest other entries of each entry."""
     n = entries.count()
-    placed, pivots, stats = _cells(entries, kind, n, block)
+    placed, pivots, count = _cells(entries, kind, n, block)
+    shared = entries.sparkSession.sparkContext.broadcast(pivots)
     schema = f"source {kind}, target {kind}, sim double"
 
     def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
         m, reps = _units(pdf["vec"]), pdf["rep"].to_numpy()
-        return _compare(reps, m, reps, m, k, floor)
-
-    home = placed.groupBy("block").applyInPandas(at_home, schema)
-    if int(stats["blocks"].sum()) <= 1:
-        return home
-    home = cut(home)
-    bound = home.groupBy("source").agg(F.count(F.lit(1)).alias("found"), F.min("sim").alias("worst"))
+        found = _compare(reps, m, reps, m, k, floor)
+        angles = _angles(m, shared.value)
+        none = [None] * len(found)
+        columns = {c: [*found[c], None] for c in found.columns}
+        columns |= {"block": [*none, pdf["block"].iloc[0]], "near": [*none, angles.min(axis=0)], "far": [*none, angles.max(axis=0)]}
+        return pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in columns.items()})
+
+    home = cut(placed.groupBy("block").applyInPandas(at_home, f"{schema}, block int, near array<double>, far array<double>"))
+    found = home.where("block IS NULL").select("source", "target", "sim")
+    if count <= 1:
+        return found
+    near = found.unionByName(_bucket_bounds(placed, kind, k, floor, block)).groupBy("source", "target").agg(F.min("sim").alias("sim"))
+    best = F.sort_array(F.collect_list("sim"), asc=False)  # at most (1 + TABLES) * k of each source
+    bound = near.groupBy("source").agg(F.try_element_at(best, F.lit(k)).alias("worst"))
     lowest = -1.0 if floor is None else float(floor)
-    best_so_far = F.when(F.col("found") >= k, F.greatest("worst", F.lit(lowest))).otherwise(F.lit(lowest))
-    queries = placed.join(bound, placed["rep"] == bound["source"], "left").select(
-        "rep", "vec", "block", F.coalesce(best_so_far, F.lit(lowest)).alias("need")
-    )
-    shared = entries.sparkSession.sparkContext.broadcast(
-        (pivots, stats["cell"].to_numpy(), stats["lo"].to_numpy(), stats["hi"].to_numpy(), stats["first"].to_numpy(), stats["blocks"].to_numpy())
-    )
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piv, cell, lo, hi, first, blocks = shared.value
-        for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.iloc[start : start + 512]
-                angles = _angles(_units(part["vec"]), piv[cell])
-                nearest = np.maximum(0.0, np.maximum(angles - hi, lo - angles))
-                reachable = np.cos(np.minimum(nearest, np.pi)) + SLACK >= part["need"].to_numpy()[:, None]
-                rows, cols = np.nonzero(reachable)
-                reps = blocks[cols]
-                rows = np.repeat(rows, reps)
-                target = np.repeat(first[cols], reps) + np.concatenate([np.arange(b) for b in reps]) if len(reps) else reps
-                home_block = part["block"].to_numpy()[rows]
-                away = target != home_block
-                yield pd.DataFrame({"rep": part["rep"].to_numpy()[rows][away], "home": home_block[away], "target": target[away]})
-
-    visits = cut(queries.mapInPandas(route, f"rep {kind}, home int, target int"))
-    vectors = placed.select("rep", "vec")
-    # Targets follow the block pairs that are visited. Pairs of a much visited block are spread over splits.
-    pairs = visits.select("home", "target").distinct()
-    load = pairs.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("splits"))
-    spread = pairs.join(load, "target").withColumn("split", F.pmod(F.xxhash64("home"), F.col("splits")).cast("int"))
-    members = placed.select(F.col("block").alias("target"), F.col("rep"), F.col("vec")).join(load, "target")
-    members = members.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    targets = members.join(spread.select("home", "target", "split"), ["target", "split"]).select("home", "target", "rep", "vec")
+    need = F.greatest(F.coalesce(F.col("worst"), F.lit(lowest)), F.lit(lowest))
+    queries = cut(placed.join(bound, placed["rep"] == bound["source"], "left").select("rep", "vec", "block", "cell", "angle", need.alias("need")))
+    spans = home.where("block IS NOT NULL").select("block", "near", "far").join(queries.groupBy("block").agg(F.min("need").alias("need")), "block")
+    rings = queries.groupBy("block", "cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    visits = cut(block_pairs(rings, spans))
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("int")
+    askers = visits.select(F.col("home").alias("block"), tile("home").alias("qt"), tile("target").alias("tt")).distinct()
+    givers = visits.select(F.col("target").alias("block"), tile("home").alias("qt"), tile("target").alias("tt")).distinct()
+    asked = queries.join(askers, "block").select("qt", "tt", "rep", "vec", "need", "block")
+    given = queries.join(givers.toDF("block", "qt_b", "tt_b"), "block").select("qt_b", "tt_b", *[F.col(c).alias(f"{c}_b") for c in ("rep", "vec", "block", "cell", "angle")])
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"source": [], "target": [], "sim": []})
-        return _compare(left["rep"].to_numpy(), _units(left["vec"]), right["rep_b"].to_numpy(), _units(right["vec_b"]), k, floor)
-
-    asked = visits.join(vectors, "rep").select("home", "target", "rep", "vec")
-    given = targets.select(F.col("home").alias("home_b"), F.col("target").alias("target_b"), F.col("rep").alias("rep_b"), F.col("vec").alias("vec_b"))
-    away = asked.groupBy("home", "target").cogroup(given.groupBy("home_b", "target_b")).applyInPandas(meet, schema)
-    return top_per_key(home.unionByName(away), ["source"], [F.desc("sim"), F.asc("target")], k).drop("rank")
+        out = []
+        if len(left) and len(right):
+            q, reps, need, own = _units(left["vec"]), left["rep"].to_numpy(), left["need"].to_numpy(), left["block"].to_numpy()
+            for name, part in right.groupby("block_b"):
+                angle = _angles(q, shared.value[part["cell_b"].iloc[0]][None, :])[:, 0]
+                gap = np.maximum(0.0, np.maximum(angle - part["angle_b"].max(), part["angle_b"].min() - angle))
+                ask = np.flatnonzero((np.cos(np.minimum(gap, np.pi)) + SLACK >= need) & (own != name))
+                if len(ask):
+                    out.append(_compare(reps[ask], q[ask], part["rep_b"].to_numpy(), _units(part["vec_b"]), k, floor))
+        return _rows(*[np.concatenate([part[c].to_numpy() for part in out]) if out else [] for c in ("source", "target", "sim")])
+
+    away = asked.groupBy("qt", "tt").cogroup(given.groupBy("qt_b", "tt_b")).applyInPandas(meet, schema)
+    return top_per_key(found.unionByName(away), ["source"], [F.desc("sim"), F.asc("target")], k).drop("rank")
 
 
 def nearest(vectors: DataFrame, key: str, k: int = 5, floor: float | None = None, block: int = BLOCK) -> DataFrame:

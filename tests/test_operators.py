@@ -41,6 +41,29 @@ def test_nearest_is_exact(spark, vectors, block, floor):
     assert {g[:3] for g in got} == {b[:3] for b in brute_knn(vectors, 5, floor)}
 
 
+def test_blocks_are_rings_of_bounded_size(spark, vectors, monkeypatch):
+    df = spark.createDataFrame(list(vectors.items()), "link string, vec array<double>").select("link", near.unit("vec").alias("vec"))
+    _, entries = near._distinct(df, "link")
+    placed, _, count = near._cells(entries, "string", entries.count(), 24)
+    rows = placed.collect()
+    assert {r["block"] for r in rows} <= set(range(count)) and len(rows) == 201
+    assert max(collections.Counter(r["block"] for r in rows).values()) <= 48
+    kept = []
+    monkeypatch.setattr(near, "block_pairs", lambda a, b, own=near.block_pairs: kept.append(own(a, b)) or kept[-1])
+    floor = near.nearest(df, "link", 5, 0.9, 24).count()
+    pairs = [tuple(r) for r in kept[0].collect()]
+    assert floor and len(pairs) == len(set(pairs)) < count * (count - 1) / 2  # clusters far apart don't meet
+
+
+def test_a_pair_found_twice_is_one_neighbour(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = {f"r{i:02d}": rng.normal(size=3).tolist() for i in range(90)}
+    df = spark.createDataFrame(list(rows.items()), "link string, vec array<double>")
+    monkeypatch.setattr(near, "TILE", 1)
+    got = {tuple(r)[:3] for r in near.nearest(df, "link", 7, None, 9).select("source", "target", "rank").collect()}
+    assert got == {b[:3] for b in brute_knn(rows, 7)}
+
+
 def union_find(edges):
     parent = {}
 
