@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newsatlas.functions.text import WS, fold, strip
+from newsatlas.operators.gram_store import GramStore, spelled
 from newsatlas.operators.keys import top_per_key
 from newsatlas.operators.summaries import catalog_values, dual_map
-from newsatlas.session import by_key, cut
+from newsatlas.session import by_key, cut, scratch_dir
 
 TEXT_GRAMS, CATALOG_GRAMS = (3, 5), (2, 5)
 DIGITS = 6
@@ -36,7 +37,7 @@ def word_grams(docs: DataFrame, key: str, text: str, low: int, high: int) -> Dat
 
 
 def gram_index(docs: DataFrame, key: str, text: str, grams: tuple[int, int] = TEXT_GRAMS) -> DataFrame:
-    """(key, gram, weight, idf): unit-length TF-IDF rows. Store it sorted by gram to search it often."""
+    """(key, gram, weight, idf): unit-length TF-IDF rows. ``store_index`` writes them for searching."""
     cells = word_grams(docs, key, text, *grams)
     total = docs.agg(F.count(F.lit(1))).scalar()
     stats = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
@@ -46,6 +47,11 @@ def gram_index(docs: DataFrame, key: str, text: str, grams: tuple[int, int] = TE
     return raw.select(key, "gram", (F.col("w") / norm).alias("weight"), "idf")
 
 
+def store_index(docs: DataFrame, key: str, text: str, path: str | None = None, grams: tuple[int, int] = TEXT_GRAMS) -> GramStore:
+    """The stored form of the index, in the shared folder when no path is given."""
+    return GramStore.write(gram_index(docs, key, text, grams), path or scratch_dir(docs.sparkSession, "grams"), key)
+
+
 def query_grams(docs: DataFrame, value: str, grams: tuple[int, int]) -> DataFrame:
     """(gram, tf) of the query text: as many rows as the query has n-grams."""
     one = docs.sparkSession.range(1).select("id", strip(fold(F.lit(value))).alias("q"))
@@ -101,10 +107,28 @@ class Signal:
     term: str
     resolved: str
     score: float
+    scores: DataFrame | None = None  # (key, score) of a search by spelling
+
+
+def similar(df: DataFrame, query: str, key: str, index: GramStore, floors: tuple[float, float], few: int, fallback: int) -> tuple[DataFrame, float]:
+    """(key, score) of the rows that a misspelt text means, and the best score of all rows.
+
+    Floors are tried from above, so that a search that is answered by strong hits never reads the long lists of weak ones.
+    """
+    grams = spelled(query, *TEXT_GRAMS)
+    for floor in (*floors, 0.0):
+        scores = cut(index.scores(grams, floor).join(df.select(key), key, "left_semi"))
+        facts = scores.agg(F.max("score").alias("top"), F.count(F.lit(1)).alias("n")).first()
+        if floor == floors[0] and facts["n"] >= few:
+            return scores, facts["top"]
+        if floor != floors[0] and facts["n"]:
+            break
+    best = scores.orderBy(F.desc("score"), key).limit(fallback).where(F.col("score") >= floors[1])
+    return best, float(facts["top"] or 0.0)
 
 
 def fuzzy_text(
-    df: DataFrame, value: str, key: str = "link", index: DataFrame | None = None,
+    df: DataFrame, value: str, key: str = "link", index: GramStore | None = None,
     floor: float = 0.20, few: int = 12, fallback: int = 150, fallback_floor: float = 0.10,
 ) -> Signal:
     """Rows that hold the text; when there is none, rows with a similar spelling.
@@ -118,18 +142,12 @@ def fuzzy_text(
     exact = df.where(F.contains(F.col("texto_busca_normalizado"), F.lit(query)))
     if not exact.isEmpty():
         return Signal(exact, value, value, 1.0)
-    base = cut(gram_index(df, key, "texto_busca_normalizado")) if index is None else index
-    scores = score_index(base, key, query_grams(df, value, TEXT_GRAMS)).join(df.select(key), key, "left_semi")
-    scores = cut(scores.where(F.col("score") > 0))
-    facts = scores.agg(F.max("score").alias("top"), F.count_if(F.col("score") >= floor).alias("n")).first()
-    if facts["n"] < few:
-        kept = scores.orderBy(F.desc("score"), key).limit(fallback).where(F.col("score") >= fallback_floor)
-    else:
-        kept = scores.where(F.col("score") >= floor)
-    return Signal(df.join(kept.select(key), key, "left_semi"), value, f"{value} (aproximado)", float(facts["top"] or 0.0))
-
-
-def match_signal(df: DataFrame, mode: str, value: str, key: str = "link", index: DataFrame | None = None, corpus: DataFrame | None = None) -> Signal:
+    base = store_index(df, key, "texto_busca_normalizado") if index is None else index
+    scores, top = similar(df, query, key, base, (floor, fallback_floor), few, fallback)
+    return Signal(df.join(scores.select(key), key, "left_semi"), value, f"{value} (aproximado)", top, scores)
+
+
+def match_signal(df: DataFrame, mode: str, value: str, key: str = "link", index: GramStore | None = None, corpus: DataFrame | None = None) -> Signal:
     """Rows that match one term as free text, tag, crime or modus.
 
     The catalog of tags and labels is that of ``corpus``, the whole collection, when it is given.
@@ -173,7 +191,7 @@ def trend_peak(trend: DataFrame, name: str = "year") -> DataFrame:
 
 def dual_compare(
     df: DataFrame, a: str, b: str, mode: str = TEXT, period: str = YEAR, key: str = "link",
-    index: DataFrame | None = None, corpus: DataFrame | None = None,
+    index: GramStore | None = None, corpus: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Trend, peak table and two-sided map of two terms; a blank term is left out.
 

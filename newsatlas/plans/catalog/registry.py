@@ -11,7 +11,7 @@ from newsatlas.session import cut, prepare
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_STAGES: dict[tuple[str, str, str], DataFrame] = {}
+_STAGES: dict[tuple[str, str, str], object] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -45,14 +45,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def stage(name: str) -> Callable[[Query], Query]:
-    """A table that several queries read: written out once per application and input folder."""
+def stage(name: str, write: Callable = cut) -> Callable[[Query], Query]:
+    """A table that several queries read: written out once per application and input folder.
+
+    ``write`` None: the function writes its result itself and returns what reads it.
+    """
 
     def wrap(fn: Query) -> Query:
-        def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def read(spark: SparkSession, sf_dir: str):
             key = (spark.sparkContext.applicationId, sf_dir, name)
             if key not in _STAGES:
-                _STAGES[key] = cut(fn(spark, sf_dir))
+                made = fn(spark, sf_dir)
+                _STAGES[key] = made if write is None else write(made)
             return _STAGES[key]
 
         return read

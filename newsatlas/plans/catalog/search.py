@@ -54,14 +54,14 @@ CATALOG = {**CRIME_VALUES, **index_ctes("c", "value", "k", "cvals", *se.CATALOG_
 TAG_CATALOG = {**TAG_VALUES, **index_ctes("g", "value", "k", "gvals", *se.CATALOG_GRAMS)}
 
 
-@stage("char_index")
+@stage("char_index", write=None)
 def text_index(spark, d):
-    return se.gram_index(v.enriched(spark, d), "link", "texto_busca_normalizado").sortWithinPartitions("gram")
+    return se.store_index(v.enriched(spark, d), "link", "texto_busca_normalizado")
 
 
 @query("sem_char_index", sql("SELECT link, count(*) AS grams, round(sum(weight), 6) AS total, round(max(weight), 6) AS top FROM tidx GROUP BY link", "tidx", **TEXT_CTES))
 def char_index(spark, d):
-    rows = text_index(spark, d)
+    rows = text_index(spark, d).rows()
     return rows.groupBy("link").agg(F.count(F.lit(1)).alias("grams"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 
@@ -99,11 +99,7 @@ FUZZY = "operacao estrella giua"
     ),
 )
 def fuzzy_text(spark, d):
-    rows = v.enriched(spark, d)
-    index = text_index(spark, d)
-    hit = se.fuzzy_text(rows, FUZZY, index=index)
-    scores = se.score_index(index, "link", se.query_grams(rows, FUZZY, se.TEXT_GRAMS))
-    return hit.rows.select("link").join(scores, "link")
+    return se.fuzzy_text(v.enriched(spark, d), FUZZY, index=text_index(spark, d)).scores
 
 
 @query("qry_match_signal", sql("SELECT doc_id, 't_schung' AS resolvido FROM enr WHERE list_contains(crimes, 't_schung')", "enr"))
@@ -180,3 +176,29 @@ def dual_compare_uf(spark, d):
     rows = v.enriched(spark, d)
     _, peak, both = se.dual_compare(ops.by_uf(rows, UF), MISSPELT, "t_eaux", se.CRIME, corpus=rows)
     return compared(peak, both)
+
+
+SCOPED = (
+    "SELECT link FROM (SELECT *, count(*) FILTER (score >= 0.20) OVER () AS strong, row_number() OVER (ORDER BY score DESC, link) AS rn FROM tscore SEMI JOIN f USING (link)) "
+    "WHERE CASE WHEN strong < 12 THEN rn <= 150 AND score >= 0.10 ELSE score >= 0.20 END"
+)
+
+
+@query(
+    "qry_dual_compare_text",
+    sql(
+        "SELECT 'pico' AS parte, termo AS chave, year AS periodo, c AS a, CAST(0 AS BIGINT) AS b FROM (SELECT *, row_number() OVER (PARTITION BY termo ORDER BY c DESC, year) AS rn FROM "
+        f"(SELECT ano AS year, '{FUZZY}' AS termo, count(*) FILTER (link IN (SELECT link FROM near)) AS c FROM f WHERE ano IS NOT NULL GROUP BY ALL UNION ALL "
+        "SELECT ano, 'eaux', count(*) FILTER (contains(folded, 'eaux')) FROM f WHERE ano IS NOT NULL GROUP BY ALL)) WHERE rn = 1 "
+        "UNION ALL SELECT 'mapa', uf, 0, coalesce(a.n, 0), coalesce(b.n, 0) FROM (SELECT uf, count(*) AS n FROM (SELECT unnest(ufs) AS uf FROM f SEMI JOIN near USING (link)) GROUP BY uf) a FULL JOIN "
+        "(SELECT uf, count(*) AS n FROM (SELECT unnest(ufs) AS uf FROM f WHERE contains(folded, 'eaux')) GROUP BY uf) b USING (uf)",
+        "f",
+        "near",
+        **{**TEXT_CTES, **score_ctes("t", "link", FUZZY, *se.TEXT_GRAMS), **ONE_UF, "near": (SCOPED, ["tscore", "f"])},
+    ),
+)
+def dual_compare_text(spark, d):
+    """Two free texts within one state; the misspelt one is looked up in the stored index of all rows."""
+    rows = v.enriched(spark, d)
+    _, peak, both = se.dual_compare(ops.by_uf(rows, UF), FUZZY, "eaux", index=text_index(spark, d), corpus=rows)
+    return compared(peak, both)

@@ -288,3 +288,62 @@ def test_network_and_layout(spark):
     nodes = spark.createDataFrame([(i, 0.0, 0.0, 0.0) for i in range(5)], "cluster_id int, x double, y double, z double")
     assert [r["cluster_id"] for r in network.isolated(nodes, edges).collect()] == [4]
     assert network.place_edges(edges, nodes).count() == 2
+
+
+@pytest.fixture(scope="module")
+def spelled_rows(spark):
+    rng = random.Random(5)
+    words = ["operacao", "estrela", "guia", "fronteira", "carga", "bens", "porto", "aduana", "selva", "rio"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(3, 30))) + (" zumbi" if i % 50 == 0 else "") for i in range(300)]
+    return spark.createDataFrame([(f"l{i:03d}", t) for i, t in enumerate(texts)] + [("empty", ""), ("none", None)], "link string, texto_busca_normalizado string")
+
+
+@pytest.mark.parametrize("ranges", [1, 16])
+def test_stored_index_scores_like_a_full_scan(spark, spelled_rows, tmp_path, ranges):
+    from newsatlas.operators.gram_store import GramStore, spelled
+
+    rows = search.gram_index(spelled_rows, "link", "texto_busca_normalizado").cache()
+    store = GramStore.write(rows, str(tmp_path / "index"), "link", ranges)
+    assert len(store.borders) <= ranges and store.rows().count() == rows.count()
+    for text in ("estrella guiia", "zumbis", "fronteyra do rrio", "xyzxyz", "a"):
+        full = {r["link"]: r["score"] for r in search.score_index(rows, "link", search.query_grams(spelled_rows, text, search.TEXT_GRAMS)).collect() if r["score"] > 0}
+        for floor in (0.0, 0.1, 0.2, 0.45):
+            got = {r["link"]: r["score"] for r in store.scores(spelled(text, *search.TEXT_GRAMS), floor).collect()}
+            assert set(got) == {k for k, s in full.items() if s >= floor}
+            assert all(abs(got[k] - full[k]) <= 1e-6 for k in got)
+
+
+def test_stored_index_reads_only_the_ranges_of_the_query(spark, spelled_rows, tmp_path):
+    from newsatlas.operators.gram_store import GramStore
+
+    GramStore.write(search.gram_index(spelled_rows, "link", "texto_busca_normalizado"), str(tmp_path / "index"), "link", 16)
+    store = GramStore.open(spark, str(tmp_path / "index"), "link")
+    hits = store.read("postings", [" zu", "zumbi"])
+    opened = {f.split("part=")[1].split("/")[0] for f in hits.inputFiles()}
+    assert 1 <= len(opened) <= 4 < len(store.borders) and {r["link"] for r in hits.collect()} == {f"l{i:03d}" for i in range(0, 300, 50)}
+    assert "EqualTo(gram, zu)" in hits._jdf.queryExecution().toString().replace("gram,  zu", "gram, zu")
+    assert store.read("postings", ["\x01"]) is None
+
+
+def test_light_grams_are_left_to_those_a_heavy_one_brings_up():
+    from newsatlas.operators.gram_store import GramStore, Term
+
+    terms = [Term("a", 0.1, 0.02, 900), Term("b", 0.1, 0.05, 500), Term("c", 0.9, 0.6, 3)]
+    light, heavy, rest = GramStore.split(None, terms, 0.2)
+    assert [t.gram for t in light] == ["a", "b"] and [t.gram for t in heavy] == ["c"] and abs(rest - 0.07) < 1e-9
+    assert GramStore.split(None, terms, 0.0)[1] == terms
+
+
+def test_fuzzy_search_falls_back_to_lower_floors(spark, spelled_rows):
+    store = search.store_index(spelled_rows, "link", "texto_busca_normalizado")
+    few = spelled_rows.where("link < 'l010'")
+    for rows in (spelled_rows, few):
+        scores = search.score_index(store.rows(), "link", search.query_grams(rows, "zumbie", search.TEXT_GRAMS)).join(rows.select("link"), "link", "left_semi").collect()
+        strong = {r["link"] for r in scores if r["score"] >= 0.2}
+        ranked = sorted(scores, key=lambda r: (-r["score"], r["link"]))[:150]
+        expected = strong if len(strong) >= 12 else {r["link"] for r in ranked if r["score"] >= 0.1}
+        found = search.fuzzy_text(rows, "zumbie", index=store)
+        assert {r["link"] for r in found.rows.collect()} == expected
+        assert abs(found.score - max(r["score"] for r in scores)) < 1e-6
+    nothing = search.fuzzy_text(few, "qqqq", index=store)
+    assert nothing.rows.count() == 0 and nothing.score == 0.0
