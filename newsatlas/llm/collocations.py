@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsatlas.llm.frames import query, table
-from newsatlas.llm.words import LOWER, ODD, Words, mixed, pieces, runs, split, utf8
+from newsatlas.llm.words import LOWER, ODD, mixed, pieces, runs, slices, utf8
 from newsatlas.operators.keys import top_per_key
 from newsatlas.session import cut, spread
 
@@ -45,24 +45,38 @@ PIECE = 8 << 20
 BITS_PER_PHRASE = 16
 LEAST_BITS, MOST_BITS = 20, 29  # of a bit table: 128 KB to 64 MB, more phrases only make it less selective
 BUCKET_BITS = 15  # of a bitmap of Spark
+PLACES = 4096  # of bytes in a word that weigh differently in its hash
+BYTES, POWERS = (np.random.default_rng(seed).integers(0, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed, n in ((1, 256), (2, PLACES)))
 #: Bytes that end a piece, and bytes that part words inside it.
 BREAKS = np.isin(np.arange(256), list(b".,;:!?") + [10, 11, 12, 13])
 BLANKS = np.isin(np.arange(256), [9, 32])
 
 
 class Runs:
-    """Words of a batch of texts, their hashes, and the number of the piece each stands in."""
+    """Words of a batch of texts, their hashes, and the number of the piece each stands in.
+
+    A hash is a sum over the bytes of a word, weighed by their places (modulo ``PLACES``), so no word is looked at alone.
+    """
 
     def __init__(self, column: pa.Array, langs: list[str]):
         data, offsets = utf8(column)
         data = LOWER[data]
         inside = ~(BREAKS | BLANKS)[data]
-        self.found: Words = split(data, offsets, inside)
-        self.text = self.found.texts()
-        borders = np.searchsorted(np.flatnonzero(BREAKS[data]), runs(inside, offsets)[0])
-        self.piece = borders + self.text  # both only grow, so equal sums are equal pairs
+        starts, ends = runs(inside, offsets)
+        self.lengths = ends - starts
+        self.bytes = data[inside]
+        self.bounds = np.searchsorted(starts, offsets)
+        self.text = np.repeat(np.arange(len(column)), np.diff(self.bounds))
+        self.piece = np.searchsorted(np.flatnonzero(BREAKS[data]), starts) + self.text  # both only grow, so equal sums are equal pairs
         self.lang = np.array([xxhash.xxh64_intdigest(x) for x in langs], np.uint64)[self.text] if len(langs) else np.zeros(0, np.uint64)
-        self.hash = self.found.hashes()
+        first = np.cumsum(self.lengths) - self.lengths
+        place = np.arange(len(self.bytes), dtype=np.int32) - np.repeat(first.astype(np.int32), self.lengths)
+        self.hash = mixed(np.add.reduceat(BYTES[self.bytes] * POWERS[place & (PLACES - 1)], first)) if len(first) else np.zeros(0, np.uint64)
+
+    def spelled(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words, and which of them each word is."""
+        coded = slices(self.bytes, np.ones(len(self.bytes), bool), self.lengths).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
 
     def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length: at which words a phrase of it begins, and the hash of the phrase in its language."""
@@ -116,8 +130,11 @@ def locally(docs: DataFrame, size: int, known: Broadcast | None, support: int, s
                     at = np.flatnonzero(fits if before is None else follows(fits, before))
                 elif length == size - 1:
                     before = has(known.value, hashes ^ salts[shard[: len(hashes)]])
-            found = pd.DataFrame({"s": shard[: len(hashes)][at], "h": hashes[at].view(np.int64)}).groupby(["s", "h"], sort=False).size()
-            yield pa.RecordBatch.from_arrays([pa.array(found.index.get_level_values(0).to_numpy(np.int32)), pa.array(found.index.get_level_values(1).to_numpy(np.int64)), pa.array(found.to_numpy(np.int64))], names=["shard", "phrase", "n"])
+            codes, own = pd.factorize(hashes[at] ^ salts[shard[at]])
+            first = np.empty(len(own), np.int64)
+            first[codes[::-1]] = at[::-1]
+            columns = [pa.array(shard[first].astype(np.int32)), pa.array(hashes[first].view(np.int64)), pa.array(np.bincount(codes, minlength=len(own)).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "phrase", "n"])
 
     counts = docs.mapInArrow(run, "shard int, phrase long, n long").groupBy("phrase", "shard").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") >= support).select("shard", "phrase")
@@ -147,9 +164,9 @@ def counted(docs: DataFrame, candidates: DataFrame, longest: int) -> DataFrame:
         for piece in pieces(batches, "text", PIECE):
             langs = _langs(piece)
             cut_up = Runs(piece.column("text"), langs)
-            names, ids = cut_up.found.names, cut_up.found.ids
+            names, ids = cut_up.spelled()
             seen = pa.array(langs, pa.string())
-            sizes = pd.Series(np.diff(cut_up.found.bounds)).groupby(langs).sum()
+            sizes = pd.Series(np.diff(cut_up.bounds)).groupby(langs).sum()
             yield _rows(pa.array(sizes.index, pa.string()), pa.nulls(len(sizes), pa.string()), 0, sizes.to_numpy(np.int64))
             before = None
             for size, fits, hashes in cut_up.phrases(longest):
