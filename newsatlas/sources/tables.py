@@ -7,18 +7,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsatlas.functions.series import ui_label
 from newsatlas.functions.text import unpack_list
-from newsatlas.sources import schemas
+from newsatlas.sources import csv_records, schemas
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header, columns matched by name, quotes doubled and line breaks kept in cells."""
-    options = {"header": True, "multiLine": True, "escape": '"', "enforceSchema": False}
-    present = spark.read.options(**options).csv(path).columns
+    text = csv_records.read(spark, path)
     wanted = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
-    text = spark.read.options(**options).schema(", ".join(f"`{c}` STRING" for c in present)).csv(path)
     return text.select(
         *[
-            (F.col(f"`{name}`").try_cast(kind) if name in present else F.lit(None).cast(kind)).alias(name)
+            (F.col(f"`{name}`").try_cast(kind) if name in text.columns else F.lit(None).cast(kind)).alias(name)
             for name, kind in wanted.items()
         ]
     )
@@ -27,7 +25,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def load_index(spark: SparkSession, path: str) -> DataFrame:
     """Index rows; a missing file or a missing ``link`` column is an error."""
     try:
-        header = spark.read.options(header=True, multiLine=True, escape='"').csv(path).columns
+        header = csv_records.header(spark, path)
     except AnalysisException as exc:
         raise FileNotFoundError(f"index not found: {path}") from exc
     if "link" not in header:

@@ -1,10 +1,12 @@
 """HTML extraction with the default selectors, manifest maintenance, files, and the streaming form."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from newsatlas.operators import ingest
-from newsatlas.sources import blocks, html, schemas, sinks, tables
+from newsatlas.sources import blocks, csv_records, html, schemas, sinks, tables
 from newsatlas.streaming.sync import read_manifest_log, sync_stream
 
 ARTICLE = """<html><body><div id="content"><div class="column"><a>Bahia</a> <a> </a><a>Tema  dois</a></div>
@@ -115,6 +117,39 @@ def test_csv_tables(spark, tmp_path):
     assert (row["link"], row["titulo"], row["offset"], row["tags"]) == ("l1", 'a "b", c\nd', 60, None)
 
 
+def odd_csv(rows):
+    draw = random.Random(2)
+    cells = ["plain", "a,b", 'say ""x""', "two\nlines", "\n", "", '""', "é\n\n\nlong", " padded ", "x" * 300, "1\r\n2"]
+    out = ["link,titulo,offset"]
+    for i in range(rows):
+        a, b = draw.choice(cells), draw.choice(cells)
+        out.append(f'l{i},"{a}",{i}' if i % 3 else f'"l{i}","{b}\n{a}","{i}"')
+        out += [""] * (i % 50 == 7)
+    return "\n".join(out) + "\n"
+
+
+@pytest.mark.parametrize("size,rows", [(64, 60), (700, 300), (1 << 20, 300)])
+def test_csv_splits_give_the_rows_of_the_whole_file(spark, tmp_path, size, rows):
+    (tmp_path / "t.csv").write_bytes(odd_csv(rows).encode())
+    whole = spark.read.options(header=True, multiLine=True, escape='"').csv(str(tmp_path / "t.csv"))
+    expected = sorted(map(tuple, whole.collect()), key=str)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        assert (csv_records.lines(spark, str(tmp_path / "t.csv")).select("split").distinct().count() > 10) == (size < 1 << 20)
+        assert sorted(map(tuple, csv_records.read(spark, str(tmp_path / "t.csv")).collect()), key=str) == expected
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csv_folder_of_several_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufefflink,n\n"x\ny",1\nz,', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('\ufefflink,n\nw,"2"\n\n', encoding="utf-8")
+    assert sorted(map(tuple, csv_records.read(spark, str(tmp_path)).collect())) == [("w", "2"), ("x\ny", "1"), ("z", None)]
+    (tmp_path / "c.csv").write_text("n,link\n1,v\n")
+    with pytest.raises(Exception, match="another header"):
+        csv_records.read(spark, str(tmp_path)).collect()
+
+
 def test_bodies_are_files(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "um ç.md").write_text("# Título\n\nlinha", encoding="utf-8")
