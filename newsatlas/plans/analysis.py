@@ -10,7 +10,7 @@ from newsatlas.functions import lexicon
 from newsatlas.operators import corpus as ops, graph, neighbours as near, semantic, summaries
 from newsatlas.plans.report import report_lines
 from newsatlas.session import cut, prepare
-from newsatlas.sources import sinks, tables
+from newsatlas.sources import artifacts, schemas, sinks, tables
 from newsatlas.sources.schemas import CORPUS_COLUMNS
 
 
@@ -84,14 +84,13 @@ def analyse(corpus: DataFrame, assigned: DataFrame, terms: DataFrame, settings:
 
 
 def run(spark: SparkSession, index_path: str, manifest_path: str, bodies_path: str, out: str, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """Read the inputs, analyse them, and write each artifact as parquet and as CSV, plus the report text."""
+    """Read the inputs, analyse them, publish the artifacts as one run, and export its tables as CSV and the report as text."""
     prepare(spark)
     index = tables.load_index(spark, index_path)
     manifest = tables.load_manifest(spark, manifest_path)
     corpus = load_corpus(index.drop("publicado_em"), manifest, tables.read_bodies(spark, bodies_path), settings)
-    artifacts = analyse(corpus, *cluster(corpus, settings), settings)
-    sinks.write_tables(artifacts, out)
-    written = sinks.read_tables(spark, out, list(artifacts))
-    sinks.write_report(written.pop("analise_qualitativa"), f"{out}/analise_qualitativa_md")
-    sinks.write_csvs(written, f"{out}/csv")
-    return artifacts
+    path = artifacts.publish(analyse(corpus, *cluster(corpus, settings), settings), out)
+    written = artifacts.read(spark, out)
+    sinks.write_report(written[schemas.REPORT[0]], f"{path}/analise_qualitativa_md")
+    sinks.write_csvs({name: written[name] for name in schemas.ARTIFACTS}, f"{path}/csv")
+    return written

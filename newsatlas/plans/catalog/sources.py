@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from newsatlas.functions import gazetteer as geo, lexicon as lx
 from newsatlas.operators import ingest
+from newsatlas.plans import analysis
 from newsatlas.plans.catalog import views as v
-from newsatlas.plans.catalog.registry import query
+from newsatlas.plans.catalog.registry import query, stage
 from newsatlas.plans.catalog.rows import keyword_hits
 from newsatlas.plans.catalog.views import sql
 from newsatlas.session import scratch_dir
-from newsatlas.sources import html, schemas, sinks, tables
+from newsatlas.sources import artifacts, html, schemas, sinks, tables
 
 # Selectors that fit the given pages.
 ARTICLE = html.ArticleRules(
@@ -201,25 +204,63 @@ def article_text(spark, d):
     return html.article_text(html.extract_articles(dressed_pages(spark, d))).select("url", "markdown_text")
 
 
-@query("snk_tables", sql("SELECT link, ano, array_to_string(crimes, '|') AS crimes, nome_operacao FROM enr", "enr"))
+@stage("artifact_folder", write=None)
+def artifact_folder(spark, d):
+    """All artifact tables of the corpus with vectors, published as one run; nothing is fitted."""
+    rows = v.corpus(spark, d).drop("cluster_label").withColumn("markdown_path", F.concat(F.lit(v.FOLDER + "/"), "doc_id", F.lit(".md")))
+    settings = analysis.Settings(threshold=v.THRESHOLD, strict=v.STRICT)
+    terms = spark.createDataFrame([], "cluster_id INT, top_terms ARRAY<STRING>")
+    path = scratch_dir(spark, "artifacts")
+    run = artifacts.publish(analysis.analyse(rows, rows.select("link", "vec", "cluster_id"), terms, settings), path)
+    stored = artifacts.read(spark, path)
+    sinks.write_csvs({n: stored[n] for n in schemas.ARTIFACTS}, f"{run}/csv")
+    return path
+
+
+#: A whole number of each table whose sum is compared.
+SUMMED = {
+    "corpus_enriquecido": "ano", "vizinhos_semelhantes": "gap_days", "pares_recorrentes": "gap_days", "resumo_clusters": "size", "recorrencia_temporal": "noticias",
+    "crimes_por_ano": "noticias", "modus_operandi_por_ano": "noticias", "series_semanticas": "size", "clusters_por_ano": "noticias", "estados_por_ano": "noticias",
+    "estados_por_cluster": "noticias",
+}
+_COUNTED = "count(*) AS n FROM cor"
+_ROWS = {
+    "corpus_enriquecido": "SELECT ano AS n FROM cor", "vizinhos_semelhantes": "SELECT gap_days AS n FROM nb", "pares_recorrentes": "SELECT gap_days AS n FROM pairs",
+    "resumo_clusters": f"SELECT {_COUNTED} GROUP BY cluster_id", "recorrencia_temporal": f"SELECT {_COUNTED} GROUP BY cluster_id",
+    "crimes_por_ano": "SELECT count(*) AS n FROM (SELECT ano, unnest(crimes) AS l FROM cor WHERE ano IS NOT NULL) GROUP BY ano, l",
+    "modus_operandi_por_ano": "SELECT count(*) AS n FROM (SELECT ano, unnest(modus) AS l FROM cor WHERE ano IS NOT NULL) GROUP BY ano, l",
+    "series_semanticas": "SELECT size AS n FROM series", "clusters_por_ano": f"SELECT {_COUNTED} WHERE ano IS NOT NULL GROUP BY ano, cluster_id",
+    "estados_por_ano": "SELECT count(*) AS n FROM (SELECT ano, unnest(ufs) AS l FROM cor WHERE ano IS NOT NULL) GROUP BY ano, l",
+    "estados_por_cluster": "SELECT count(*) AS n FROM (SELECT cluster_id, unnest(ufs) AS l FROM cor) GROUP BY cluster_id, l",
+}
+
+
+@query(
+    "snk_tables",
+    sql(" UNION ALL ".join(f"SELECT '{t}' AS tabela, count(*) AS linhas, CAST(sum(n) AS BIGINT) AS soma FROM ({rows})" for t, rows in _ROWS.items()), "cor", "nb", "pairs", "series"),
+)
 def snk_tables(spark, d):
-    path = scratch_dir(spark, "tables")
-    sinks.write_tables({"news": v.enriched(spark, d).select("link", "ano", F.col("crime_labels").alias("crimes"), "nome_operacao")}, path)
-    return sinks.read_tables(spark, path, ["news"])["news"]
+    """Rows of all tables, as another program finds them in the CSV exports of the newest run."""
+    run, _ = artifacts.newest(spark, artifact_folder(spark, d))
+    found = artifacts.read_csvs(spark, f"{run}/csv")
+    each = [df.agg(F.lit(t).alias("tabela"), F.count(F.lit(1)).alias("linhas"), F.sum(SUMMED[t]).cast("long").alias("soma")) for t, df in found.items()]
+    return reduce(lambda a, b: a.unionByName(b), each)
 
 
 @query(
     "src_artifacts",
     sql(
-        "SELECT link, CAST(year(pub_ts) AS BIGINT) AS year, coalesce(strftime(pub_ts, '%Y-%m'), 'NaT') AS month, array_to_string([trim(x) for x in string_split(tags, '|')], '|') AS tags_list, "
-        "array_to_string(crimes, '|') AS crime_labels_list, array_to_string(ufs, '|') AS ufs_mencionadas_list, false AS has_series FROM enr",
-        "enr",
+        "SELECT c.link, CAST(year(pub_ts) AS BIGINT) AS year, coalesce(strftime(pub_ts, '%Y-%m'), 'NaT') AS month, array_to_string([trim(x) for x in string_split(tags, '|')], '|') AS tags_list, "
+        "array_to_string(crimes, '|') AS crime_labels_list, array_to_string(ufs, '|') AS ufs_mencionadas_list, s.semantic_series_id IS NOT NULL AS has_series, s.semantic_series_id, t.size AS series_size, "
+        "CAST(round(y.soma) AS BIGINT) AS vizinhos FROM cor c LEFT JOIN series_links s USING (link) LEFT JOIN series t USING (semantic_series_id) "
+        "LEFT JOIN (SELECT source_link AS link, count(*) AS soma FROM nb GROUP BY 1) y USING (link)",
+        "cor", "series_links", "series", "nb",
     ),
 )
-def artifacts(spark, d):
-    path = scratch_dir(spark, "artifacts")
-    keep = ["link", "data_publicacao_dt", "tags", "crime_labels", "modus_labels", "ufs_mencionadas", "estados_mencionados"]
-    sinks.export_csv(v.enriched(spark, d).select(*keep, F.lit(None).cast("long").alias("semantic_series_id")), path)
-    schema = ", ".join(f"{c} {'TIMESTAMP' if c == 'data_publicacao_dt' else 'STRING'}" for c in keep) + ", semantic_series_id BIGINT"
-    rows = tables.reload_corpus(tables.read_csv(spark, path, schema))
-    return rows.select("link", "year", "month", "tags_list", "crime_labels_list", "ufs_mencionadas_list", "has_series")
+def src_artifacts(spark, d):
+    """The reloaded tables of the newest run, joined on their keys."""
+    found = artifacts.reload(artifacts.read(spark, artifact_folder(spark, d)))
+    corpus = found["corpus_enriquecido"].select("link", "year", "month", "tags_list", "crime_labels_list", "ufs_mencionadas_list", "has_series", "semantic_series_id")
+    series = found["series_semanticas"].select("semantic_series_id", F.col("size").alias("series_size"))
+    near = found["vizinhos_semelhantes"].groupBy(F.col("source_link").alias("link")).agg(F.count(F.lit(1)).alias("vizinhos"))
+    return corpus.join(series, "semantic_series_id", "left").join(near, "link", "left")

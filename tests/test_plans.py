@@ -8,6 +8,7 @@ from oracle import connect, differences
 
 import __spark_entry__ as entry
 from newsatlas.plans import analysis
+from newsatlas.sources import artifacts, schemas
 
 SF = "/root/testdata/sf0.001"
 # A cross-section; NEWSATLAS_ALL=1 compares every key.
@@ -67,7 +68,9 @@ def test_whole_run(spark, tmp_path):
     settings = analysis.Settings(candidates=(3,), final_starts=2, components=6)
     out = str(tmp_path / "out")
     analysis.run(spark, str(tmp_path / "index.csv"), str(tmp_path / "manifest.csv"), str(bodies), out, settings)
-    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    stored = artifacts.read(spark, out)
+    out = artifacts.newest(spark, out)[0]
+    read = stored.__getitem__
     corpus = read("corpus_enriquecido")
     assert corpus.count() == 56 and corpus.columns == analysis.CORPUS_COLUMNS
     assert read("vizinhos_semelhantes").count() == 56 * 5
@@ -84,3 +87,43 @@ def test_whole_run(spark, tmp_path):
     assert all(open(f"{out}/csv/crimes_por_ano/{f}", "rb").read(3) == b"\xef\xbb\xbf" for f in files)
     lines = [r["value"] for r in spark.read.text(f"{out}/analise_qualitativa_md").collect()]
     assert lines[0].startswith("# ") and "- Base analisada: 56 noticias" in lines
+    derived = artifacts.reload(artifacts.read_csvs(spark, f"{out}/csv"))
+    assert all(derived[n].count() == stored[n].count() for n in schemas.ARTIFACTS)
+    own, again = (x["corpus_enriquecido"].orderBy("link").select("link", "ano", "data_publicacao_dt", "crime_labels_list", "ufs_mencionadas_list", "has_series", "month").collect() for x in (artifacts.reload(stored), derived))
+    assert own == again and any(r["has_series"] for r in own)
+    assert {r["series_ui_label"] for r in derived["series_semanticas"].collect()} == {r["series_ui_label"] for r in artifacts.reload(stored)["series_semanticas"].collect()}
+
+
+def artifact_tables(spark, mark):
+    return {n: spark.createDataFrame([], ddl) for n, ddl in {**schemas.ARTIFACTS, schemas.REPORT[0]: schemas.REPORT[1]}.items()} | {
+        "crimes_por_ano": spark.createDataFrame([(mark, "x", 1)], schemas.ARTIFACTS["crimes_por_ano"])
+    }
+
+
+def test_a_failed_run_leaves_the_run_before(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path / "a")
+    with pytest.raises(FileNotFoundError):
+        artifacts.read(spark, folder)
+    artifacts.publish(artifact_tables(spark, 2001), folder)
+    broken = artifact_tables(spark, 2002)
+    broken["estados_por_cluster"] = spark.range(1).select(F.raise_error(F.lit("broken")).alias("x"))
+    with pytest.raises(Exception, match="broken"):
+        artifacts.publish(broken, folder)
+    assert len(os.listdir(f"{folder}/runs")) == 2  # half of the second run is there
+    assert artifacts.read(spark, folder)["crimes_por_ano"].first()["ano"] == 2001
+    artifacts.publish(artifact_tables(spark, 2003), folder)
+    assert artifacts.read(spark, folder)["crimes_por_ano"].first()["ano"] == 2003
+    assert [r["number"] for r in artifacts.log(spark, folder).orderBy("number").collect()] == [1, 2]
+
+
+def test_artifacts_of_another_shape_are_refused(spark, tmp_path):
+    folder = str(tmp_path / "a")
+    other = artifact_tables(spark, 1) | {"crimes_por_ano": spark.createDataFrame([("1", "x")], "ano STRING, crime STRING")}
+    artifacts.publish(other, folder)
+    with pytest.raises(ValueError, match="crimes_por_ano.*ano: string instead of int.*crime: string instead of none"):
+        artifacts.read(spark, folder)
+    artifacts.publish({k: v for k, v in other.items() if k != "estados_por_ano"}, folder)
+    with pytest.raises(ValueError, match="missing.*estados_por_ano"):
+        artifacts.read(spark, folder)
