@@ -14,7 +14,7 @@ from newsatlas.plans.catalog.registry import query, stage
 from newsatlas.plans.catalog.rows import keyword_hits
 from newsatlas.plans.catalog.views import sql
 from newsatlas.session import scratch_dir
-from newsatlas.sources import artifacts, html, schemas, sinks, tables
+from newsatlas.sources import artifacts, body_store, html, schemas, sinks, tables
 
 # Selectors that fit the given pages.
 ARTICLE = html.ArticleRules(
@@ -108,12 +108,21 @@ def src_manifest(spark, d):
     return tables.load_manifest(spark, path).select("link", F.trim("markdown_path").alias("markdown_path"), "status", "erro")
 
 
-@query("src_bodies", sql("SELECT doc_id, md5(concat(markdown_text, chr(10))) AS body FROM news", "news"))
+@query(
+    "src_bodies",
+    sql("SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN concat('# ', markdown_text) ELSE markdown_text END) AS body, doc_id % 50 = 1 AS asked, count(*) OVER () AS paths FROM news", "news"),
+)
 def src_bodies(spark, d):
-    path = scratch_dir(spark, "bodies")
-    v.news(spark, d).select("doc_id", "markdown_text").write.partitionBy("doc_id").text(path)
-    found = tables.read_bodies(spark, path)
-    return found.select(F.regexp_extract("markdown_path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), F.md5("markdown_text").alias("body"))
+    """Bodies of two segments, the second of which replaces one in seven; some of them are looked up by path."""
+    folder = scratch_dir(spark, "bodies")
+    rows = v.news(spark, d).select("doc_id", F.concat(F.lit(v.FOLDER + "/"), "doc_id", F.lit(".md")).alias("markdown_path"), "markdown_text")
+    body_store.append(rows, folder, 0, file_bytes=1 << 20)
+    body_store.append(rows.where("doc_id % 7 = 0").withColumn("markdown_text", F.concat(F.lit("# "), "markdown_text")), folder, 1, file_bytes=1 << 20)
+    asked = body_store.get(spark, folder, rows.where("doc_id % 50 = 1")).select("markdown_path", F.md5("markdown_text").alias("body"), F.lit(True).alias("asked"))
+    found = tables.read_bodies(spark, folder).select("markdown_path", F.md5("markdown_text").alias("body"))
+    number = F.regexp_extract("markdown_path", r"(\d+)\.md$", 1).cast("long")
+    total = tables.list_bodies(spark, folder).agg(F.count(F.lit(1))).scalar()
+    return found.join(asked, ["markdown_path", "body"], "left").select(number.alias("doc_id"), "body", F.coalesce("asked", F.lit(False)).alias("asked"), total.alias("paths"))
 
 
 _DONE = "status = 'ok' AND markdown_path <> ''"

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsatlas.functions.series import ui_label
 from newsatlas.functions.text import unpack_list
-from newsatlas.sources import csv_records, schemas
+from newsatlas.sources import body_store, csv_records, schemas
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -44,14 +44,18 @@ def load_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """(markdown_path, markdown_text), one row per file below the folder."""
+    """(markdown_path, markdown_text): the newest bodies of a packed store, else one row per file below the folder."""
+    if body_store.directory(spark, folder) is not None:
+        return body_store.read(spark, folder)
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), r"^file:/*", "/")
     return files.select(path.alias("markdown_path"), F.col("value").alias("markdown_text"))
 
 
 def list_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths only: the binary reader prunes the content."""
+    """Paths only: no content is read."""
+    if body_store.directory(spark, folder) is not None:
+        return body_store.paths(spark, folder)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select(F.regexp_replace(F.url_decode(F.col("path")), r"^file:/*", "/").alias("markdown_path"))
 

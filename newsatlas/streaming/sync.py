@@ -1,35 +1,22 @@
-"""Incremental extraction: new page files in, manifest rows out.
+"""Incremental extraction: new page files in, manifest rows and bodies out.
 
-The manifest is a log: every micro-batch overwrites its own partition ``batch=<id>``, so a batch that is
-replayed after a failure leaves the same rows. Readers keep the last row of each link.
+Every micro-batch replaces its own part of the manifest and its own segment of the bodies, so a batch that is replayed after
+a failure leaves the same rows. Before it begins, finished batches may be compacted.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsatlas.operators.ingest import body_rows, fetch_articles, manifest_rows
-from newsatlas.operators.keys import one_per_key
 from newsatlas.session import cut, prepare
-from newsatlas.sources import html, schemas
+from newsatlas.sources import body_store, html
+from newsatlas.streaming import manifest_store
 
 
 def read_manifest_log(spark: SparkSession, path: str) -> DataFrame:
     """Current manifest: the latest row of each link."""
-    log = spark.read.schema(schemas.MANIFEST + ", batch BIGINT").parquet(path)
-    return one_per_key(log, ["link"], [F.desc("batch")]).drop("batch")
-
-
-def done_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Links that other batches extracted; rows a failed run of this batch left behind do not count."""
-    try:
-        log = spark.read.schema(schemas.MANIFEST + ", batch BIGINT").parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        log = spark.createDataFrame([], schemas.MANIFEST + ", batch BIGINT")
-    return log.where((F.col("status") == schemas.OK) & (F.col("batch") != batch_id)).select("link").distinct()
+    return manifest_store.read(spark, path)
 
 
 def sync_stream(
@@ -45,11 +32,12 @@ def sync_stream(
     def commit(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         fresh = batch.where("url IS NOT NULL").dropDuplicates(["url"])
-        links = fresh.select(F.col("url").alias("link"))
-        wanted = links.join(done_before(session, manifest_path, batch_id), "link", "left_anti")
+        links = cut(fresh.select(F.col("url").alias("link")))
+        manifest_store.compact(session, manifest_path, batch_id)
+        wanted = links.join(manifest_store.finished(session, manifest_path, links, batch_id), "link", "left_anti")
         articles = cut(fetch_articles(wanted, fresh, rules))
-        body_rows(articles, folder).write.mode("overwrite").parquet(f"{bodies_path}/batch={batch_id}")
-        manifest_rows(articles, folder).write.mode("overwrite").parquet(f"{manifest_path}/batch={batch_id}")
+        body_store.append(body_rows(articles, folder), bodies_path, batch_id)
+        manifest_store.append(manifest_rows(articles, folder), manifest_path, batch_id)
 
     return (
         pages.writeStream.foreachBatch(commit).option("checkpointLocation", state_path).trigger(availableNow=True).start()

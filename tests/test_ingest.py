@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsatlas.operators import ingest
-from newsatlas.sources import blocks, csv_records, html, schemas, sinks, tables
+from newsatlas.sources import blocks, body_store, csv_records, html, schemas, sinks, tables
+from newsatlas.streaming import manifest_store
 from newsatlas.streaming.sync import read_manifest_log, sync_stream
 
 ARTICLE = """<html><body><div id="content"><div class="column"><a>Bahia</a> <a> </a><a>Tema  dois</a></div>
@@ -175,7 +176,57 @@ def test_stream_extracts_each_page_once(spark, tmp_path):
     assert run() == [("/1", "ok"), ("/2", "erro")]
     pages(spark, {"/1": "<p>", "/2": ARTICLE}).write.mode("append").parquet(source)
     assert run() == [("/1", "ok"), ("/2", "ok")]
-    assert spark.read.parquet(f"{home}/bodies").count() == 2
+    assert body_store.paths(spark, f"{home}/bodies").count() == 2
+
+
+def test_packed_bodies_are_found_by_path(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    rows = [(f"d/{i:04d} ç.md", f"# {i}\n\n" + "text " * (i % 40)) for i in range(600)]
+    bodies = spark.createDataFrame(rows, body_store.BODY)
+    body_store.append(bodies, folder, 0, file_bytes=4000)
+    body_store.append(spark.createDataFrame([(rows[7][0], "new"), ("d/late.md", "late")], body_store.BODY), folder, 1)
+    body_store.append(spark.createDataFrame([(rows[7][0], "newer"), ("d/late.md", None)], body_store.BODY), folder, 1)  # a replay
+    now = dict(rows) | {rows[7][0]: "newer", "d/late.md": None}
+    files = body_store.directory(spark, folder).collect()
+    assert len(files) > 10 and sum(r["bodies"] for r in files) == 602
+    assert dict(map(tuple, tables.read_bodies(spark, folder).collect())) == now
+    assert {r[0] for r in tables.list_bodies(spark, folder).collect()} == set(now)
+    wanted = spark.createDataFrame([(rows[7][0],), (rows[300][0],), ("none",), (None,), (rows[300][0],)], "markdown_path string")
+    found = body_store.get(spark, folder, wanted)
+    assert sorted(map(tuple, found.collect())) == [(rows[7][0], "newer"), rows[300]] and len(found.inputFiles()) <= 4
+    many = spark.createDataFrame([(p,) for p, _ in rows[:400]], "markdown_path string")
+    assert dict(map(tuple, body_store.get(spark, folder, many).collect())) == {p: now[p] for p, _ in rows[:400]}
+    assert body_store.get(spark, folder, wanted.limit(0)).count() == 0
+    body_store.compact(spark, folder, f"{folder}-one")
+    assert dict(map(tuple, body_store.read(spark, f"{folder}-one").collect())) == now
+
+
+def test_manifest_is_the_same_with_and_without_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest_store, "BUCKETS", 8)
+    draw, logged = random.Random(9), {}
+
+    def rows(batch):
+        links = sorted({f"l{draw.randrange(60)}" for _ in range(5)})
+        return spark.createDataFrame([(k, f"{batch}/{k}", draw.choice(["ok", "erro"])) + (None,) * 6 for k in links], schemas.MANIFEST)
+
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    for batch in range(9):
+        manifest_store.compact(spark, a, batch, least=3)
+        new = rows(batch)
+        for folder in (a, b):
+            manifest_store.append(new.limit(1), folder, batch)  # a failed run, then its replay
+            manifest_store.append(new, folder, batch)
+        logged |= {r["link"]: r for r in new.collect()}
+    at = manifest_store.pointer(spark, a)
+    assert at.made == 2 and at.upto == 5 and manifest_store.pointer(spark, b).made == 0
+    assert {r["batch"] for r in manifest_store.tail(spark, a, at).select("batch").collect()} == {6, 7, 8}
+    for folder in (a, b):
+        assert {r["link"]: r for r in manifest_store.read(spark, folder).collect()} == logged
+    links = spark.createDataFrame([(k,) for k in ["l1", "l2", "none"]], "link string")
+    done = [sorted(r[0] for r in manifest_store.finished(spark, f, links, 8).collect()) for f in (a, b)]
+    own = [r[0] for r in links.select(manifest_store.bucket()).distinct().collect()]
+    read = {f.split("bucket=")[1].split("/")[0] for f in manifest_store.base(spark, a, at, own).inputFiles()}
+    assert read <= {str(x) for x in own} and done[0] == done[1]
 
 
 def test_csv_export_packs_lists(spark, tmp_path):
