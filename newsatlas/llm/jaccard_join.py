@@ -52,14 +52,15 @@ def fingerprints(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 
 
 def described(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fp, n): the fingerprint and the size of each document's set."""
-    schema = T.StructType([docs.schema[key], T.StructField("fp", T.BinaryType()), T.StructField("n", T.LongType())])
+    """(key, text_hash, fp, n): the hash of each document's text, the fingerprint and the size of its set."""
+    schema = T.StructType([docs.schema[key], T.StructField("text_hash", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         values, bounds = near.shingles(piece.column(text))
-        return pa.RecordBatch.from_arrays([piece.column(key), pa.array(fingerprints(values, bounds), pa.binary()), pa.array(np.diff(bounds))], names=[key, "fp", "n"])
+        columns = [piece.column(key), piece.column("text_hash"), pa.array(fingerprints(values, bounds), pa.binary()), pa.array(np.diff(bounds))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return arrow_map(docs.select(key, text), work, schema, text)
+    return arrow_map(docs.select(key, text, F.xxhash64(text).alias("text_hash")), work, schema, text)
 
 
 def dealt(docs: DataFrame, text: str, parts: int) -> DataFrame:
@@ -271,8 +272,8 @@ def remaining(rows: DataFrame, open_: DataFrame, whole: DataFrame) -> DataFrame:
     return pairs.mapInArrow(compared_blocks, EDGE)
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id): the smallest key that each document reaches by links, itself included."""
+def grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text_hash, fp, n, label): equal labels for the sets that reach each other by links."""
     known = cut(described(docs, key, text))
     nodes = candidates(docs, text)
     whole = sets(docs, nodes, text)
@@ -288,17 +289,33 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         else:
             links = remaining(rows, open_, whole)
         labels = merged(labels, cut(links))
-    named = known.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = named.where("n > 0").groupBy("label").agg(F.min(key).alias("least"))
-    out = named.where("n > 0").join(smallest, "label").select(key, F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    return lookup(known, labels, "fp").withColumn("label", F.coalesce("label", "fp"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id): the smallest key that each document reaches by links, itself included."""
+    named = grouped(docs, key, text)
+    some = cut(named.where("n > 0").select(key, "n", "label"))
+    smallest = cut(some.groupBy("label").agg(F.min(key).alias("least")))
+    out = lookup(some, smallest, "label").select(key, F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return out.unionByName(named.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id")))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest key of each component, with all its columns; of repeated keys one row."""
-    first = join(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__id")).distinct()
-    kept = docs.join(first, docs[key].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([key])
+    """One document of each component, with all its columns: that of the smallest key, null last.
+
+    Of one key's texts in a component the one of the smallest hash stays, of repeated rows one. Documents without words are
+    linked with nothing and stay.
+    """
+    named = cut(grouped(docs, key, text))
+    order = F.struct(F.col(key).isNull().alias("blank"), F.col(key).alias("__id"), F.col("text_hash").alias("__text"))
+    first = named.where("n > 0").groupBy("label").agg(F.min(order).alias("b")).select("b.__id", "b.__text", F.lit(True).alias("__one"))
+    bare = named.where("n = 0").select(F.col(key).alias("__id"), F.col("text_hash").alias("__text"), F.lit(False).alias("__one")).distinct()
+    chosen = first.unionByName(bare)
+    marked = docs.withColumn("__hash", F.xxhash64(text))
+    kept = marked.join(chosen, marked[key].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")))
+    single = kept.where("__one").dropDuplicates([key, "__hash"])
+    return single.unionByName(kept.where("NOT __one")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op7_jaccard_join")

@@ -137,12 +137,16 @@ class Member:
                 return True
         return False
 
-    def upto(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while mark not in self.ready:
-            if len(self.ready) > most or not self.more():
+    def upto(self, mark: bytes) -> bytes:
+        """The bytes before a mark, however many: writers put addresses of any length in a header."""
+        whole, at = bytearray(self.ready), 0
+        while (found := whole.find(mark, at)) < 0:
+            at, self.ready = max(0, len(whole) - len(mark) + 1), b""
+            if not self.more():
                 raise Broken("a header does not end")
-        head, _, self.ready = self.ready.partition(mark)
-        return head
+            whole += self.ready
+        self.ready = bytes(whole[found + len(mark) :])
+        return bytes(whole[:found])
 
     def take(self, count: int) -> Iterator[bytes]:
         """Exactly ``count`` bytes, in pieces."""

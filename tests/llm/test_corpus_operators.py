@@ -200,6 +200,17 @@ def test_sharding(spark, odd, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_keep_first_loses_no_group(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(60))
+
+    rows = [(None, text("a")), (None, text("b")), (1, text("c")), (1, text("d")), (None, text("d") + " more"), (2, text("c")), (2, text("e")), (2, text("e")), (3, ""), (3, ""), (None, None), (4, " \n")]
+    kept = jaccard_join.keep_first(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, fp string, label string"))
+    assert kept.columns == ["doc_id", "text", "fp", "label"]
+    found = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert found == Counter([(None, text("a")), (None, text("b")), (1, text("c")), (1, text("d")), (2, text("e")), (3, ""), (3, ""), (None, None), (4, " \n")])
+
+
 def test_pipeline(spark, none):
     import corpus_pipeline
 

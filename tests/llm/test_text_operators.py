@@ -107,6 +107,12 @@ def test_archive_round_trip(spark):
     assert warc.read(warc.write(df.limit(0))).count() == 0
 
 
+def test_long_addresses_cost_no_record(spark):
+    pages = [(1, "http://" + "a" * (3 << 20), "first", "clash"), (2, "http://b", "second", "clash")]
+    rows = warc.read(warc.write(spark.createDataFrame(pages, "page_id long, url string, html string, payload_bytes string"))).collect()
+    assert sorted((r["uri"], r["payload"], r["error"]) for r in rows) == [(pages[0][1], b"first", None), (pages[1][1], b"second", None)]
+
+
 def test_broken_archives_are_reported(tmp_path):
     good = warc.record(1, "u", b"payload", None)
     for name, data, records in (("cut", good + good[:-20], 1), ("noise", good + b"noise", 1), ("flipped", good.replace(good[40:44], b"zzzz"), 0)):
