@@ -4,6 +4,9 @@ A page becomes a flat list of text blocks. A block is described by its word coun
 neighbours, and where it stands (inside the article, beside an article, under a navigation, advert, form or comment
 element). A decision tree, trained on the small labelled table below, tells content from the rest.
 
+An article element counts as the page's article if it stands under no mark and if the long blocks inside such elements hold
+at least as many words as those outside; else the page is judged as one without article.
+
 A mark is a guess from a name, so the density of what it holds can overrule it: the blocks of ``LONG`` words or more and
 few links under an outermost mark are weighed against the text kept so far. A mark of readers' comments is lifted only
 from a page of which no long block is kept, any other also where its long blocks outweigh the kept text ``OUTWEIGH``
@@ -35,14 +38,14 @@ NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)\s*(
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 #: HTML element names by how they are read.
-SILENT = ["audio", "button", "canvas", "iframe", "math", "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title", "video"]
-INLINE = ["a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"]
+SILENT = ["audio", "button", "iframe", "noscript", "script", "select", "style", "svg", "template", "textarea", "title", "video"]
+INLINE = ["a", "abbr", "acronym", "annotation", "b", "bdi", "bdo", "big", "br", "canvas", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "math", "mfrac", "mi", "mn", "mo", "mrow", "ms", "msqrt", "msub", "msup", "mtext", "object", "q", "ruby", "s", "samp", "semantics", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"]
 EMPTY = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
 CONTENT = ["article", "main"]
 #: Elements, and words in class, id and role, that mark what is not the article.
 ASIDE = ["aside", "dialog", "footer", "form", "header", "menu", "nav"]
 HINTS = [
-    "ad", "ads", "advert", "advertisement", "adverts", "alert", "aside", "banner", "breadcrumb", "breadcrumbs", "byline", "complementary", "consent", "contentinfo", "cookie",
+    "ad", "ads", "advert", "advertisement", "adverts", "alert", "aside", "banner", "breadcrumb", "breadcrumbs", "complementary", "consent", "contentinfo", "cookie",
     "cookies", "copyright", "dialog", "disclaimer", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
     "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored",
     "subscribe", "toolbar", "topbar", "widget",
@@ -67,6 +70,13 @@ LABELLED = [
     (30, 0.0, 6, 1.0, 12, 0.0, 1, 0, 0, 1), (10, 0.0, 15, 0.5, 4, 1.0, 1, 0, 0, 1), (6, 1.0, 4, 1.0, 5, 1.0, 1, 0, 0, 1), (18, 0.2, 20, 0.3, 25, 0.4, 1, 0, 0, 1),
     (2, 1.0, 2, 1.0, 0, 0.0, 1, 0, 0, 1), (7, 0.8, 9, 0.9, 3, 0.0, 1, 0, 0, 1), (1, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 1), (100, 0.0, 0, 0.0, 90, 0.0, 0, 1, 0, 0),
     (70, 0.0, 65, 0.0, 14, 0.0, 0, 1, 0, 0), (25, 0.0, 4, 1.0, 70, 0.0, 0, 1, 0, 0), (4, 0.0, 70, 0.0, 65, 0.0, 0, 0, 0, 1), (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (18, 0.9, 50, 0.0, 20, 0.9, 0, 0, 0, 0), (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1), (4, 0.0, 3, 1.0, 40, 0.0, 0, 0, 0, 1), (6, 0.0, 1, 1.0, 200, 0.0, 0, 0, 0, 1), (2, 0.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0),
+    (2, 0.0, 5, 1.0, 1, 1.0, 0, 0, 0, 0), (3, 0.0, 6, 1.0, 2, 1.0, 0, 0, 0, 0), (200, 0.0, 2, 0.0, 2, 1.0, 0, 0, 0, 1), (90, 0.02, 40, 0.0, 1, 1.0, 0, 0, 0, 1),
+    (60, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0, 1), (35, 0.1, 1, 0.0, 6, 1.0, 0, 0, 0, 1), (3, 0.0, 200, 0.0, 2, 1.0, 0, 0, 0, 1), (5, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 1),
+    (2, 0.0, 45, 0.0, 1, 1.0, 0, 0, 0, 1), (12, 0.0, 90, 0.1, 2, 1.0, 0, 0, 0, 1), (120, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 1), (25, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 1),
+    (2, 1.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0), (3, 1.0, 5, 0.0, 2, 1.0, 0, 0, 0, 0), (4, 1.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
+    (1, 1.0, 200, 0.0, 1, 1.0, 0, 0, 0, 0), (8, 1.0, 30, 0.0, 4, 1.0, 0, 0, 0, 0), (5, 0.8, 12, 0.0, 6, 0.9, 0, 0, 0, 0), (12, 0.9, 40, 0.0, 30, 0.0, 0, 0, 0, 0),
+    (2, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1), (4, 0.0, 3, 1.0, 0, 0.0, 1, 0, 0, 1), (3, 0.0, 1, 1.0, 2, 0.0, 1, 0, 0, 1), (9, 1.0, 3, 0.0, 4, 0.0, 1, 0, 0, 1),
 ]
 
 
@@ -131,6 +141,11 @@ class Block:
     def links(self) -> float:
         return self.linked / self.words
 
+    @property
+    def dense(self) -> bool:
+        """Long, and few of its words linked."""
+        return self.words >= LONG and 3 * self.linked <= self.words
+
     def outermost(self, lifted: set) -> tuple | None:
         """The outermost mark of readers' comments, else of another kind, that is not lifted."""
         named = (("remark", self.remarks), ("hint", self.hints))
@@ -153,7 +168,7 @@ def marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
 
 
 def blocks(page: str) -> tuple[list[Block], list[tuple]]:
-    """The text blocks in page order, and the marks of comments that each article element stands under."""
+    """The text blocks in page order, and the marks that each article element stands under."""
     out: list[Block] = []
     stack: list[tuple] = []  # open elements: name, inside, unseen, hints, remarks
     opened: Counter[str] = Counter()
@@ -215,9 +230,9 @@ def blocks(page: str) -> tuple[list[Block], list[tuple]]:
             if remark and name not in remarks:
                 remarks = (*remarks, name)
             if tag in CONTENT:
-                inside, hints = True, ()
+                inside = True
                 if not unseen:
-                    articles.append(remarks)
+                    articles.append((*hints, *remarks))
             elif hint and name not in hints and not (inside and tag == "header"):
                 hints = (*hints, name)
         elif opened[tag]:
@@ -233,12 +248,18 @@ def blocks(page: str) -> tuple[list[Block], list[tuple]]:
 def kept(found: list[Block], articles: list[tuple], lifted: set) -> list[Block]:
     tree, out = trained(), []
     article = any(lifted.issuperset(names) for names in articles)
+    if article:
+        weigh = [0, 0]
+        for b in found:
+            if b.dense and not b.unseen and b.outermost(lifted) is None:
+                weigh[b.inside] += b.words
+        article = weigh[1] >= weigh[0]
     for i, b in enumerate(found):
         before = found[i - 1] if i else None
         after = found[i + 1] if i + 1 < len(found) else None
         row = (
             b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0,
-            int(b.inside), int(article and not b.inside), int(b.unseen or b.outermost(lifted) is not None),
+            int(article and b.inside), int(article and not b.inside), int(b.unseen or b.outermost(lifted) is not None),
         )
         if tree.decide(row):
             out.append(b)
@@ -248,14 +269,14 @@ def kept(found: list[Block], articles: list[tuple], lifted: set) -> list[Block]:
 def main_text(page: str | None) -> str:
     found, articles = blocks(page or "")
     lifted: set = set()
-    dense = [b for b in found if b.words >= LONG and 3 * b.linked <= b.words and not b.unseen]
+    dense = [b for b in found if b.dense and not b.unseen]
     while True:
         out = kept(found, articles, lifted)
         weights: Counter = Counter()
         for b in dense:
             if mark := b.outermost(lifted):
                 weights[mark] += b.words
-        size, long = sum(b.words - b.linked for b in out), any(b.words >= LONG and 3 * b.linked <= b.words for b in out)
+        size, long = sum(b.words - b.linked for b in out), any(b.dense for b in out)
         heavy = [(n, mark) for mark, n in weights.items() if not long or mark[1] == "hint" and n > OUTWEIGH * size]
         if not heavy:
             return "\n\n".join(b.text for b in out)

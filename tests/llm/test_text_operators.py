@@ -239,3 +239,33 @@ def test_long_texts_that_share_many_lines(spark):
     assert out[1]["text"] == "\n".join(first) and out[1]["n_lines"] == 960 and out[1]["n_dropped"] == 60
     assert out[2]["text"] == "\n".join(second) and out[2]["n_dropped"] == 60
     assert (out[3]["text"], out[3]["n_lines"], out[4]["text"], out[4]["n_lines"]) == (None, 0, "", 1)
+
+
+def text_of(n, name="word"):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+LAYOUTS = [
+    ("<div id=content><h1>Head line</h1><p>{0}</p></div><aside><article><a href=x>Teaser link</a></article></aside>", "Head line|{0}"),
+    ("<div id=content><h1>Head line</h1><p>{0}</p></div><div class=related><article><a href=x>Teaser</a></article><article><p>Second teaser text</p></article></div>", "Head line|{0}"),
+    ("<article><h1>Title</h1><p>{1}</p></article><div><p>{0}</p></div>", "Title|{1}|{0}"),
+    ("<article><h1>Title</h1><p>{0}</p></article><div><p>{1}</p></div>", "Title|{0}"),
+    ("<main><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><div class=byline>By Ann</div><p>{0}</p></main>", "Let x=2 hold.|By Ann|{0}"),
+    ("<nav><a href=/>Home</a></nav><div><h1>Head</h1><p>{0}</p><p>The end.</p></div><ul><li><a href=1>more one</a></li><li><a href=2>two</a></li></ul><div>Most read</div><ul><li><a href=3>x y</a></li></ul>", "Head|{0}|The end."),
+    ("<form id=aspnetForm><main><p>{0}</p></main></form>", "{0}"),
+    ("<div class=sidebar><main><p>{0}</p></main><p>{1}</p></div>", "{0}"),
+]
+
+
+@pytest.mark.parametrize("page,expected", LAYOUTS)
+def test_page_layouts(page, expected):
+    long, short = text_of(200), text_of(30, "brief")
+    assert html_text.main_text(f"<html><body>{page.format(long, short)}</body></html>") == expected.format(long, short).replace("|", "\n\n")
+
+
+def test_deep_and_empty_pages(spark):
+    assert html_text.main_text("<div>" * 30000 + text_of(40)) == text_of(40)
+    none = spark.createDataFrame([], "page_id long, html string, text string")
+    assert html_text.extract(none).collect() == [] and html_text.extract(none).columns == ["page_id", "text"]
+    one = spark.createDataFrame([(1, f"<p>{text_of(40)}", "clash")], "page_id long, html string, text string")
+    assert [tuple(r) for r in html_text.extract(one).collect()] == [(1, text_of(40))]
