@@ -10,18 +10,22 @@ exact conditional (by generalised Stirling numbers), further customers sit down
 words are resampled in parallel, each sweep with the table totals of the sweep before. After ``BURN`` sweeps the
 predictive probabilities of ``SAMPLES`` sweeps are averaged.
 
-Moves: each piece of the input is cut by word once into packed columns, which are written to the shared folder. So all
-counts of a word meet in one part; words of at least ``HOT_SHARE`` of a piece (at most 1 / HOT_SHARE) are dealt out by
-word and context, and meet in one number per part and sweep. The totals of a context are summed up in ``rooms``: every
-part sends the tables of its contexts there and is told the sums in the same order.
-
-Defined results: a null text is empty (its only token is the end); words are told apart by 64-bit hashes; with no
+Moves: each piece of the input is cut by word into packed columns, once for counting (learned pairs only) and once for
+scoring (with the texts they stand in); nothing of it is stored. All counts of a word meet in one part; words of at least
+``HOT_SHARE`` of a piece (at most 1 / HOT_SHARE) are dealt out by word and context, and meet in one number per part and
+sweep. What a part has counted is one row of a table in buckets by part, which every sweep reads in place: only messages
+are shuffled. The totals of a context are summed up in ``rooms``: every part sends the tables of its contexts there and is
+told the sums in the same order. The input is read three times, so it must read the same each time.
+
+Defined results: a null text is empty (its only token is the end); words are told apart by 64-bit hashes, contexts by so
+many bits (``context_bits``) that fewer than one in ten thousand is expected to share a restaurant by chance; with no
 training row every token is unknown; repeated rows are scored alike and each counts in training; an empty table gives
 no rows; other input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsatlas.llm.frames import query, remainder, table
 from newsatlas.llm.words import ODD, mixed, pieces, words
-from newsatlas.session import cut
+from newsatlas.session import cut, scratch_dir
 
 HOT_SHARE = 0.001
 BURN, SAMPLES = 2, 3
@@ -72,6 +76,20 @@ def small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max()))) if len(values) else values.astype(np.uint8)
 
 
+def delta(values: np.ndarray) -> np.ndarray:
+    """Ascending whole numbers as differences, in the narrowest type."""
+    return small(np.diff(values, prepend=values[:1] * 0))
+
+
+def ascending(differences: np.ndarray) -> np.ndarray:
+    return np.cumsum(differences, dtype=np.uint64)
+
+
+def context_bits(tokens: int) -> int:
+    """Two of n contexts share the low b bits of their hashes with a chance of n / 2**b, and n is at most the tokens."""
+    return min(63, 14 + tokens.bit_length())
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of every token and the number of its text, each text closed by its end, and the number of tokens of each text."""
     found = words(column, lower=True)
@@ -94,45 +112,51 @@ def index(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == values, at, -1)
 
 
-def frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """Hot words (ascending hashes) and the number of tokens.
+def numbered(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The pieces of a task's input, numbered alike whenever it is read."""
+    first = TaskContext.get().partitionId() << 24
+    for i, piece in enumerate(pieces(batches, text, PIECE, PIECE_ROWS)):
+        yield first + i, piece
+
+
+def frequent(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, int, DataFrame]:
+    """Hot words (ascending hashes), the number of tokens, and (piece, data, ids): the lengths and keys of each piece.
 
     A word that holds a share of all tokens holds that share of some piece, so only such words are counted.
     """
+    ids = T.ArrayType(docs.schema[key].dataType)
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("word", "n", "piece")] + [T.StructField("data", T.BinaryType()), T.StructField("ids", ids)])
+    arrow_schema = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for piece in pieces(batches, text, PIECE, PIECE_ROWS):
-            hashes, *_ = tokens(piece.column(text))
+        for number, piece in numbered(batches, text):
+            hashes, _, lengths = tokens(piece.column(text))
             seen, n = np.unique(hashes, return_counts=True)
-            total += len(hashes)
             some = n >= HOT_SHARE * len(hashes)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(seen[some].view(np.int64)), "n": pa.array(n[some], pa.int64()), "t": pa.array(np.zeros(some.sum(), np.int64))})
-        yield pa.RecordBatch.from_pydict({"word": pa.array([0], pa.int64()), "n": pa.array([0], pa.int64()), "t": pa.array([total], pa.int64())})
-
-    seen = cut(docs.select(text).mapInArrow(run, "word long, n long, t long"))
-    total = seen.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
-    rows = seen.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 0) & (F.col("n") >= HOT_SHARE * total / 2)).orderBy(F.desc("n"), "word").limit(int(1 / HOT_SHARE)).collect()
+            rows = [{"word": w, "n": c} for w, c in zip(seen[some].view(np.int64).tolist(), n[some].tolist())]
+            head = {"n": len(hashes), "piece": number, "data": packed(small(lengths)), "ids": piece.column(key).to_pylist()}
+            yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in schema.names} for r in [*rows, head]], arrow_schema)
+
+    found = cut(docs.mapInArrow(run, schema))
+    heads = found.where("piece IS NOT NULL").select("piece", "data", "ids", "n")
+    total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words_ = found.where("piece IS NULL").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_SHARE * total / 2)
+    rows = words_.orderBy(F.desc("n"), "word").limit(int(1 / HOT_SHARE)).collect()
     hot = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
-    return np.sort(hot), total
+    return np.sort(hot), total, heads.drop("n")
 
 
-def dealt(docs: DataFrame, key: str, text: str, learn: Column, hot: np.ndarray, parts: int) -> DataFrame:
-    """(piece, part, data, owner, ids): the tokens of each piece by part of the words, and the texts they stand in.
+def dealt(docs: DataFrame, text: str, hot: np.ndarray, parts: int, bits: int, owners: bool) -> DataFrame:
+    """(piece, part, data, owner): the tokens of each piece by part of the words; all with their texts, or the learned only.
 
-    Part -1 has the texts of the piece. What is counted (data) stands apart from the texts (owner): the words and the
-    contexts, the number of contexts of each word, and the context, tokens and learned tokens of each such pair.
+    The words and all contexts, the number of contexts of each word, the context and the tokens of each such pair.
     """
-    ids = T.ArrayType(docs.schema[key].dataType)
-    schema = T.StructType([T.StructField("piece", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("owner", T.BinaryType()), T.StructField("ids", ids)])
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
-        piece_no = TaskContext.get().partitionId() << 24
-        for piece in pieces(batches, text, PIECE, PIECE_ROWS):
+        for number, piece in numbered(batches, text):
             hashes, owner, lengths = tokens(piece.column(text))
-            learned = piece.column("__learn").to_numpy(zero_copy_only=False).astype(bool)[owner]
             seen, word = np.unique(hashes, return_inverse=True)
             context = np.empty_like(word)
             context[1:] = word[:-1]
@@ -141,24 +165,29 @@ def dealt(docs: DataFrame, key: str, text: str, learn: Column, hot: np.ndarray,
             split = np.flatnonzero((index(hot, seen) >= 0)[word])
             part[split] = mod(mixed(seen[word[split]] + seen[context[split]] * ODD), parts)
             pair = word * len(seen) + context
+            learned = piece.column("__learn").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
             order = np.argsort(pair, kind="stable")
             order = order[np.argsort(small(part[order]), kind="stable")]
             part, pair, word, context, owner, learned = (x[order] for x in (part, pair, word, context, owner, learned))
             bounds = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(piece_no, -1, packed(lengths), None, piece.column(key).to_pylist())]
+            names_of_contexts = seen & np.uint64((1 << bits) - 1)
+            rows = []
             for p in np.flatnonzero(np.diff(bounds)).tolist():
                 i, j = bounds[p : p + 2]
                 first = np.flatnonzero(np.r_[True, pair[i + 1 : j] != pair[i : j - 1]])
-                names, per_word = np.unique(word[i:j][first], return_counts=True)
-                rooms, place = np.unique(context[i:j][first], return_inverse=True)
-                sizes = np.diff(np.r_[first, j - i])
-                data = packed(seen[names], seen[rooms], small(per_word), small(place), small(sizes), small(np.add.reduceat(learned[i:j].astype(np.int64), first)))
-                rows.append((piece_no, p, data, packed(owner[i:j].astype(np.uint16)), None))
-            yield pa.RecordBatch.from_pylist([dict(zip(("piece", "part", "data", "owner", "ids"), r)) for r in rows], arrow_schema)
-            piece_no += 1
-
+                rooms, place = np.unique(names_of_contexts[context[i:j][first]], return_inverse=True)  # also those of texts to score
+                sizes = np.diff(np.r_[first, j - i]) if owners else np.add.reduceat(learned[i:j], first)
+                some = sizes > 0
+                place, sizes = place[some], sizes[some]
+                names, per_word = np.unique(word[i:j][first][some], return_counts=True)
+                data = packed(seen[names], delta(rooms), small(per_word), small(place), small(sizes))
+                rows.append((number, p, data, packed(owner[i:j].astype(np.uint16)) if owners else None))
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(("piece", "part", "data", "owner"), r)) for r in rows], arrow_schema)
+
+    schema = T.StructType([T.StructField("piece", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("owner", T.BinaryType())])
     arrow_schema = to_arrow_schema(schema)
-    return cut(docs.select(key, text, F.coalesce(learn, F.lit(False)).alias("__learn")).mapInArrow(run, schema))
+    return docs.mapInArrow(run, schema)
 
 
 def mod(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -174,7 +203,22 @@ def messages(part: int, rooms: np.ndarray, *columns: np.ndarray) -> list[tuple]:
     return [(part, r, packed(*[small(c[ends[r] - rooms[r] : ends[r]]) for c in columns]), None, None) for r in np.flatnonzero(rooms).tolist()]
 
 
-def counts(dealt: DataFrame, hot: np.ndarray, rooms: int) -> DataFrame:
+def stepwise(values: np.ndarray, rooms: np.ndarray) -> np.ndarray:
+    """Values that ascend within each room as differences, the first of a room in full."""
+    out = np.diff(values, prepend=values[:1] * 0)
+    starts = (np.cumsum(rooms) - rooms)[rooms > 0]
+    out[starts] = values[starts]
+    return out
+
+
+def bucketed(rows: DataFrame, parts: int) -> DataFrame:
+    """A table in the shared folder with a bucket for each part: grouping by part reads it in place."""
+    name, path = f"parts_{uuid.uuid4().hex}", scratch_dir(rows.sparkSession, "parts")
+    rows.write.bucketBy(parts, "part").option("path", path).format("parquet").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def counts(dealt: DataFrame, hot: np.ndarray, rooms: int, parts: int) -> DataFrame:
     """What each part keeps (its words; its contexts by room; its pairs of them and their customers), and messages.
 
     A pair is word * number of contexts + context. Messages have the hashes, customers and words of the contexts.
@@ -183,17 +227,17 @@ def counts(dealt: DataFrame, hot: np.ndarray, rooms: int) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         part = int(group["part"].iloc[0])
         blocks = [unpacked(data) for data in group["data"]]
+        blocks = [(b[0], ascending(b[1]), *b[2:]) for b in blocks]
         every = np.unique(np.concatenate([b[1] for b in blocks]))
         room = mod(every, rooms)
         order = np.argsort(room, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         found, place, n = [], [], []
-        for names, contexts, per_word, context, _, learned in blocks:
-            some = learned > 0
-            found.append(np.repeat(names, per_word)[some])
-            place.append(rank[np.searchsorted(every, contexts)][context][some])
-            n.append(learned[some].astype(np.int64))
+        for names, contexts, per_word, context, sizes in blocks:  # a context that is only asked for has no customers here
+            found.append(np.repeat(names, per_word))
+            place.append(rank[np.searchsorted(every, contexts)][context])
+            n.append(sizes.astype(np.int64))
         names, word = np.unique(np.concatenate(found), return_inverse=True)
         code, at = np.unique(word * len(every) + np.concatenate(place), return_inverse=True)
         c = np.bincount(at, weights=np.concatenate(n), minlength=len(code)).astype(np.int64)
@@ -207,9 +251,9 @@ def counts(dealt: DataFrame, hot: np.ndarray, rooms: int) -> DataFrame:
         sums = np.r_[sums, np.bincount(h[h >= 0], weights=n_word[h >= 0], minlength=len(hot)), np.bincount(h[h >= 0], weights=of_word[h >= 0], minlength=len(hot))]
         hashes = every[order]
         kept = (part, -1, packed(small(of_word), small(context), small(c), h.astype(np.int16), small(per_room)), packed(names, hashes), sums.astype(float).tolist())
-        return pd.DataFrame([kept, *messages(part, per_room, hashes, customers, types)], columns=COLUMNS)
+        return pd.DataFrame([kept, *messages(part, per_room, stepwise(hashes, per_room), customers, types)], columns=COLUMNS)
 
-    return cut(dealt.where("part >= 0").select("part", "data").groupBy("part").applyInPandas(run, MESSAGE))
+    return bucketed(dealt.select("part", "data").groupBy("part").applyInPandas(run, MESSAGE), parts)
 
 
 COLUMNS = ["part", "room", "data", "hashes", "sums"]
@@ -222,7 +266,7 @@ def met(sent: DataFrame) -> DataFrame:
         got = [unpacked(data) for data in group["data"]]
         ends = np.cumsum([len(g[0]) for g in got])[:-1]
         if len(got[0]) == 3:
-            _, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+            _, at = np.unique(np.concatenate([ascending(g[0]) for g in got]), return_inverse=True)
             sums = [np.bincount(at, weights=np.concatenate([g[k] for g in got]))[at].astype(np.int64) for k in (1, 2)]
             told = zip(*[np.split(x, ends) for x in (at, *sums)])
             data = [packed(small(np.diff(at, prepend=0)), small(c), small(n)) for at, c, n in told]
@@ -236,7 +280,7 @@ def met(sent: DataFrame) -> DataFrame:
 
 def answers(group: pd.DataFrame) -> list[np.ndarray]:
     """What the rooms told a part, in the order of its contexts; the first column of three are places as differences."""
-    rows = group[group["room"] >= 0].sort_values("room")["data"]
+    rows = group[group["no"] >= 0].sort_values("no")["data"]
     return [np.concatenate(x).astype(np.int64) for x in zip(*map(unpacked, rows))]
 
 
@@ -313,8 +357,7 @@ def added(rows: DataFrame) -> np.ndarray:
 
 
 def rowed(rows: DataFrame, kind: str) -> DataFrame:
-    hashes = F.col("hashes") if "hashes" in rows.columns and kind == "kept" else F.lit(None).cast("binary")
-    return rows.select("part", F.lit(kind).alias("kind"), "room", "data", hashes.alias("hashes"))
+    return rows.select("part", F.lit(kind).alias("kind"), F.col("room").cast("long").alias("no"), "data", F.lit(None).cast("binary").alias("owner"))
 
 
 def seats(kept: bytes) -> tuple[np.ndarray, ...]:
@@ -340,15 +383,15 @@ def parents(totals: Totals, hot: Hot, h: np.ndarray, word: np.ndarray, t: np.nda
 def sweep(kept: DataFrame, directory: DataFrame, before: tuple[DataFrame, DataFrame] | None, totals: Totals, hot: Hot, number: int) -> tuple[DataFrame, DataFrame, Totals, Hot]:
     """One Gibbs sweep over all parts: the new tables of the parts and of the contexts, and the new totals."""
     shared = kept.sparkSession.sparkContext.broadcast((totals, hot))
-    rows = rowed(kept, "kept").drop("hashes").unionByName(rowed(directory, "place").drop("hashes"))
+    rows = rowed(directory, "place")
     for frame, kind in zip(before or (), ("tables", "context")):
-        rows = rows.unionByName(rowed(frame, kind).drop("hashes"))
+        rows = rows.unionByName(rowed(frame, kind))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(own: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         totals, hot = shared.value
-        part, of = int(group["part"].iloc[0]), {k: g for k, g in group.groupby("kind")}
+        part, of = int(own["part"].iloc[0]), {k: g for k, g in group.groupby("kind")}
         rng = np.random.default_rng([SEED, number, part])
-        word, context, c, h, per_room = seats(of["kept"]["data"].iloc[0])
+        word, context, c, h, per_room = seats(own["data"].iloc[0])
         place, customers, tables = answers(of["place"])
         if "tables" in of:
             (tables,) = answers(of["context"])
@@ -368,7 +411,7 @@ def sweep(kept: DataFrame, directory: DataFrame, before: tuple[DataFrame, DataFr
         mine = np.bincount(context, weights=t, minlength=len(customers)).astype(np.int64)
         return pd.DataFrame([(part, -1, packed(small(t), small(t0)), None, sums.tolist()), *messages(part, per_room, place, mine)], columns=COLUMNS)
 
-    done = cut(rows.groupBy("part").applyInPandas(run, MESSAGE))
+    done = cut(kept.select("part", "data").groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(run, MESSAGE))
     new, new_hot = Totals(0, totals.tokens, totals.known, totals.discount), Hot(hot.tokens, hot.customers)
     sums = added(done)
     if len(sums):
@@ -380,9 +423,9 @@ def sweep(kept: DataFrame, directory: DataFrame, before: tuple[DataFrame, DataFr
     return done.where("room = -1"), met(done), new, new_hot
 
 
-def fitted(dealt: DataFrame, hot: np.ndarray, parts: int) -> tuple[DataFrame, list[tuple[Totals, Hot]]]:
-    """Rows (part, kind, room, data, hashes): the counts and the sampled tables of each part; the totals of each sample."""
-    state = counts(dealt, hot, -(-parts // ROOM_PARTS))
+def fitted(dealt: DataFrame, hot: np.ndarray, parts: int) -> tuple[DataFrame, DataFrame, list[tuple[Totals, Hot]]]:
+    """The counts of each part; rows (part, kind, no, data, owner) of the directory and of the sampled tables; the totals of each sample."""
+    state = counts(dealt, hot, -(-parts // ROOM_PARTS), parts)
     kept, directory = state.where("room = -1"), met(state)
     sums = added(kept)
     if not len(sums):
@@ -392,33 +435,36 @@ def fitted(dealt: DataFrame, hot: np.ndarray, parts: int) -> tuple[DataFrame, li
     d = [float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.5 for a, b in (n[:2], n[2:])]
     totals, of_hot = Totals(0, int(tokens), int(known), tuple(d)), Hot(n_hot, types)
     totals.customers[-1] = totals.tables[-1] = known
-    before, samples, out = None, [], rowed(kept, "kept").unionByName(rowed(directory, "place"))
+    before, samples, out = None, [], rowed(directory, "place")
     for number in range(BURN + SAMPLES):
         *before, totals, of_hot = sweep(kept, directory, before, totals, of_hot, number)
         if number >= BURN:
             for frame, kind in zip(before, ("tables", "context")):
                 out = out.unionByName(rowed(frame, f"{kind}{len(samples)}"))
             samples.append((totals, of_hot))
-    return out, samples
+    return kept, out, samples
 
 
 def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row; the model learns where ``learn`` holds."""
     spark = docs.sparkSession
-    hot, total = frequent(docs, text)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
-    pieces_ = dealt(docs, key, text, learn, hot, parts)
-    model, samples = fitted(pieces_, hot, parts)
+    docs = docs.select(key, text, F.coalesce(learn, F.lit(False)).alias("__learn"))
+    hot, total, heads = frequent(docs, key, text)
+    parts, bits = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS)), context_bits(total)
+    kept, model, samples = fitted(dealt(docs, text, hot, parts, bits, False), hot, parts)
     tokens, known = samples[0][0].tokens, samples[0][0].known
     sent = spark.sparkContext.broadcast(samples)
 
     def base(n: np.ndarray) -> np.ndarray:
         return np.log10((n + 0.1) / (tokens + 0.1 * (known + 1)))
 
-    def of_part(group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        of = {k: g for k, g in model.groupby("kind")}
-        word, context, c, h, _ = seats(of["kept"]["data"].iloc[0])
-        names, hashes = unpacked(of["kept"]["hashes"].iloc[0])
+    def of_part(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        of = {k: g for k, g in rows.groupby("kind")}
+        if "piece" not in of:
+            return pd.DataFrame({"piece": [], "data": []})
+        group = of["piece"]
+        word, context, c, h, _ = seats(own["data"].iloc[0])
+        names, hashes = unpacked(own["hashes"].iloc[0])
         _, customers, _ = answers(of["place"])
         n_word = np.r_[np.bincount(word, weights=c, minlength=len(names)), 0]
         n_word[:-1][h >= 0] = sent.value[0][1].tokens[h[h >= 0]]
@@ -431,10 +477,10 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
             fitted.append((total, np.r_[t, 0], parent))
         c = np.r_[c, 0]
         out = []
-        for piece, data, owner in zip(group["piece"], group["data"], group["owner"]):
-            seen, rooms, per_word, place, sizes, _ = unpacked(data)
+        for piece, data, owner in zip(group["no"], group["data"], group["owner"]):
+            seen, rooms, per_word, place, sizes = unpacked(data)
             (owner,) = unpacked(owner)
-            w, u = np.repeat(index(names, seen), per_word), by[np.searchsorted(hashes[by], rooms)][place]
+            w, u = np.repeat(index(names, seen), per_word), by[np.searchsorted(hashes[by], ascending(rooms))][place]
             missing = np.flatnonzero((w < 0) & (index(hot, np.repeat(seen, per_word)) >= 0))
             entry = np.where(w >= 0, index(code, w * len(hashes) + u), -1)
             p, n = np.zeros(len(w)), n_word[w]
@@ -453,10 +499,11 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
             out.append((piece, packed(docs, *sums)))
         return pd.DataFrame(out, columns=["piece", "data"])
 
-    partial = pieces_.where("part >= 0").select("piece", "part", "data", "owner").groupBy("part").cogroup(model.groupBy("part")).applyInPandas(of_part, "piece long, data binary")
-    heads = pieces_.where("part = -1").select("piece", "data", "ids")
-    both = partial.select("piece", "data", F.lit(None).cast(pieces_.schema["ids"].dataType).alias("ids")).unionByName(heads)
-    kind = pieces_.schema["ids"].dataType.elementType
+    asked = dealt(docs, text, hot, parts, bits, True).select("part", F.lit("piece").alias("kind"), F.col("piece").alias("no"), "data", "owner")
+    rows = asked.unionByName(model)  # the pieces come first, so that their tasks keep the numbers of the input's partitions
+    partial = kept.select("part", "data", "hashes").groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(of_part, "piece long, data binary")
+    both = partial.select("piece", "data", F.lit(None).cast(heads.schema["ids"].dataType).alias("ids")).unionByName(heads)
+    kind = heads.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField(key, kind), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
