@@ -77,7 +77,7 @@ def network_edges(weights: DataFrame, neighbours: int = 3, min_similarity: float
 
 
 def layout(weights: DataFrame) -> DataFrame:
-    """(cluster_id, x, y, z): leading three components, each axis scaled to a largest absolute value of 1.
+    """(cluster_id, x, y, z): leading three components, each axis scaled so that its coordinate furthest from 0 is 1.
 
     The components follow from the products between clusters: one number per pair of clusters, which is all
     that reaches the driver.
@@ -96,8 +96,9 @@ def layout(weights: DataFrame) -> DataFrame:
     if k:
         values, vectors = np.linalg.eigh((products + products.T) / 2)
         coords[:, :k] = (vectors * np.sqrt(np.maximum(values, 0.0)))[:, ::-1][:, :k]
-    spread = np.abs(coords).max(axis=0, initial=0.0)
-    coords = coords / np.where(spread > 0, spread, 1.0)
+    if len(coords):
+        ends = coords[np.abs(coords).argmax(axis=0), range(3)]
+        coords = coords / np.where(ends != 0, ends, 1.0)
     return spark.createDataFrame([(i, *map(float, c)) for i, c in zip(ids, coords)], "cluster_id int, x double, y double, z double")
 
 

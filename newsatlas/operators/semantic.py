@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from newsatlas.session import cut
 
 TOKEN = r"\b[a-z0-9-]{2,}\b"
 CANDIDATES = (12, 16, 20, 24, 28, 32)
-OVERSAMPLE, POWER_ROUNDS = 12, 6  # of the block power iteration
+OVERSAMPLE, TOLERANCE, MOST_ROUNDS = 24, 0.002, 40  # of the block power iteration
 TERM_BLOCK = 512  # terms in a block of its sums
 CELLS = 1 << 15  # nonzero cells multiplied at once
 FITS_AT_ONCE = 8
@@ -166,39 +167,77 @@ def _gram_product(cells: DataFrame, basis: np.ndarray) -> np.ndarray:
     return out
 
 
-def leading_directions(cells: DataFrame, size: int, k: int, rounds: int = POWER_ROUNDS, seed: int = 42) -> np.ndarray:
-    """The k leading right singular vectors of sparse rows (idx, val), by block power iteration.
+@dataclass
+class Decomposition:
+    """Leading right singular vectors (one column each), singular values, and how far each pair is from exact.
 
-    Each round is one pass over the rows; the driver orthogonalises a matrix of size x (k + OVERSAMPLE).
+    A residual is the length of (transposed rows) x rows x v - value^2 v, as a share of the largest value squared.
     """
-    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, min(size, k + OVERSAMPLE))))
-    for _ in range(rounds):
-        q, _ = np.linalg.qr(_gram_product(cells, q))
-    values, turn = np.linalg.eigh(q.T @ _gram_product(cells, q))
-    return q @ turn[:, np.argsort(-values)[:k]]
 
+    basis: np.ndarray
+    values: np.ndarray
+    residuals: np.ndarray
+    rounds: int
 
-def reduced_vectors(vectors: DataFrame, key: str, column: str = "tfidf", max_components: int = 160) -> DataFrame:
-    """(key, vec): projection on the leading right singular vectors, rows of unit length.
 
-    The decomposition is distributed; only the terms x components matrix reaches the driver, and its
-    size is fixed by the vocabulary and component limits.
+def decompose(cells: DataFrame, size: int, k: int, tolerance: float = TOLERANCE, most: int = MOST_ROUNDS, seed: int = 42) -> Decomposition:
+    """The k leading singular pairs of sparse rows (idx, val), by block power iteration.
+
+    Each round is one pass over the rows, whose product also tells the residual of every pair so far; rounds end when all
+    are within the tolerance. The driver orthogonalises a matrix of size x (k + OVERSAMPLE).
     """
-    vectors = cut(vectors.select(key, column))
+    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, min(size, k + OVERSAMPLE))))
+    for number in range(1, most + 1):
+        product = _gram_product(cells, q)
+        squares, turn = np.linalg.eigh(q.T @ product)
+        order = np.argsort(-squares)[:k]
+        squares, turn = np.maximum(squares[order], 0.0), turn[:, order]
+        basis = q @ turn
+        scale = squares[0] if len(squares) and squares[0] > 0 else 1.0
+        residuals = np.linalg.norm(product @ turn - basis * squares, axis=0) / scale
+        if residuals.max(initial=0.0) <= tolerance:
+            break
+        q, _ = np.linalg.qr(product)
+    return Decomposition(basis, np.sqrt(squares), residuals, number)
+
+
+def decompose_vectors(vectors: DataFrame, column: str = "tfidf", max_components: int = 160, **settings) -> Decomposition:
+    """The decomposition of a column of sparse vectors; its size is fixed by the vocabulary and component limits."""
     size = vectors.select(F.unwrap_udt(column)["size"].alias("n")).first()["n"]
     k = max(1, min(max_components, max(2, size - 1), size))
     sparse = F.unwrap_udt(column)
+    return decompose(vectors.select(sparse["indices"].alias("idx"), sparse["values"].alias("val")), size, k, **settings)
+
+
+def project(vectors: DataFrame, key: str, found: Decomposition, column: str = "tfidf", unit: bool = True) -> DataFrame:
+    """(key, vec): the rows on the leading directions, of unit length unless told otherwise."""
+    sparse = F.unwrap_udt(column)
     cells = vectors.select(key, sparse["indices"].alias("idx"), sparse["values"].alias("val"))
-    basis = vectors.sparkSession.sparkContext.broadcast(leading_directions(cells.select("idx", "val"), size, k))
+    basis = vectors.sparkSession.sparkContext.broadcast(found.basis)
     kind = vectors.schema[key].dataType.simpleString()
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, idx, val, row in _sparse_batches(batches):
             dense = _times(idx, val, row, len(rows), basis.value)
-            norm = np.linalg.norm(dense, axis=1, keepdims=True)
+            norm = np.linalg.norm(dense, axis=1, keepdims=True) if unit else np.ones((len(dense), 1))
             yield pd.DataFrame({key: rows[key].to_numpy(), "vec": list(dense / np.where(norm == 0, 1.0, norm))})
 
-    return cells.mapInPandas(project, f"`{key}` {kind}, vec array<double>")
+    return cells.mapInPandas(run, f"`{key}` {kind}, vec array<double>")
+
+
+def reduced_vectors(vectors: DataFrame, key: str, column: str = "tfidf", max_components: int = 160) -> DataFrame:
+    """(key, vec): projection on the leading right singular vectors, rows of unit length.
+
+    The decomposition is distributed; only the terms x components matrix reaches the driver.
+    """
+    vectors = cut(vectors.select(key, column))
+    return project(vectors, key, decompose_vectors(vectors, column, max_components), column)
+
+
+def silhouette(rows: DataFrame, vec: str = "vec", cluster: str = "cluster_id") -> float:
+    """Mean cosine silhouette of a given grouping."""
+    judge = ClusteringEvaluator(distanceMeasure="cosine", predictionCol="cluster_id", featuresCol="features")
+    return judge.evaluate(rows.select(array_to_vector(vec).alias("features"), F.col(cluster).cast("int").alias("cluster_id")))
 
 
 def sample_rows(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:

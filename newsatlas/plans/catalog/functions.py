@@ -174,6 +174,24 @@ def keyword_labels(spark, d):
     return v.enriched(spark, d).select("doc_id", F.col("crime_labels").alias("crimes"), F.col("modus_labels").alias("modus"))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_WIDE = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN list_bool_or(list_transform((SELECT list(DISTINCT w) FROM wide WHERE w[1] = '{c}'), lambda k: contains(folded, k))) THEN 'k_{c}' END" for c in LETTERS) + "], lambda x: x IS NOT NULL), '|')"
+
+
+@query(
+    "fn_keyword_labels_wide",
+    sql(f"SELECT doc_id, {_WIDE} AS labels FROM enr", "enr", "wide", wide=("SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark", [])),
+)
+def keyword_labels_wide(spark, d):
+    """A lexicon of some thousand keywords: the words of the benchmark, labelled by their first letter."""
+    words = v.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("w")).distinct()
+    rules = {f"k_{c}": [] for c in LETTERS}
+    for r in words.orderBy("w").collect():  # the benchmark is the lexicon here
+        rules[f"k_{r['w'][0]}"].append(r["w"])
+    return v.enriched(spark, d).select("doc_id", labels.keyword_labels("texto_busca_normalizado", rules).alias("labels"))
+
+
+
 @query("fn_state_mentions", sql("SELECT doc_id, array_to_string(ufs, '|') AS ufs FROM enr", "enr"))
 def state_mentions(spark, d):
     return ops.with_states(v.news(spark, d)).select("doc_id", F.col("ufs_mencionadas").alias("ufs"))

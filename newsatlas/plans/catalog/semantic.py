@@ -38,8 +38,9 @@ def terms(spark, d):
     return sem.tokens(v.enriched(spark, d).select("doc_id", "link", "texto_ponderado"))
 
 
-def fitted(spark, d, **limits):
-    return sem.fit_tfidf(terms(spark, d), **limits)
+@stage("tfidf", write=None)
+def fitted(spark, d):
+    return sem.fit_tfidf(terms(spark, d))
 
 
 def cluster_top_terms(spark, d):
@@ -77,24 +78,68 @@ def top_terms(spark, d):
     return cluster_top_terms(spark, d)
 
 
-# Decomposition and clustering depend on starting points; the queries return what is determined.
+# Clustering depends on starting points; its queries return what is determined.
+@stage("tfidf_vectors")
+def vectors(spark, d):
+    return fitted(spark, d).vectors(terms(spark, d)).select("link", "tfidf")
+
+
+@stage("decomposition", write=None)
+def decomposed(spark, d):
+    return sem.decompose_vectors(vectors(spark, d))
+
+
 @stage("reduced")
 def reduced(spark, d):
-    docs = terms(spark, d)
-    return sem.reduced_vectors(fitted(spark, d).vectors(docs).select("link", "tfidf"), "link")
+    return sem.project(vectors(spark, d), "link", decomposed(spark, d))
+
+
+POWERS = 24
+
+
+def power_ctes(cells: str, rounds: int) -> dict:
+    """The leading singular pair of the rows of ``cells`` (link, term, weight): CTEs ``x<rounds>`` (link, x) and ``lead``."""
+    out = {"x0": (f"SELECT link, 1.0 AS x FROM {cells} GROUP BY link", [cells])}
+    for i in range(1, rounds + 1):
+        out[f"y{i}"] = (f"SELECT term, sum(weight * x) AS y FROM {cells} JOIN x{i - 1} USING (link) GROUP BY term", [cells, f"x{i - 1}"])
+        out[f"z{i}"] = (f"SELECT link, sum(weight * y) AS z FROM {cells} JOIN y{i} USING (term) GROUP BY link", [cells, f"y{i}"])
+        out[f"x{i}"] = (f"SELECT link, z / (SELECT sqrt(sum(z * z)) FROM z{i}) AS x FROM z{i}", [f"z{i}"])
+    out["lead"] = (f"SELECT sqrt(sum(y * y)) AS s FROM (SELECT term, sum(weight * x) AS y FROM {cells} JOIN x{rounds} USING (link) GROUP BY term)", [cells, f"x{rounds}"])
+    return out
 
 
 @query(
     "sem_svd",
     sql(
-        "SELECT t.link, least(160, greatest(2, (SELECT count(*) FROM vocab) - 1)) AS dims, CAST(w.link IS NOT NULL AS DOUBLE) AS norm "
-        "FROM tok t LEFT JOIN (SELECT DISTINCT link FROM weights) w USING (link)",
-        "tok", "vocab", "weights", **TERM_CTES,
+        "SELECT t.link, least(160, greatest(2, (SELECT count(*) FROM vocab) - 1)) AS dims, CAST(w.link IS NOT NULL AS DOUBLE) AS norm, "
+        f"round((SELECT s FROM lead), 4) AS largest, round(coalesce(w.x, 0) * (SELECT s FROM lead), 3) AS first, TRUE AS settled FROM tok t LEFT JOIN x{POWERS} w USING (link)",
+        "tok", "vocab", f"x{POWERS}", "lead", **{**TERM_CTES, **power_ctes("weights", POWERS)},
     ),
 )
 def svd(spark, d):
+    """Length of each reduced row, the largest singular value, the rows on its direction, and whether all pairs are settled."""
+    found = decomposed(spark, d)
+    lead = sem.Decomposition(found.basis[:, :1], found.values[:1], found.residuals[:1], found.rounds)
+    first = sem.project(vectors(spark, d), "link", lead, unit=False).select("link", F.round(F.abs(F.col("vec")[0]), 3).alias("first"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
-    return reduced(spark, d).select("link", F.size("vec").alias("dims"), F.round(norm, 6).alias("norm"))
+    rows = reduced(spark, d).select("link", F.size("vec").alias("dims"), F.round(norm, 6).alias("norm"))
+    settled = bool(found.residuals.max() <= sem.TOLERANCE)
+    return rows.join(first, "link").withColumns({"largest": F.lit(round(float(found.values[0]), 4)), "settled": F.lit(settled)})
+
+
+@query(
+    "sem_silhouette",
+    sql(
+        "SELECT count(*) AS rows, round(avg((b - a) / greatest(a, b)), 5) AS silhouette FROM (SELECT link, max(d) FILTER (own) AS a, min(d) FILTER (NOT own) AS b FROM "
+        "(SELECT p.link, q.cluster_id = p.cluster_id AS own, sum(1 - list_dot_product(p.v, q.v) / (p.len * q.len)) / (count(*) - CASE WHEN q.cluster_id = p.cluster_id THEN 1 ELSE 0 END) AS d "
+        "FROM (SELECT u.*, c.cluster_id FROM unitv u JOIN cor c USING (link)) p, (SELECT u.*, c.cluster_id FROM unitv u JOIN cor c USING (link)) q GROUP BY p.link, p.cluster_id, q.cluster_id) GROUP BY link)",
+        "unitv", "cor",
+    ),
+)
+def silhouette(spark, d):
+    """How well the given groups of the given vectors stand apart."""
+    rows = v.corpus(spark, d)
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.lit(round(sem.silhouette(rows), 5)).alias("silhouette"))
 
 
 @stage("silhouettes")
@@ -231,9 +276,49 @@ def dominant_terms(spark, d):
     return network.dominant_terms(cluster_weights(spark, d))
 
 
-@query("sem_network_layout")
+def axes_ctes(axes: int, squarings: int) -> dict:
+    """Leading eigenvectors of the products between clusters, each by repeated squaring, then taken out."""
+    out = {
+        "cids": ("SELECT list(cluster_id ORDER BY cluster_id) AS ids FROM (SELECT DISTINCT cluster_id FROM cw)", ["cw"]),
+        "cdot": ("SELECT a.cluster_id AS a, b.cluster_id AS b, sum(a.weight * b.weight) AS dot FROM cw a JOIN cw b USING (term) GROUP BY ALL", ["cw"]),
+        "ax0": (
+            "SELECT list(r ORDER BY a) AS m FROM (SELECT a, list(coalesce(dot, 0.0) ORDER BY b) AS r FROM (SELECT x.cluster_id AS a, y.cluster_id AS b, dot FROM "
+            "(SELECT DISTINCT cluster_id FROM cw) x, (SELECT DISTINCT cluster_id FROM cw) y LEFT JOIN cdot ON a = x.cluster_id AND b = y.cluster_id) GROUP BY a)",
+            ["cw", "cdot"],
+        ),
+    }
+    for axis in range(axes):
+        before = f"ax{axis}"
+        for i in range(squarings):
+            half = f"q{axis}_{i}"
+            out[half] = (f"SELECT [[list_dot_product(r, c) FOR c IN m] FOR r IN m] AS m FROM {before}", [before])
+            out[f"s{axis}_{i}"] = (f"SELECT [[x / t FOR x IN r] FOR r IN m] AS m FROM (SELECT m, list_sum([m[i][i] FOR i IN range(1, len(m) + 1)]) AS t FROM {half})", [half])
+            before = f"s{axis}_{i}"
+        out[f"v{axis}"] = (
+            "SELECT [x / sqrt(m[k][k]) FOR x IN m[k]] AS v FROM (SELECT m, list_position([m[i][i] FOR i IN range(1, len(m) + 1)], list_max([m[i][i] FOR i IN range(1, len(m) + 1)])) AS k "
+            f"FROM {before})",
+            [before],
+        )
+        out[f"ax{axis + 1}"] = (
+            "SELECT [[m[i][j] - l * v[i] * v[j] FOR j IN range(1, len(v) + 1)] FOR i IN range(1, len(v) + 1)] AS m FROM "
+            f"(SELECT m, v, list_dot_product([list_dot_product(r, v) FOR r IN m], v) AS l FROM ax{axis}, v{axis})",
+            [f"ax{axis}", f"v{axis}"],
+        )
+    return out
+
+
+_AXIS = "list_extract((SELECT [x / CASE WHEN list_max(v) >= -list_min(v) THEN list_max(v) ELSE list_min(v) END FOR x IN v] FROM v{i}), pos)"
+
+
+@query(
+    "sem_network_layout",
+    sql(
+        "SELECT cluster_id, " + ", ".join(f"round({_AXIS.format(i=i)}, 4) AS {c}" for i, c in enumerate("xyz")) + " FROM (SELECT unnest(ids) AS cluster_id, unnest(range(1, len(ids) + 1)) AS pos FROM cids)",
+        "cids", "v0", "v1", "v2", **{**NET_CTES, **axes_ctes(3, 14)},
+    ),
+)
 def network_layout(spark, d):
-    return network.layout(cluster_weights(spark, d))
+    return network.layout(cluster_weights(spark, d)).select("cluster_id", *[F.round(c, 4).alias(c) for c in "xyz"])
 
 
 @query(

@@ -1,6 +1,7 @@
 """Exact semantics of the column functions on hand-written rows."""
 
 import hashlib
+import random
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -182,3 +183,13 @@ def test_list_cells_with_both_quote_signs(one):
     assert one(text.unpack_list(F.col("c")), c="""["d'agua", 'x', 'a "b"']""") == ["d'agua", "x", 'a "b"']
     assert one(text.unpack_list(F.col("c")), c="[]") == [] and one(text.unpack_list(F.col("c")), c="['a', 'b|c']") == ["a", "b|c"]
     assert one(text.unpack_list(F.col("c")), c="[a|b") == ["[a", "b"] and one(text.unpack_list(F.col("c")), c=None) == []
+
+
+def test_large_lexicons_give_the_labels_of_small_ones(spark):
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abc d", k=draw.randrange(1, 6))) for _ in range(400)]
+    rules = {f"r{i}": draw.sample(words, 8) for i in range(50)} | {"all": [""], "none": ["zzz"], "shared": words[:3]}
+    texts = [("".join(draw.choices("abc d", k=draw.randrange(0, 30))),) for _ in range(200)] + [(None,), ("",)]
+    rows = spark.createDataFrame(texts, "t string")
+    found = rows.select(labels.keyword_labels("t", rules, 10_000).alias("a"), labels.keyword_labels("t", rules, 0).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in found) and any(len(r["a"]) > 3 for r in found)
