@@ -124,18 +124,19 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def shares(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken, and copies (slots that take its first word)."""
+    """Per document: doc_id, source, size, source_size, target, taken, shards (the output shards that its words were drawn
+    for), and copies (slots that take its first word)."""
     sized = cut(with_size(docs).select("doc_id", "source", "size"))
     info = sources(docs.sparkSession, sized)
     put = placed(sized, info)
     # a merge join: the size of what slots makes is not known beforehand, and no bound allows a broadcast
-    times = slots(info, seed).groupBy("no", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = slots(info, seed).groupBy("no", "block").agg(F.count(F.lit(1)).alias("times"), F.collect_set("shard").alias("to"))  # a block has MOST slots at most
     keys = ["no", "start", "doc_id", "source", "size", "source_size", "target"]
     used = pieces(put).join(times.hint("merge"), ["no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     summed = used.groupBy(*keys).agg(
-        F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"), F.max(F.when(F.col("lo") == F.col("start"), F.col("times"))).alias("copies")
+        F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("to")))).alias("shards"), F.max(F.when(F.col("lo") == F.col("start"), F.col("times"))).alias("copies")
     )
-    none = put.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies"))
+    none = put.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"), F.array().cast("array<long>").alias("shards"), F.lit(0).cast("long").alias("copies"))
     return summed.unionByName(none).drop("no", "start")
 
 
@@ -148,4 +149,4 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 @query("op6_mixing")
 def op6(spark, sf_dir):
-    return shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")

@@ -175,8 +175,9 @@ def test_mixing(spark, odd, none):
     assert all(abs(taken - target) <= mixing.BLOCK for _, taken, target in by.values())
     key = lambda r: (r["doc_id"], r["taken"])
     assert sorted(map(key, rows)) == sorted(map(key, mixing.shares(docs).collect()))
-    pieces = mixing.mix(docs).groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()
-    assert {r["doc_id"]: r["n"] for r in pieces} == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
+    pieces = mixing.mix(docs).groupBy("doc_id").agg(F.sum("n_words").alias("n"), F.collect_set("shard").alias("shards")).collect()
+    assert {r["doc_id"]: (r["n"], sorted(r["shards"])) for r in pieces} == {r["doc_id"]: (r["taken"], r["shards"]) for r in rows if r["taken"]}
+    assert all(bool(r["taken"]) == bool(r["shards"]) for r in rows)
     found = mixing.shares(odd).collect()
     assert len(found) == odd.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in found)
     assert mixing.shares(none).count() == 0 and mixing.mixed(none).columns == none.columns
