@@ -46,6 +46,7 @@ class GramStore:
     spark: SparkSession
     path: str
     key: str
+    kind: str  # type of the key
     borders: list[tuple[int, str, str]]  # folder, least and greatest gram; at most RANGES rows
 
     @staticmethod
@@ -54,30 +55,38 @@ class GramStore:
         placed = index.select(key, "gram", "weight", "idf").repartitionByRange(ranges, "gram", key).withColumn("part", F.spark_partition_id())
         ordered = placed.sortWithinPartitions("part", "gram", F.desc("weight"))
         ordered.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).partitionBy("part").parquet(f"{path}/postings")
-        rows = index.sparkSession.read.parquet(f"{path}/postings")
+        spark, kind = index.sparkSession, index.schema[key].dataType.simpleString()
+        spark.createDataFrame([(key, kind)], "key string, kind string").coalesce(1).write.parquet(f"{path}/about")
+        rows = GramStore(spark, path, key, kind, []).stored("postings")
         grams = rows.groupBy("part", "gram").agg(F.max("weight").alias("top"), F.any_value("idf").alias("idf"), F.count(F.lit(1)).alias("n"))
         grams.repartition(ranges, "part").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{path}/grams")
-        found = index.sparkSession.read.parquet(f"{path}/grams").groupBy("part").agg(F.min("gram").alias("low"), F.max("gram").alias("high"))
+        found = GramStore(spark, path, key, kind, []).stored("grams").groupBy("part").agg(F.min("gram").alias("low"), F.max("gram").alias("high"))
         found.coalesce(1).write.parquet(f"{path}/borders")  # a row per range
-        return GramStore.open(index.sparkSession, path, key)
+        return GramStore.open(spark, path)
 
     @staticmethod
-    def open(spark: SparkSession, path: str, key: str) -> GramStore:
+    def open(spark: SparkSession, path: str) -> GramStore:
         borders = spark.read.schema("part int, low string, high string").parquet(f"{path}/borders").collect()
-        return GramStore(spark, path, key, sorted(tuple(r) for r in borders))
+        key, kind = spark.read.parquet(f"{path}/about").first()
+        return GramStore(spark, path, key, kind, sorted(tuple(r) for r in borders))
+
+    def stored(self, kind: str, parts: list[int] | None = None) -> DataFrame:
+        """``postings`` or ``grams``, of all folders or of some."""
+        own = {"postings": f"`{self.key}` {self.kind}, gram string, weight double, idf double", "grams": "gram string, top double, idf double, n long"}
+        base = f"{self.path}/{kind}"
+        paths = [base] if parts is None else [f"{base}/part={p}" for p in parts]
+        return self.spark.read.schema(own[kind] + ", part int").option("basePath", base).parquet(*paths)
 
     def rows(self) -> DataFrame:
         """The whole index: (key, gram, weight, idf)."""
-        return self.spark.read.parquet(f"{self.path}/postings").select(self.key, "gram", "weight", "idf")
+        return self.stored("postings").select(self.key, "gram", "weight", "idf")
 
     def read(self, kind: str, grams: list[str]) -> DataFrame | None:
         """Rows of these grams from the folders that may hold them. Single equalities reach the scan, a long list would not."""
         parts = [p for p, low, high in self.borders if any(low <= g <= high for g in grams)]
         if not parts:
             return None
-        base = f"{self.path}/{kind}"
-        found = self.spark.read.option("basePath", base).parquet(*[f"{base}/part={p}" for p in parts])
-        return found.where(reduce(lambda a, b: a | b, [F.col("gram") == g for g in grams]))
+        return self.stored(kind, parts).where(reduce(lambda a, b: a | b, [F.col("gram") == g for g in grams]))
 
     def terms(self, query: Counter) -> list[Term]:
         """What the index knows of the query's grams, one row each, the least effective first."""
@@ -105,10 +114,9 @@ class GramStore:
 
     def scores(self, query: Counter, floor: float = 0.0) -> DataFrame:
         """(key, score) of every text whose rounded score is above 0 and reaches the floor."""
-        kind = self.spark.read.parquet(f"{self.path}/postings").schema[self.key].dataType.simpleString()
         light, heavy, rest = self.split(self.terms(query), floor)
         if not heavy:
-            return self.spark.createDataFrame([], f"`{self.key}` {kind}, score double")
+            return self.spark.createDataFrame([], f"`{self.key}` {self.kind}, score double")
         total = self.contributions(heavy).groupBy(self.key).agg(F.sum("s").alias("s"))
         if light:
             able = total.where(F.col("s") + rest >= floor - SLACK)

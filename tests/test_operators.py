@@ -317,7 +317,7 @@ def test_stored_index_reads_only_the_ranges_of_the_query(spark, spelled_rows, tm
     from newsatlas.operators.gram_store import GramStore
 
     GramStore.write(search.gram_index(spelled_rows, "link", "texto_busca_normalizado"), str(tmp_path / "index"), "link", 16)
-    store = GramStore.open(spark, str(tmp_path / "index"), "link")
+    store = GramStore.open(spark, str(tmp_path / "index"))
     hits = store.read("postings", [" zu", "zumbi"])
     opened = {f.split("part=")[1].split("/")[0] for f in hits.inputFiles()}
     assert 1 <= len(opened) <= 4 < len(store.borders) and {r["link"] for r in hits.collect()} == {f"l{i:03d}" for i in range(0, 300, 50)}
