@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from newsatlas.functions import dates, links, text
-from newsatlas.sources import schemas
 from newsatlas.sources.blocks import PARTING, markdown
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}

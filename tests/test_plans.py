@@ -17,6 +17,7 @@ SOME = [
     "jn_corpus", "prj_weighted_text", "qry_fuzzy_text", "qry_signal_trend", "sem_cluster_network", "sem_consolidate", "sem_knn",
     "sem_threshold_knn", "sem_tfidf", "set_dedup_pair", "src_article_extract", "topk_examples", "win_gap",
     "set_row_labels", "agg_catalog_crimes", "agg_catalog_modus", "qry_dual_compare_uf", "fn_list_cell", "src_listing_extract", "rep_report",
+    "src_article_text", "src_bodies", "src_artifacts", "sem_network_layout", "qry_dual_compare_text", "fn_keyword_labels_wide",
 ]
 KEYS = sorted(entry.queries()) if os.environ.get("NEWSATLAS_ALL") else SOME
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
