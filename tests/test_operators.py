@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,50 @@ def test_a_pair_found_twice_is_one_neighbour(spark, monkeypatch):
     assert got == {b[:3] for b in brute_knn(rows, 7)}
 
 
+@pytest.mark.parametrize("tile", [3, 100])
+def test_tiles_hand_on_only_the_best(spark, monkeypatch, tile):
+    """A row leaves a pair of tiles with at most k targets, however many blocks these hold."""
+    rng = np.random.default_rng(2)
+    rows = {f"r{i:03d}": rng.normal(size=4).tolist() for i in range(150)}
+    df = spark.createDataFrame(list(rows.items()), "link string, vec array<double>")
+    monkeypatch.setattr(near, "BLOCK", 9)
+    monkeypatch.setattr(near, "TILE", tile)
+    met = []
+    monkeypatch.setattr(near, "top_per_key", lambda rows, by, *rest, own=keys.top_per_key: met.append((by, rows)) or own(rows, by, *rest))
+    got = {tuple(r)[:3] for r in near.nearest(df, "link", 5, None, 9).select("source", "target", "rank").collect()}
+    assert got == {b[:3] for b in brute_knn(rows, 5)}
+    found = next(rows for by, rows in met if by == ["source"])
+    assert found.count() == found.distinct().count()
+    assert tile == 3 or found.groupBy("source").count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_meeting_in_small_steps(monkeypatch):
+    """Two tiles with ties and without any bound, in chunks of few rows, against brute force."""
+    monkeypatch.setattr(near, "CHUNK", 7)
+    monkeypatch.setattr(near, "HITS", 16)
+    rng = np.random.default_rng(3)
+    m = rng.integers(-2, 3, size=(60, 3)).astype(float)
+    pivots = near._units(list(rng.normal(size=(4, 3))))
+    units = near._units(list(m))
+    angles = near._angles(units, pivots)
+    cell = angles.argmin(axis=1)
+
+    def side(ids):
+        rows = {"rep": ids, "need": np.full(len(ids), -1.0), "block": cell[ids] + 4 * (ids[0] > 0), "cell": cell[ids], "angle": angles[ids, cell[ids]], "vec": list(m[ids])}
+        return near._Side(pa.table(rows), 4, pivots)
+
+    left, right = side(np.arange(40)), side(np.arange(40, 60))
+    near._meet(left, right)
+    near._meet(left, None)
+    sims = np.round(units @ units.T, 6) + 0.0
+    expect = {i: sorted((-sims[i, j], j) for j in range(60) if j != i and (i < 40 or j < 40))[:4] for i in range(60)}
+    got = collections.defaultdict(list)
+    for one in (left, right):
+        for i, j, x in zip(*one.found()):
+            got[i].append((-x, j))
+    assert {i: sorted(x) for i, x in got.items()} == expect
+
+
 def union_find(edges):
     parent = {}
 
