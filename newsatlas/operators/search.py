@@ -13,6 +13,7 @@ from newsatlas.operators.summaries import catalog_values, dual_map
 from newsatlas.session import by_key, cut, scratch_dir
 
 TEXT_GRAMS, CATALOG_GRAMS = (3, 5), (2, 5)
+BROADCAST_GRAMS = 1_000_000  # distinct n-grams that a broadcast may hold
 DIGITS = 6
 TEXT, TAG, CRIME, MODUS = "Texto livre", "Tag", "Crime", "Modus"
 YEAR, MONTH = "Ano", "Mes"
@@ -37,12 +38,16 @@ def word_grams(docs: DataFrame, key: str, text: str, low: int, high: int) -> Dat
 
 
 def gram_index(docs: DataFrame, key: str, text: str, grams: tuple[int, int] = TEXT_GRAMS) -> DataFrame:
-    """(key, gram, weight, idf): unit-length TF-IDF rows. ``store_index`` writes them for searching."""
+    """(key, gram, weight, idf): unit-length TF-IDF rows. ``store_index`` writes them for searching.
+
+    Up to BROADCAST_GRAMS distinct n-grams travel to the cells, which then stay in the partition of their text: neither
+    the weights nor the lengths of the texts move a cell. More n-grams take the shuffled join.
+    """
     cells = word_grams(docs, key, text, *grams)
     total = docs.agg(F.count(F.lit(1))).scalar()
     stats = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    idf = stats.select("gram", (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    raw = cells.join(idf, "gram").select(key, "gram", "idf", (F.col("tf") * F.col("idf")).alias("w"))
+    idf = cut(stats.select("gram", (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")))
+    raw = cells.join(F.broadcast(idf) if idf.count() <= BROADCAST_GRAMS else idf, "gram").select(key, "gram", "idf", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # the n-grams of one text
     return raw.select(key, "gram", (F.col("w") / norm).alias("weight"), "idf")
 
