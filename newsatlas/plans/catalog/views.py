@@ -9,7 +9,7 @@ from newsatlas.functions.lexicon import OPERATION_PHASE_WORDS, OPERATION_STOP_WO
 from newsatlas.functions.links import file_name
 from newsatlas.operators import corpus as ops, graph, neighbours as near
 from newsatlas.plans.catalog.registry import stage
-from newsatlas.session import spread
+from newsatlas.session import spread_text
 
 UF_LIST = "AC,AL,AP,AM,BA,CE,DF,ES,GO,MA,MT,MS,MG,PA,PB,PR,PE,PI,RJ,RN,RS,RO,RR,SC,SP,SE,TO"
 NEWS = f"""
@@ -38,7 +38,8 @@ FOLDER = "corpus/bodies"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in ("documents", "pages") else rows
+    wide = {"documents": "text", "pages": "html"}
+    return spread_text(rows, wide[name]) if name in wide else rows
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+TASK_BYTES = 8 << 20  # of text in a task
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
@@ -83,6 +84,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def spread_text(df: DataFrame, text: str) -> DataFrame:
+    """Rows dealt out by the bytes of their text: no task has much more than TASK_BYTES of it, or one row, however large
+    the splits and row groups of the files are.
+    """
+    total = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
+
+
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """Partition by key with the configured number of partitions.
 
