@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from newsatlas import session
 from newsatlas.functions import lexicon
 from newsatlas.operators import browse, corpus as ops, graph, keys, neighbours as near, network, search, semantic, summaries as sm
 
@@ -306,6 +307,47 @@ def test_space_and_clusters_hold_their_invariants(spark):
     assert len({(int(r["link"][1:]) % 3, r["cluster_id"]) for r in labels}) == 3 and len(labels) == 240
 
 
+def test_text_is_dealt_out_by_bytes(spark, tmp_path, monkeypatch):
+    """One row group, which splits of any size leave to one task."""
+    rows = spark.range(400).select("id", F.repeat(F.lit("palavra "), F.lit(50)).alias("text")).coalesce(1)
+    rows.write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(session, "TASK_BYTES", 8000)
+    dealt = session.spread_text(spark.read.parquet(str(tmp_path / "t")), "text")
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+    assert sum(sizes) == 400 * 400 and max(sizes) <= 2 * 8000
+
+
+def test_index_moves_no_cell_before_it_is_stored(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "um texto"), ("b", "outro texto"), ("c", None)], "link string, t string")
+    read = lambda: sorted(map(tuple, search.gram_index(rows, "link", "t").withColumn("weight", F.round("weight", 9)).collect()))
+    plan = search.gram_index(rows, "link", "t")._jdf.queryExecution().executedPlan().toString()
+    near_cells = read()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(search, "BROADCAST_GRAMS", 0)
+    assert near_cells and read() == near_cells
+
+
+def test_weights_of_joined_vectors(spark):
+    docs = spark.createDataFrame([(i, ["a", "b", "b"] if i % 2 else ["a", "c"], i % 3) for i in range(12)], "i int, terms array<string>, g int")
+    fitted = semantic.fit_tfidf(docs, min_df=1, max_df=1.0)
+    joined = fitted.vectors(docs.select("i", "terms")).select("i", "tfidf").join(docs.select("i", "g"), "i")
+    assert sorted(map(tuple, fitted.weights(joined, "g").collect())) == sorted(map(tuple, fitted.rows(docs, "g").collect()))
+
+
+def test_decomposition_settles_in_few_passes(spark):
+    """Slowly falling singular values; the leading direction is settled far beyond the tolerance."""
+    rng = np.random.default_rng(4)
+    u, v = (np.linalg.qr(rng.normal(size=(n, 120)))[0] for n in (200, 120))
+    values = np.r_[1.5, np.linspace(1.0, 0.4, 119)]
+    m = u * values @ v.T
+    rows = [([], [])] + [(list(range(120)), r.tolist()) for r in m] + [([], [])]
+    cells = spark.createDataFrame(rows, "idx array<int>, val array<double>").repartition(3)
+    found = semantic.decompose(cells, 120, 10)
+    assert found.rounds <= 10 and found.residuals.max() <= semantic.TOLERANCE
+    assert abs(found.values[0] - 1.5) < 1e-9 and abs(abs(found.basis[:, 0] @ v[:, 0]) - 1.0) < 1e-9
+    assert np.allclose(found.values, values[:10], atol=0.004)
+
+
 def test_sort_modes_put_unknown_dates_last(spark):
     rows = [(1, 5, 2, "2020-01-01"), (2, 5, 2, None), (3, 9, 1, "2021-01-01")]
     df = spark.createDataFrame(rows, "semantic_series_id long, size int, active_years int, d string")
