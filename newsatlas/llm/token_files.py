@@ -23,6 +23,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ STRIPE_BYTES = 8 << 20
 STRIPE_CHECK = 100  # rows after which a stripe's size is looked at, as documents may be long
 ROW_GROUP = 1000  # rows under an index entry and its Bloom filter
 FALSE_HITS = 0.01
-CACHE = 400_000  # cuttings that a task remembers
+CACHE = 400_000  # cuttings that a worker process remembers
 GROUP = 1000  # files whose sums are added up in one task
 
 GLUED = 4000  # cuttings that are encoded as one text
@@ -146,6 +147,12 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int32)))
 
 
+@lru_cache(maxsize=1)
+def encoder(definition: str, end: int = END) -> Encoder:
+    """The encoder of a worker process, with what it remembers: later tasks of the process go on with it."""
+    return Encoder(definition, end)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END, file_bytes: int = FILE_BYTES) -> None:
     """Write the tokens of all documents; ``tokenizer`` is the file of its definition."""
     spark = docs.sparkSession
@@ -157,10 +164,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     arrow_row = to_arrow_schema(row)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = Encoder(shared.value, end), 0
+        encode, before = encoder(shared.value, end).encode, 0
         part = TaskContext.get().partitionId()
         for piece in pieces(batches, text):
-            ids = encoder.encode(piece.column(text))
+            ids = encode(piece.column(text))
             n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
             first = before + np.cumsum(n) - n
             before += int(n.sum())

@@ -213,3 +213,16 @@ def test_token_files_have_stripes_and_indexes(spark, monkeypatch, tmp_path):
     wanted = token_files.read(spark, f"{tmp_path}/t").where(F.col("doc_id").isin(3, 25000))
     assert sorted(r["doc_id"] for r in wanted.collect()) == [3, 25000]
     assert re.search(r"PushedFilters: \[In\(doc_id", spark._jvm.PythonSQLUtils.explainString(wanted._jdf.queryExecution(), "formatted"))
+
+
+def test_tasks_of_a_process_share_an_encoder():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        text = f.read()
+    first = token_files.encoder(text, 0)
+    column = pa.array(["the same words", None, "", "the same words again"])
+    ids = first.encode(column).to_pylist()
+    known = len(first.known)
+    assert known and token_files.encoder("".join(list(text)), 0) is first
+    assert first.encode(column).to_pylist() == ids == token_files.Encoder(text, 0).encode(column).to_pylist() and len(first.known) == known
