@@ -83,6 +83,39 @@ def test_tiles_hand_on_only_the_best(spark, monkeypatch, tile):
     assert tile == 3 or found.groupBy("source").count().agg(F.max("count")).first()[0] <= 5
 
 
+def test_rows_are_sent_to_a_bounded_number_of_tiles(spark, monkeypatch):
+    """Tiles grow with the number of blocks, so that a row isn't sent once for each small tile."""
+    rng = np.random.default_rng(4)
+    rows = {f"r{i:03d}": rng.normal(size=4).tolist() for i in range(150)}
+    df = spark.createDataFrame(list(rows.items()), "link string, vec array<double>")
+    for name, x in {"BLOCK": 4, "TILE": 1, "TILES": 10}.items():
+        monkeypatch.setattr(near, name, x, raising=False)
+    sent = []
+    monkeypatch.setattr(near, "by_key", lambda rows, *by, own=near.by_key: sent.append(rows) or own(rows, *by))
+    got = {tuple(r)[:3] for r in near.nearest(df, "link", 5, None, 4).select("source", "target", "rank").collect()}
+    assert got == {b[:3] for b in brute_knn(rows, 5)}
+    assert sum(x.count() for x in sent) <= 150 * 15
+
+
+def test_a_length_is_computed_once_for_a_vector(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([1.0, None],)], "vec array<float>").select(near.unit("vec").alias("u"))
+    assert [r["u"] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None, [1.0, None]]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_vectors_of_two_lengths_are_refused():
+    with pytest.raises(ValueError, match="length"):
+        near._matrix(pa.array([[1.0, 2.0, 3.0], [1.0]]))
+    assert near._matrix(pa.chunked_array([[[1.0, 2.0]], [[3.0, 4.0]]])).tolist() == [[1.0, 2.0], [3.0, 4.0]]
+
+
+def test_marks_are_found_at_any_width():
+    for shape in [(1, 1), (3, 5), (4, 8), (7, 9), (2, 0)]:
+        m = np.random.default_rng(6).random(shape, dtype=np.float32)
+        bound = np.full(shape[1], 0.7, np.float32)
+        assert [x.tolist() for x in near._hits(m, bound)] == [x.tolist() for x in np.nonzero(m >= bound)]
+
+
 def test_meeting_in_small_steps(monkeypatch):
     """Two tiles with ties and without any bound, in chunks of few rows, against brute force."""
     monkeypatch.setattr(near, "CHUNK", 7)
