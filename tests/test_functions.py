@@ -193,3 +193,16 @@ def test_large_lexicons_give_the_labels_of_small_ones(spark):
     rows = spark.createDataFrame(texts, "t string")
     found = rows.select(labels.keyword_labels("t", rules, 10_000).alias("a"), labels.keyword_labels("t", rules, 0).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in found) and any(len(r["a"]) > 3 for r in found)
+
+
+def test_white_space_and_places_as_the_plain_patterns(spark):
+    cases = ["a  b", " a b ", "a\n b", "a \u00a0\u2003b\x1c", "\t", " ", "", "a\x85b", "Rio Branco/AC", f"{'x' * 70}/SP", f"{'x y ' * 20}Natal/RN/BA", "é/PA", "a/AMa", "-'/SE", "½ ﬁ … ß \u2120"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = df.select("t", text.collapse("t").alias("c"), F.regexp_extract_all("t", F.lit(geo.DATELINE), 1).alias("d"), text.fold("t").alias("f")).collect()
+    plain = r"(?U)\b[\w' -]{2,60}/([A-Z]{2})\b"
+    asked = df.select(
+        F.trim(F.regexp_replace("t", r"(?U)[\s\x1c-\x1f]+", " ")).alias("c"), F.regexp_extract_all("t", F.lit(plain), 1).alias("d")
+    ).collect()
+    assert [(r["c"], r["d"]) for r in got] == [(r["c"], r["d"]) for r in asked]
+    fold = lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()
+    assert [r["f"] for r in got] == [fold(r["t"]) for r in got]

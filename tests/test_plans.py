@@ -95,6 +95,25 @@ def test_whole_run(spark, tmp_path):
     assert {r["series_ui_label"] for r in derived["series_semanticas"].collect()} == {r["series_ui_label"] for r in artifacts.reload(stored)["series_semanticas"].collect()}
 
 
+def test_only_news_with_a_vector_are_labelled_for_the_corpus(spark, tmp_path, monkeypatch):
+    from newsatlas.plans.catalog import views
+
+    texts = ["Feira de Santana/BA - apreensão  de\tcarga, tion", "São Paulo/SP e Natal/RN - schung ½ … fim", "", None, "ing the \u00a0 #x`y` [a](b)"]
+    docs = [(i, texts[i % 5], "pt", "web", 9) for i in range(40)] + [(7, "again", "pt", "web", 5), (None, "x", "pt", "web", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(i, [1.0, float(i)], i % 2) for i in (5, 6, 7, 8, 99)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    wanted = views.enriched(spark, str(tmp_path)).where("doc_id IN (5, 6, 7, 8)")
+    seen, enrich = [], views.ops.enrich
+    monkeypatch.setattr(views.ops, "enrich", lambda df, *rules: seen.append(df.count()) or enrich(df, *rules))
+    rows = views.corpus(spark, str(tmp_path))
+    assert seen == [5]
+    shared = [c for c in wanted.columns if c in rows.columns]
+    assert "texto_busca_normalizado" in shared and "texto_ponderado" not in shared
+    read = lambda df: sorted(map(repr, df.select(*shared).collect()))
+    assert read(rows) == read(wanted) and len(read(rows)) == 5
+
+
 def artifact_tables(spark, mark):
     return {n: spark.createDataFrame([], ddl) for n, ddl in {**schemas.ARTIFACTS, schemas.REPORT[0]: schemas.REPORT[1]}.items()} | {
         "crimes_por_ano": spark.createDataFrame([(mark, "x", 1)], schemas.ARTIFACTS["crimes_por_ano"])
