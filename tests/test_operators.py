@@ -1,6 +1,7 @@
 """Operators against brute force, on skewed and on empty inputs."""
 
 import collections
+import itertools
 import random
 
 import numpy as np
@@ -169,6 +170,18 @@ def test_components_with_hub_chain_and_order(spark):
     assert {r["node"]: r["component"] for r in graph.components(df).collect()} == expected
 
 
+def test_components_of_a_chain_whose_keys_jump(spark, monkeypatch):
+    """Small keys stand far apart on the chain, so labels that move edge by edge take 32 rounds or so."""
+    n = 64
+    order = sorted(range(n), key=lambda i: f"{i:06b}"[::-1])  # keys along the chain, in the order of their reversed bits
+    links = [(f"k{a:02d}", f"k{b:02d}") for a, b in itertools.pairwise(order)]
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or session.cut(df))
+    parts = graph.components(spark.createDataFrame(links, "source_link string, target_link string"))
+    assert {r["node"]: r["component"] for r in parts.collect()} == {f"k{i:02d}": "k00" for i in range(n)}
+    assert len(written) <= 2 + 2 * 8, "a round writes twice"
+
+
 def test_lookup_keeps_every_row(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"k{i % 50}") for i in range(600)] + [(1000, None), (1001, "none")]
     table = [("hot", 1)] + [(f"k{i}", i) for i in range(50)]
