@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from newsatlas.functions.text import WS, fold, strip
+from newsatlas.operators.gram_cells import LONGEST
 from newsatlas.operators.gram_store import GramStore, spelled
 from newsatlas.operators.keys import top_per_key
 from newsatlas.operators.summaries import catalog_values, dual_map
@@ -53,8 +54,19 @@ def gram_index(docs: DataFrame, key: str, text: str, grams: tuple[int, int] = TE
 
 
 def store_index(docs: DataFrame, key: str, text: str, path: str | None = None, grams: tuple[int, int] = TEXT_GRAMS) -> GramStore:
-    """The stored form of the index, in the shared folder when no path is given."""
-    return GramStore.write(gram_index(docs, key, text, grams), path or scratch_dir(docs.sparkSession, "grams"), key)
+    """The stored form of the index, in the shared folder when no path is given.
+
+    Texts of one key count as one text. Plain texts are weighed in chunks, others cell by cell as ``gram_index`` does.
+    """
+    place = path or scratch_dir(docs.sparkSession, "grams")
+    texts = docs.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+    if grams[0] >= 3 and grams[1] <= LONGEST:
+        if not docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            texts = texts.groupBy(key).agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+        stored = GramStore.write_texts(cut(texts.withColumn("no", F.monotonically_increasing_id())), docs.count(), place, key, grams)
+        if stored is not None:
+            return stored
+    return GramStore.write(gram_index(docs, key, text, grams), place, key)
 
 
 def query_grams(docs: DataFrame, value: str, grams: tuple[int, int]) -> DataFrame:

@@ -54,9 +54,15 @@ CATALOG = {**CRIME_VALUES, **index_ctes("c", "value", "k", "cvals", *se.CATALOG_
 TAG_CATALOG = {**TAG_VALUES, **index_ctes("g", "value", "k", "gvals", *se.CATALOG_GRAMS)}
 
 
+@stage("searched")
+def searched(spark, d):
+    """What searches by text read of the labelled news."""
+    return v.labelled(spark, d).select("link", "ano", "ano_mes", "ufs_mencionadas", "texto_busca_normalizado")
+
+
 @stage("char_index", write=None)
 def text_index(spark, d):
-    return se.store_index(v.enriched(spark, d), "link", "texto_busca_normalizado")
+    return se.store_index(searched(spark, d), "link", "texto_busca_normalizado")
 
 
 @query("sem_char_index", sql("SELECT link, count(*) AS grams, round(sum(weight), 6) AS total, round(max(weight), 6) AS top FROM tidx GROUP BY link", "tidx", **TEXT_CTES))
@@ -99,7 +105,7 @@ FUZZY = "operacao estrella giua"
     ),
 )
 def fuzzy_text(spark, d):
-    return se.fuzzy_text(v.enriched(spark, d), FUZZY, index=text_index(spark, d)).scores
+    return se.fuzzy_text(searched(spark, d), FUZZY, index=text_index(spark, d)).scores
 
 
 @query("qry_match_signal", sql("SELECT doc_id, 't_schung' AS resolvido FROM enr WHERE list_contains(crimes, 't_schung')", "enr"))
@@ -199,6 +205,6 @@ SCOPED = (
 )
 def dual_compare_text(spark, d):
     """Two free texts within one state; the misspelt one is looked up in the stored index of all rows."""
-    rows = v.enriched(spark, d)
+    rows = searched(spark, d)
     _, peak, both = se.dual_compare(ops.by_uf(rows, UF), FUZZY, "eaux", index=text_index(spark, d), corpus=rows)
     return compared(peak, both)
